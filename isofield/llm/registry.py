@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isofield.llm import mixing, packing
-from isofield.llm.common import table
+from isofield.llm import mixing, packing, warc
+from isofield.llm.common import scratch, table
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +25,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_best_fit_packing, op10_source_mixing]
+    own = [op4_best_fit_packing, op8_warc_round_trip, op10_source_mixing]
     return {f.__name__: f for f in own}
 
 
