@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isofield.llm import mixing, packing, warc
+from isofield.llm import mixing, ngram_join, packing, warc
 from isofield.llm.common import scratch, table
 
 
@@ -18,6 +18,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,7 +29,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_best_fit_packing, op8_warc_round_trip, op10_source_mixing]
+    own = [op1_ngram_jaccard_join, op4_best_fit_packing, op8_warc_round_trip, op10_source_mixing]
     return {f.__name__: f for f in own}
 
 
