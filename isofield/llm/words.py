@@ -84,3 +84,32 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     value = (total[end] - total[start]) * down[start]
     row = np.searchsorted(offsets, start, "right") - 1
     return row, start, end, mixed(value + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+#: Bytes of letters: A-Z, a-z and all of UTF-8 beyond ASCII.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def stems(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every run of letters, A-Z folded, and of its first bytes of each of the lengths that it exceeds."""
+    n = len(data)
+    inside = np.zeros(n + 2, bool)
+    inside[1:n + 1] = LETTER[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets[1:-1]] = True
+    start = np.flatnonzero(inside[1:n + 1] & (~inside[:n] | edge[:n]))
+    end = np.flatnonzero(inside[1:n + 1] & (~inside[2:] | edge[1:])) + 1
+    table = _byte_values().copy()
+    table[65:91] = table[97:123]
+    up, down = _powers(max(BLOCK, 1 << max(n - 1, 1).bit_length()))
+    total = np.zeros(n + 1, U)
+    np.cumsum(table[data] * up[:n], out=total[1:])
+    row = np.searchsorted(offsets, start, "right") - 1
+    base, scale, size = total[start], down[start], end - start
+    rows, hashes = [row], [mixed((total[end] - base) * scale)]
+    for k in lengths:
+        long = size > k
+        rows.append(row[long])
+        hashes.append(mixed((total[start[long] + k] - base[long]) * scale[long] + U(k)))
+    return np.concatenate(rows), np.concatenate(hashes)
