@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isofield.llm import mixing, ngram_join, packing, toxicity, warc
+from isofield.llm import html_text, mixing, ngram_join, packing, toxicity, warc
 from isofield.llm.common import scratch, table
 
 
@@ -14,6 +14,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
@@ -33,7 +37,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op8_warc_round_trip, op10_source_mixing]
+    own = [op1_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op8_warc_round_trip, op10_source_mixing]
     return {f.__name__: f for f in own}
 
 
