@@ -71,6 +71,15 @@ LABELLED = (
     (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 1), (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 1),
     (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 1), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 1),
     (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 1), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 1),
+    (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 1), (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 1),
+    (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 1), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 1),
+    (30, 0.20, 2, 1.00, 1, 1.00, 0, 0, 0, 1), (19, 0.00, 1, 0.00, 4, 1.00, 0, 0, 0, 1),
+    (3, 0.00, 21, 0.00, 22, 0.00, 0, 0, 0, 1), (2, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 1),
+    (3, 0.00, 0, 0.00, 21, 0.05, 0, 0, 1, 1), (5, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1, 1),
+    (25, 0.60, 20, 0.00, 20, 0.00, 0, 0, 0, 0), (20, 0.50, 2, 1.00, 30, 0.00, 0, 0, 0, 0),
+    (4, 0.00, 20, 0.00, 2, 1.00, 0, 0, 0, 0), (8, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
+    (3, 0.90, 21, 0.00, 22, 0.00, 0, 0, 0, 0), (6, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0),
+    (7, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0), (9, 0.10, 5, 0.50, 4, 0.00, 0, 0, 0, 0),
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (2, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0),
     (3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0), (30, 0.90, 5, 1.00, 20, 0.80, 0, 0, 0, 0),
     (45, 0.85, 60, 0.00, 3, 0.00, 0, 0, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
