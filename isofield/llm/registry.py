@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isofield.llm import html_text, mixing, ngram_join, packing, toxicity, warc
+from isofield.llm import ann, embed_dedup, html_text, mixing, ngram_join, packing, toxicity, warc
 from isofield.llm.common import scratch, table
 
 
@@ -30,6 +31,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +46,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op8_warc_round_trip, op10_source_mixing]
+    own = [op1_ngram_jaccard_join, op2_nearest_neighbours, op3_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op8_warc_round_trip, op10_source_mixing]
     return {f.__name__: f for f in own}
 
 
