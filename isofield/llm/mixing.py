@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isofield.llm.common import cut, n_words
@@ -52,22 +52,16 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
                               .otherwise(F.least(cap, F.col("weight") * F.lit(max(level, 0.0)))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
-    """How many words of each document the mix takes: (id, size, source_size, target, taken).
+def with_taken(docs: DataFrame, size: Column, id_col: str, source_col: str, max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
+    """docs with size__, source_size__, target__ and taken__: the words of each document that the mix takes.
 
-    Every document is repeated floor(target / source_size) times whole. What the source still lacks is spent in a
-    seeded order of its documents: each one once more, the document at the boundary in part. Sizes are words of the
-    text. Null texts and texts without words have size 0 and are taken 0 times. Null sources are one source, ordered
-    last. Repeated rows are documents of their own. An empty table gives an empty result. A reserved column name in
-    docs does no harm, as only the three named columns are read.
+    size must give the same for a row whenever it is computed.
     """
-    spark = docs.sparkSession
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                           F.col(source_col).isNull().alias("is_null"), n_words(F.col(text_col)).alias("size"))
-               .withColumn("draw", F.xxhash64(F.lit(seed), F.col("id"), F.col("size")))
-               .withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.lit(BUCKETS)).cast("int")), "sizes")
-    buckets = cut(rows.groupBy("source", "is_null", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    rows = docs.withColumn("size__", size.cast("long")) \
+        .withColumn("draw__", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size__"))) \
+        .withColumn("bucket__", F.pmod(F.shiftrightunsigned("draw__", 20), F.lit(BUCKETS)).cast("int"))
+    buckets = cut(rows.groupBy(F.col(source_col).alias("source"), F.col(source_col).isNull().alias("is_null"), F.col("bucket__").alias("bucket"))
+                  .agg(F.sum("size__").alias("words")), "buckets")
     sums = buckets.groupBy("source", "is_null").agg(F.sum("words").alias("source_size"))
     weights = cut(cyclic_weights(sums), "weights")
     stats = weights.agg(F.sum("source_size").alias("total"), F.count(F.lit(1)).alias("n")).first()
@@ -86,15 +80,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             .where((F.col("upto") >= F.col("lack")) & (F.col("upto") - F.col("words") < F.col("lack")))
             .select("source", F.col("bucket").alias("edge"), (F.col("lack") - F.col("upto") + F.col("words")).alias("left")))
     plan = cut(filled.alias("f").join(edge.alias("e"), F.col("f.source").eqNullSafe(F.col("e.source")), "left")
-               .select("f.*", F.coalesce("e.edge", F.lit(-1)).alias("edge"), F.coalesce("e.left", F.lit(0)).alias("left")), "plan")
-
-    joined = rows.alias("r").join(small(plan.alias("p")), F.col("r.source").eqNullSafe(F.col("p.source"))) \
-        .select("id", "size", "draw", "bucket", "r.source", "p.source_size", "p.target", "p.whole", "p.edge", "p.left")
-    base = F.col("whole") * F.col("size")
-    rest = joined.where(F.col("bucket") != F.col("edge")) \
-        .withColumn("taken", base + F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source", "edge").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0)
-    cutoff = joined.where(F.col("bucket") == F.col("edge")).withColumn("upto", F.sum("size").over(order)) \
-        .withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("upto") + F.col("size"))))
-    out = ["id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
-    return rest.select(*out).unionByName(cutoff.select(*out)).withColumnRenamed("id", id_col)
+               .select(F.col("f.source").alias("source__"), F.col("source_size").alias("source_size__"), F.col("target").alias("target__"), F.col("whole").alias("whole__"),
+                       F.coalesce("e.edge", F.lit(-1)).alias("edge__"), F.coalesce("e.left", F.lit(0)).alias("left__")), "plan")
+
+    joined = rows.join(small(plan), F.col(source_col).eqNullSafe(F.col("source__")))
+    base = F.col("whole__") * F.col("size__")
+    rest = joined.where("bucket__ <> edge__") \
+        .withColumn("taken__", base + F.when(F.col("bucket__") < F.col("edge__"), F.col("size__")).otherwise(F.lit(0)))
+    order = Window.partitionBy("source__", "edge__").orderBy("draw__", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    cutoff = joined.where("bucket__ = edge__").withColumn("upto__", F.sum("size__").over(order)) \
+        .withColumn("taken__", base + F.greatest(F.lit(0), F.least(F.col("size__"), F.col("left__") - F.col("upto__") + F.col("size__"))))
+    out = [*docs.columns, "size__", "source_size__", "target__", F.col("taken__").cast("long").alias("taken__")]
+    return rest.select(*out).unionByName(cutoff.select(*out))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
+    """How many words of each document the mix takes: (id, size, source_size, target, taken).
+
+    Every document is repeated floor(target / source_size) times whole. What the source still lacks is spent in a
+    seeded order of its documents: each one once more, the document at the boundary in part. Sizes are words of the
+    text. Null texts and texts without words have size 0 and are taken 0 times. Null sources are one source, ordered
+    last. Repeated rows are documents of their own. An empty table gives an empty result. A reserved column name in
+    docs does no harm, as only the three named columns are read.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n")), "sizes")
+    return with_taken(rows, F.col("n"), "id", "source", max_epochs, seed).select(
+        F.col("id").alias(id_col), F.col("size__").alias("size"), F.col("source_size__").alias("source_size"),
+        F.col("target__").alias("target"), F.col("taken__").alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+             max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
+    """The mixed documents themselves, in the columns of docs: whole repetitions, and a last one cut to its first words.
+
+    Documents that the mix takes nothing of are gone. A cut text is its first words with one space between them.
+    """
+    mixed = with_taken(docs, n_words(F.col(text_col)), id_col, source_col, max_epochs, seed).where("taken__ > 0")
+    full, part = F.expr("taken__ div size__"), F.col("taken__") % F.col("size__")
+    copies = F.sequence(F.lit(1), (full + (part > 0).cast("long")))
+    shown = mixed.withColumn("part__", part).withColumn("copy__", F.explode(copies)).withColumn("full__", full)
+    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    text = F.when(F.col("copy__") <= F.col("full__"), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col("part__").cast("int")), " "))
+    return shown.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
