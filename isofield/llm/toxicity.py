@@ -60,7 +60,7 @@ def swapped(text: str, terms: tuple[str, ...] = IDENTITY_TERMS) -> str | None:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    """(id, label, swap, feature, count) of at most max_train labelled documents outside the held-out third.
+    """(id, label, swap, features, counts) of at most max_train labelled documents outside the held-out third.
 
     swap is 0 for a text and 1 for its counterfactual.
     """
@@ -77,12 +77,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             doubled = np.array([i for i, _ in pairs], np.int64)
             for swap, where, column in ((0, np.arange(len(ids)), pa.array(texts, pa.string())), (1, doubled, pa.array([s for _, s in pairs], pa.string()))):
                 for row, feature, count in features_of(column):
-                    at = where[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(labels_[at].astype(np.int32)), pa.array(np.full(len(at), swap, np.int32)),
-                                                      pa.array(feature.view(np.int64)), pa.array(count.astype(np.int32))],
-                                                     names=["id", "label", "swap", "feature", "count"])
+                    texts_in, begin = np.unique(row, return_index=True)
+                    ends = np.append(begin[1:], len(row)).astype(np.int32)
+                    offsets = pa.array(np.append(begin[:1], ends).astype(np.int32)) if len(row) else pa.array([0], pa.int32())
+                    at = where[texts_in]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[at]), pa.array(labels_[at].astype(np.int32)), pa.array(np.full(len(at), swap, np.int32)),
+                        pa.ListArray.from_arrays(offsets, pa.array(feature.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))],
+                        names=["id", "label", "swap", "features", "counts"])
 
-    return rows.mapInArrow(run, "id long, label int, swap int, feature long, count int")
+    return rows.mapInArrow(run, "id long, label int, swap int, features array<long>, counts array<int>")
+
+
+def only(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """Training rows with the chosen features alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, counts = batch.column(3), batch.column(4)
+            row = features.value_parent_indices().to_numpy()
+            value, count = features.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(chosen, value), len(chosen) - 1)
+            hit = chosen[at] == value
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(row[hit], minlength=len(batch)))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(at[hit].astype(np.int64))),
+                                              pa.ListArray.from_arrays(offsets, pa.array(count[hit].astype(np.int32)))], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def held_out(id_col) -> "F.Column":
@@ -98,35 +119,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = cut(training_rows(docs, labels, id_col, text_col, label_col, max_train), "toxic")
     own = rows.where("swap = 0")
-    counts = {r["label"]: r["n"] for r in own.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     prior = float(np.log((toxic + 0.5) / (clean + 0.5)))
     if not toxic or not clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (F.lit(toxic + 0.5) - a)) - F.log((b + 0.5) / (F.lit(clean + 0.5) - b))
-    best = (own.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("b"))
+    best = (own.select("label", F.explode("features").alias("feature")).groupBy("feature")
+            .agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("b"))
             .where("a + b >= 2").select("feature", (F.abs(odds) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("z"))
             .orderBy(F.desc("z"), "feature").limit(n_features))
     chosen = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
-    kept = rows.join(F.broadcast(best.select("feature")), "feature").toArrow()
-    return _train(kept, rows.select("id", "label").distinct().toArrow(), chosen)
-
-
-def _train(kept: pa.Table, texts: pa.Table, chosen: np.ndarray) -> Model:
-    ids = texts["id"].to_numpy()
-    order = np.argsort(ids)
-    ids, y = ids[order], texts["label"].to_numpy()[order].astype(float)
-    row = np.searchsorted(ids, kept["id"].to_numpy())
-    col = np.searchsorted(chosen, kept["feature"].to_numpy().view(np.uint64))
-    value, swap = np.log1p(kept["count"].to_numpy()), kept["swap"].to_numpy() == 1
-    doubled = np.zeros(len(ids), bool)
-    doubled[row[swap]] = True
+    if not len(chosen):
+        return Model(chosen, np.zeros(0), prior)
+    return _train(only(rows, chosen).toArrow(), len(chosen), chosen)
+
+
+def _train(texts: pa.Table, n: int, chosen: np.ndarray) -> Model:
+    texts = texts.combine_chunks().sort_by([("id", "ascending"), ("swap", "ascending")])
+    features, counts = (texts[c].combine_chunks() for c in ("features", "counts"))
+    ids, swaps = texts["id"].to_numpy(), texts["swap"].to_numpy()
+    # Texts get consecutive numbers; a counterfactual has the number of its text (repeated documents share them).
+    first = np.append(True, ids[1:] != ids[:-1])
+    number = np.cumsum(first) - 1
+    y = texts["label"].to_numpy()[first].astype(float)
+    parent = features.value_parent_indices().to_numpy()
+    row, swap = number[parent], swaps[parent] == 1
+    col, value = features.flatten().to_numpy(), np.log1p(counts.flatten().to_numpy())
+    doubled = np.zeros(len(y), bool)
+    doubled[number[swaps == 1]] = True
     r, c, v = row[~swap], col[~swap], value[~swap]
     # Differences between a text and its counterfactual, as one sparse matrix.
     pick = doubled[row]
     dr, dc, dv = row[pick], col[pick], np.where(swap[pick], -value[pick], value[pick])
-    w, bias, square = np.zeros(len(chosen)), -2.0, np.full(len(chosen) + 1, 1e-8)
+    w, bias, square = np.zeros(n), -2.0, np.full(n + 1, 1e-8)
     weight = np.where(y == 1, POSITIVE_WEIGHT, 1.0) / len(y)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * w[c], minlength=len(y)) + bias, -30, 30)))
