@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isofield.llm import ann, embed_dedup, html_text, line_dedup, mixing, ngram_join, packing, toxicity, warc
+from isofield.llm import ann, embed_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
 from isofield.llm.common import scratch, table
 
 
@@ -19,6 +19,11 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no URL: their source is the host, their source and language the path."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
@@ -50,7 +55,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_nearest_neighbours, op3_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op8_warc_round_trip, op9_line_dedup, op10_source_mixing]
+    own = [op1_ngram_jaccard_join, op2_nearest_neighbours, op3_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op7_site_quality, op8_warc_round_trip, op9_line_dedup, op10_source_mixing]
     return {f.__name__: f for f in own}
 
 
