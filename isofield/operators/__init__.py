@@ -1 +1 @@
-
+"""Operators: DataFrames in, lazy DataFrames out."""

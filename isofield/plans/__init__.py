@@ -1 +1 @@
-
+"""Queries over the standard tables and the SQL that checks them."""

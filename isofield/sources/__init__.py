@@ -1 +1 @@
-
+"""Readers, writers and shared scratch tables."""
