@@ -46,12 +46,23 @@ def capacity_decision(scores: DataFrame, groups: list[str], size: str, score: st
 
     The practical size is the larger of the one-standard-error size and the plateau, or the former where there is no plateau.
     """
-    curve = finite_summary(scores, [*groups, size], score).where("mean is not null")
-    chosen = one_standard_error(curve, groups, size, "mean", "sem").join(plateau(curve, groups, size, "mean", tolerance, steps, least), groups, "left")
-    largest = curve.groupBy(*groups).agg(F.max(size).alias("largest"))
+    curve = finite_summary(scores, [*groups, size], score).where("mean is not null").select(*groups, size, "mean", "sem")
+    w = Window.partitionBy(*groups).orderBy(size)
+    flat = F.col(size) >= least
+    gains = relative_improvement(curve.where(F.col(size) >= least), groups, size, "mean") if least else relative_improvement(curve, groups, size, "mean")
+    for k in range(1, steps + 1):
+        flat = flat & F.coalesce(F.lead("improvement", k).over(w) < tolerance, F.lit(False))
+    if least:  # the plateau has a floor, the one-standard-error rule has none
+        gains = gains.unionByName(curve.where(F.col(size) < least), allowMissingColumns=True)
+    # A group has one row for each size of the grid, so its curve fits in a row.
+    per = gains.withColumn("flat__", flat).groupBy(*groups).agg(
+        F.min_by(F.struct(F.col(size).alias("best"), "mean", "sem"), F.struct("mean", size)).alias("b"), F.min(F.when(F.col("flat__"), F.col(size))).alias("plateau"),
+        F.max(size).alias("largest"), F.collect_list(F.struct(F.col(size).alias("size"), "mean")).alias("curve"))
+    bound = F.col("b.mean") + F.coalesce("b.sem", F.lit(0.0))
+    per = per.withColumn("bound", bound).withColumn("one_se", F.array_min(F.transform(F.filter("curve", lambda c: c["mean"] <= F.col("bound")), lambda c: c["size"])))
     practical = F.greatest(F.col("one_se"), F.coalesce("plateau", "one_se"))
-    return chosen.join(largest, groups).select(*groups, "best", "one_se", "plateau", practical.alias("practical"), "largest",
-                                               (F.col("plateau").isNotNull() & (practical < F.col("largest"))).alias("converged"))
+    return per.select(*groups, F.col("b.best").alias("best"), "one_se", "plateau", practical.alias("practical"), "largest",
+                      (F.col("plateau").isNotNull() & (practical < F.col("largest"))).alias("converged"))
 
 
 def at_largest(choices: DataFrame, groups: list[str], seed: str, chosen: str, largest: int) -> DataFrame:
