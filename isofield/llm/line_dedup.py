@@ -8,7 +8,7 @@ banded bit-parallel edit distance: for each number of errors a bit vector over t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isofield.llm.common import cut
@@ -64,27 +64,38 @@ def probes(line: str, n: str, k: int) -> str:
 
 def within(a: Column, b: Column, k: int) -> Column:
     """Whether two strings are within k edits: bit d of state e says that diagonal d - k is reached with at most e errors."""
-    x, y = F.split(a, ""), F.split(b, "")
-    x, y = F.filter(x, lambda c: c != ""), F.filter(y, lambda c: c != "")
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
     bits = (1 << (2 * k + 1)) - 1
     start = F.array(*[F.lit(sum(1 << (k + j) for j in range(e + 1))).cast("long") for e in range(k + 1)])
 
-    def step(state: Column, i: Column) -> Column:
-        match = F.lit(0).cast("long")
-        for d in range(-k, k + 1):
-            same = F.get(y, i + d) == F.get(x, i)
-            match = match.bitwiseOR(F.when((i + d >= 0) & same, F.lit(1 << (k + d)).cast("long")).otherwise(F.lit(0).cast("long")))
-        out = [F.get(state, F.lit(0)).bitwiseAND(match)]
-        for e in range(1, k + 1):
-            less = F.get(state, F.lit(e - 1))
-            out.append(F.get(state, F.lit(e)).bitwiseAND(match).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1))
-                       .bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(F.lit(bits).cast("long"))))
-        return F.array(*out)
+    def reached(x: Column, y: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            match = F.lit(0).cast("long")
+            for d in range(-k, k + 1):
+                same = F.get(y, i + d) == F.get(x, i)
+                match = match.bitwiseOR(F.when((i + d >= 0) & same, F.lit(1 << (k + d)).cast("long")).otherwise(F.lit(0).cast("long")))
 
-    last = F.size(y) - F.size(x)
-    done = F.aggregate(F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    reached = F.call_function("getbit", F.get(done, F.lit(k)), F.greatest(F.least(last, F.lit(k)), F.lit(-k)) + k) == 1
-    return (F.abs(last) <= k) & reached
+            def levels(m: Column) -> Column:
+                out = [F.get(state, F.lit(0)).bitwiseAND(m)]
+                for e in range(1, k + 1):
+                    less = F.get(state, F.lit(e - 1))
+                    out.append(F.get(state, F.lit(e)).bitwiseAND(m).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1))
+                               .bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(F.lit(bits).cast("long"))))
+                return F.array(*out)
+
+            return bound(match, levels)
+
+        last = F.size(y) - F.size(x)
+        done = F.aggregate(F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>")), start, step)
+        bit = F.call_function("getbit", F.get(done, F.lit(k)), F.greatest(F.least(last, F.lit(k)), F.lit(-k)) + k)
+        return (F.abs(last) <= k) & (bit == 1)
+
+    return bound(F.struct(chars(a).alias("x"), chars(b).alias("y")), lambda p: reached(p["x"], p["y"]))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -94,20 +105,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
         .withColumn("line_id", F.xxhash64("line"))
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """table, to be sent to every task if it is small; otherwise the join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_LINES else table
+
+
 def near_earlier(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """(line_id) of lines with another, earlier line within the threshold."""
     lines = lines_of(docs).where(F.length("line") >= min_chars)
-    distinct = lines.groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.first("line").alias("line"))
-    numbered = distinct.select("line_id", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
-    rows = numbered.select("line_id", "letters", F.expr(
-        f"explode(concat(transform({segments('line', 'n', threshold)}, x -> struct(x as key, false as asks)),"
-        f" transform({probes('line', 'n', threshold)}, x -> struct(x as key, true as asks))))").alias("row")) \
-        .select("line_id", "letters", "row.key", "row.asks")
-    # Keys that only one line has go; what stays is small, and gets its text from the same shuffled lines.
-    w = Window.partitionBy("key")
-    met = rows.withColumn("lo", F.min("line_id").over(w)).withColumn("hi", F.max("line_id").over(w)) \
-        .withColumn("some", F.min("asks").over(w)).where("lo < hi and not some").select("key", "asks", "line_id", "letters")
-    met = cut(met.join(distinct, "line_id"), "met")
+    rows = lines.select("line_id", F.expr(
+        f"explode(concat(transform({segments('line', 'length(line)', threshold)}, x -> struct(x as key, false as asks)),"
+        f" transform({probes('line', 'length(line)', threshold)}, x -> struct(x as key, true as asks))))").alias("row")) \
+        .select("line_id", "row.key", "row.asks")
+    # Keys that an indexed line and another line have. Repeated lines are counted in before the shuffle.
+    keys = cut(rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.min("asks").alias("only"))
+               .where("lo < hi and not only").select("key"), "keys")
+    met = cut(rows.join(sized(keys), "key").distinct(), "met")
+    # Text and first place of the lines that meet under a key, alone.
+    wanted = met.select("line_id").distinct()
+    text = cut(lines.join(sized(wanted), "line_id").groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line"))
+               .withColumn("letters", letter_counts(F.col("line"))), "text")
+    met = cut(met.join(text, "line_id"), "met-text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().where(within(F.col("x"), F.col("y"), threshold)).select("line_id").distinct()
@@ -134,8 +152,7 @@ def dropped(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         .join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near") \
         .select("line_id", "seen", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = cut(repeated, "repeated")
-    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_LINES else repeated
-    return lines.join(small, "line_id").where(F.col("near") | (F.struct("id", "place", "copy") != F.col("seen"))) \
+    return lines.join(sized(repeated), "line_id").where(F.col("near") | (F.struct("id", "place", "copy") != F.col("seen"))) \
         .groupBy("id", "copy").agg(F.collect_set("place").alias("places"))
 
 
