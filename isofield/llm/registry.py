@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isofield.llm import ann, embed_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
+from isofield.llm import ann, embed_dedup, html_text, line_dedup, mixing, ngram_join, oracles, packing, quality, toxicity, warc
 from isofield.llm.common import scratch, table
 
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
