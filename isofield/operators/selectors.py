@@ -46,7 +46,9 @@ def capacity_decision(scores: DataFrame, groups: list[str], size: str, score: st
 
     The practical size is the larger of the one-standard-error size and the plateau, or the former where there is no plateau.
     """
-    curve = finite_summary(scores, [*groups, size], score).where("mean is not null").select(*groups, size, "mean", "sem")
+    scores = scores.select(*groups, F.col(size).alias("size__"), F.col(score).alias("score__"))
+    size = "size__"
+    curve = finite_summary(scores, [*groups, size], "score__").where("mean is not null").select(*groups, size, "mean", "sem")
     w = Window.partitionBy(*groups).orderBy(size)
     flat = F.col(size) >= least
     gains = relative_improvement(curve.where(F.col(size) >= least), groups, size, "mean") if least else relative_improvement(curve, groups, size, "mean")

@@ -20,10 +20,10 @@ def _gram(rows: DataFrame, a: str, b: str, m: int) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((m, m))
         for batch in batches:
-            total += np.array(batch[a].tolist(), float).reshape(-1, m).T @ np.array(batch[b].tolist(), float).reshape(-1, m)
+            total += np.array(batch["a"].tolist(), float).reshape(-1, m).T @ np.array(batch["b"].tolist(), float).reshape(-1, m)
         yield pd.DataFrame({"g": [total.ravel()]})
 
-    got = rows.select(a, b).mapInPandas(partial, "g array<double>").select(Summarizer.sum(array_to_vector("g")).alias("g")).first()
+    got = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(partial, "g array<double>").select(Summarizer.sum(array_to_vector("g")).alias("g")).first()
     return np.array(got["g"]).reshape(m, m)
 
 
