@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from isofield.functions import columns as C
 from isofield.operators import graph as G
+from isofield.operators import potential as P
 from isofield.operators import regression as L
 from isofield.operators import relational as R
 from isofield.operators import selectors as S
@@ -614,6 +615,37 @@ def ridge_grid(spark, d):
     return L.grid_scores(train.where("split = 'validation'"), "design", "vx", grid_).orderBy("nrmse", "n_basis", "strength", "power")
 
 
+@query(f"with {PAIRS} select region, round(sqrt(sum((p-t)*(p-t)/(w*w))/sum(t*t/(w*w))), 6) profile_nrmse, round(sqrt(avg(pow((p-t)/(5*w), 2))), 5) residual, round(sum(pow((p-t)/(5*w), 2))/(count(*) - 2.5::double), 4) chi2 from pairs group by 1")
+def profile_scores(spark, d):
+    t, p, w = F.col("t"), F.col("p"), F.col("w")
+    return pairs(spark, d).groupBy("region").agg(F.round(P.profile_nrmse(t, p, w), 6).alias("profile_nrmse"), F.round(P.standard_residual(t, p, 5 * w), 5).alias("residual"),
+                                                 F.round(P.reduced_chi_square(t, p, 5 * w, 2.5), 4).alias("chi2"))
+
+
+@query(f"with {POINTS} select id, round((x*vx+y*vy+z*vz)/sqrt(x*x+y*y+z*z), 6) a0, round((x*vy+y*vz+z*vx)/sqrt(x*x+y*y+z*z), 6) a1, round(2*vx-vy, 6) ux, round(2*vy-vz, 6) uy, round(2*vz-vx, 6) uz from points")
+def potential_design(spark, d):
+    s = lambda *c: F.struct(*[F.col(k).alias(a) for k, a in zip(c, "xyz")])
+    p = points(spark, d).withColumn("g", F.array(s("vx", "vy", "vz"), s("vy", "vz", "vx")))
+    a = P.radial_design([F.col(c) for c in "xyz"], F.col("g"))
+    u = P.velocity(F.col("g"), [2.0, -1.0])
+    return rounded(p.select("id", F.get(a, F.lit(0)).alias("a0"), F.get(a, F.lit(1)).alias("a1"), *[c.alias(n) for c, n in zip(u, ("ux", "uy", "uz"))]))
+
+
+@query(f"with {POINTS} select id, greatest(-1, least(1, round(vx / (select quantile_cont(abs(vx), 0.99) from points), 6))) scaled from points")
+def robust_scaled(spark, d):
+    return rounded(P.robust_scaled(points(spark, d), "vx").select("id", "scaled"))
+
+
+@query(f"with {POINTS} select id from (select id, row_number() over (order by x, id) - 1 k from points) where k % 7 = 0")
+def every_seventh(spark, d):
+    return P.thin(points(spark, d).select("id", "x"), ["x", "id"], 7).select("id")
+
+
+@query()
+def point_bootstrap(spark, d):
+    return S.point_bootstrap(points(spark, d), "id", "vx", "vy", "vz")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -119,3 +119,26 @@ def test_neighbours_of_clustered_and_equal_points(spark):
         want = np.lexsort((np.arange(110), d[i]))[:4]
         assert np.allclose([best[k + 1][1] for k in range(4)], d[i, want]) and [best[k + 1][0] for k in range(4)] == want.tolist()
     assert G.knn(queries, points.limit(0), 4, True).count() == 0
+
+
+def test_affine_parts_and_component_rows(spark):
+    from isofield.operators import potential as P
+
+    rng = np.random.default_rng(5)
+    x, modes = rng.normal(size=(300, 3)), rng.normal(size=(300, 2))
+    n = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, *map(float, a), [float(v) for v in m]) for i, (a, m) in enumerate(zip(x, modes))], "id int, x double, y double, z double, a array<double>")
+    fixed = np.array([r.design for r in P.remove_affine(df, ["x", "y", "z"], "a").orderBy("id").collect()])
+    assert np.abs(n.T @ fixed).max() < 1e-9
+    assert np.allclose(fixed, modes - n @ np.linalg.lstsq(n, modes, rcond=None)[0])
+    scale = P.affine_scale(df, "a")
+    assert np.isclose(scale, np.median(np.sqrt((modes ** 2).mean(0))))
+    g = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("z").alias("z")))
+    rows = P.component_rows(df.withColumn("g", P.with_affine(g, scale)).withColumn("t", F.col("x") * 3), "id", "g", ["t", "t", "t"]).where("id = 0").orderBy("component").collect()
+    assert [r.design for r in rows] == [[scale if j == k else 0.0 for j in range(3)] + [float(x[0, k])] for k in range(3)]
+    products = {(r.i, r.j): r.product for r in P.orthogonality(df, "a", F.lit(1.0)).collect()}
+    assert np.isclose(products[0, 1], modes[:, 0] @ modes[:, 1])
+    theta = np.array([0.5, -1.0])
+    y = modes @ np.array([0.4, -1.2])
+    want = np.sqrt(((modes @ theta - y) ** 2).mean() / (y ** 2).mean())
+    assert np.isclose(P.quadratic_nrmse(theta, modes.T @ modes / 300, modes.T @ y / 300, (y ** 2).mean()), want)
