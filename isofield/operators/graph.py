@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isofield.sources.shared import cut
+
 AXES = ("x", "y", "z")
 #: How many times the search radius may double before it must cover any finite set of points.
 MAX_DOUBLINGS = 64
@@ -41,13 +43,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool) -> DataF
             pairs = pairs.where("src <> dst")
         w = Window.partitionBy("src").orderBy("dist", "dst")
         near = pairs.withColumn("dist", F.sqrt(gap)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "dist", F.col("rank").cast("int").alias("rank"))
+        near = cut(near)  # a round's answers are few, and later rounds start from them
         if h >= reach:
             return near if done is None else done.unionByName(near)
         settled = near.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where((F.col("n") >= wanted) & (F.col("far") <= h)).select("src")
         good = near.join(settled, "src", "left_semi")
         done = good if done is None else done.unionByName(good)
-        open_ = open_.join(settled, open_["id"] == settled["src"], "left_anti")
-        if not open_.limit(1).count():
+        open_ = cut(open_.join(settled, open_["id"] == settled["src"], "left_anti"))
+        if not open_.count():
             return done
         h *= 2
     raise ValueError("points are too far apart for cells of any width tried")
