@@ -17,8 +17,6 @@ THRESHOLD = 0.93
 #: Rows of a list that one task holds against as many others.
 BLOCK = 4096
 LIST_ROWS = 2048
-#: A near copy's displacement along one axis is at most so many of its standard deviations, for the choice of lists.
-SIGMAS = 4.0
 
 
 def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -28,8 +26,8 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Rows link when their labels are equal and not null and their cosine, in double precision, is at least threshold.
     Equal vectors of a label are compared once, with their number as weight. Vectors that are null, zero, non-finite or
     of an unusual length link with nothing, as do null ids. A row does not link with rows of its own id. A vector goes
-    to its nearest list and asks every list whose border it may be near enough to cross; in a list the code
-    distance less the code error rules most rows out, and the exact cosine decides. An empty table gives an empty result.
+    to its nearest list and asks every list whose border lies within the reach of a link, whatever the link's direction;
+    in a list the code distance less the code error rules most rows out, and the exact cosine decides. An empty table gives an empty result.
     """
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     base = ivfpq.usable(own, "id", "vector", "label").where("label is not null") \
@@ -43,7 +41,6 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     x = ivfpq.sample(classes, max_train)
     q = ivfpq.fit(x, -(-stats["n"] // (LIST_ROWS * max(1, stats["labels"]))))
     reach = float(np.sqrt(2 - 2 * threshold))
-    slack = reach * min(1.0, SIGMAS / np.sqrt(x.shape[1]))
     between = np.sqrt(ivfpq.squares(q.centres, q.centres))
     indexed = cut(ivfpq.index(classes, q, ", label string, weight long"), "index")
 
@@ -52,7 +49,9 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             if len(batch):
                 d = ivfpq.squares(ivfpq.unit(np.array(batch["vector"].tolist(), float)), q.centres)
                 home = batch["list"].to_numpy()
-                at, number = np.nonzero(d - d[np.arange(len(d)), home][:, None] <= 2 * slack * between[home] + 1e-12)
+                # A row of list j is no nearer to this vector's own centre than to c_j, so by Cauchy-Schwarz a linked one gives
+                # d_j^2 - d_home^2 <= 2 * reach * |c_j - c_home|.
+                at, number = np.nonzero(d - d[np.arange(len(d)), home][:, None] <= 2 * reach * between[home] + 1e-9)
                 yield batch[["id", "vector", "label"]].iloc[at].assign(list=number.astype(np.int32))
 
     asked = cut(indexed.select("id", "vector", "label", "list").mapInPandas(ask, "id long, vector array<double>, label string, list int"), "asked")

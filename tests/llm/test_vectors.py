@@ -73,6 +73,27 @@ def test_near_vectors_against_brute_force(spark):
     assert embed_dedup.near(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_vectors_with_displacements_along_one_axis(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LIST_ROWS", 4)
+    rng = np.random.default_rng(8)
+    x = ivfpq.unit(rng.normal(size=(500, 64)))
+    axis = rng.normal(size=64)
+    y = []
+    for v in x:
+        a = axis - (axis @ v) * v
+        c = rng.uniform(0.931, 0.95)
+        y.append(c * v + np.sqrt(1 - c * c) * a / np.linalg.norm(a))
+    rows = [(i, [float(t) for t in np.float32(v)], 0) for i, v in enumerate(np.concatenate([x, y]))]
+    link = cosines(rows) >= 0.93
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(rows))
+    for _ in range(40):
+        comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(len(rows))])
+    got = {r.vec_id: r for r in embed_dedup.near(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == link.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(rows))] == comp.tolist()
+
+
 def test_forest_keeps_connections():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
