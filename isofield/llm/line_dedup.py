@@ -4,6 +4,9 @@ A line goes when an equal line, or one within the edit threshold, comes earlier
 line number). Lines within k edits share one of k + 1 even segments of the shorter one, at one of a few places that the
 lengths allow; these segments are the index, the substrings at such places the probes. Pairs that meet are verified by a
 banded bit-parallel edit distance: for each number of errors a bit vector over the 2k + 1 diagonals of the band.
+
+Long lines are held against each other by words: the number of word edits that leaves lines near grows with their length,
+each number with its own even segments of words, shifts and band.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 from isofield.llm.common import cut
 
 THRESHOLD = 1
-#: Shorter lines say too little to be held against others; they stay.
+#: Shorter lines say too little to be near others; only equal ones go.
 MIN_CHARS = 20
+#: Lines of twice so many words are near within one word edit; each doubling allows one edit more.
+WORDS_PER_EDIT = 5
 #: Letters whose counts rule pairs out: an edit changes their sum of differences by two at most.
 LETTERS = "etaoinsr"
 #: Tables of line ids are sent to every task only up to this many rows.
@@ -31,6 +36,15 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
+def word_counts(words: Column) -> Column:
+    """Counts of word hashes in eight buckets, each modulo 128, in one number."""
+    out = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        count = F.size(F.filter(words, lambda w: F.pmod(w, F.lit(len(LETTERS))) == k))  # noqa: B023
+        out = out.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(128)).cast("long"), 7 * k))
+    return out
+
+
 def letter_gap(a: Column, b: Column) -> Column:
     """Sum of differences of letter counts."""
     out = F.lit(0)
@@ -62,6 +76,39 @@ def probes(line: str, n: str, k: int) -> str:
     return f"array({', '.join(parts)})"
 
 
+def words_of(line: str) -> str:
+    """SQL for the hashes of the words of a line."""
+    return f"transform(filter(split({line}, '\\\\s+'), w -> w <> ''), w -> xxhash64(w))"
+
+
+def word_edits(n: str) -> str:
+    """SQL for how many word edits leave lines near, of which the shorter one has n words."""
+    return f"cast(if({n} < {2 * WORDS_PER_EDIT}, 0, floor(log2({n} / {WORDS_PER_EDIT}.0D) + 1e-9D)) as int)"
+
+
+def word_rows(words: str) -> str:
+    """SQL for the index and probe rows of a line with the given word hashes: (key, whether it asks)."""
+    spot = "struct(i * m div (k + 1) as start, (i + 1) * m div (k + 1) as end)"
+    key = f"xxhash64('words', m, i, slice({words}, cast(greatest(b.start + 1 + shift, 1) as int), cast(b.end - b.start as int)))"
+    index = f"transform(array({spot}), b -> transform(array(0), shift -> struct({key} as key, false as asks)))"
+    probe = f"transform(array({spot}), b -> transform(sequence(greatest(-i, gap - (k - i)), least(i, gap + (k - i))), shift -> struct({key} as key, true as asks)))"
+    one = f"flatten(flatten(transform(sequence(0, k), i -> if(gap < 0, {index}, {probe}))))"
+    each = f"flatten(transform(array({word_edits('m')}), k -> if(k < greatest(gap, 1), array(), {one})))"
+    gaps = f"sequence(-1, {word_edits(f'size({words})')})"
+    return f"flatten(transform({gaps}, gap -> flatten(transform(array(size({words}) - greatest(gap, 0)), m -> {each}))))"
+
+
+def within_words(a: str, b: str, k: str) -> str:
+    """SQL for whether two arrays are within k edits, k being a column: a table row over the 2k + 1 diagonals of the band for each element."""
+    far = 1_000_000
+    cell = (f"least(if(i + d - {k} >= 0 and i + d - {k} < size({b}), get(s, d) + if(get({a}, i) = get({b}, i + d - {k}), 0, 1), {far}),"
+            f" coalesce(get(s, d + 1) + 1, {far}), coalesce(get(t, d - 1) + 1, {far}))")
+    start = f"transform(sequence(0, 2 * {k}), d -> if(d >= {k}, d - {k}, {far}))"
+    step = f"aggregate(sequence(0, 2 * {k}), cast(array() as array<int>), (t, d) -> concat(t, array({cell})))"
+    rows = f"if(size({a}) > 0, sequence(0, size({a}) - 1), cast(array() as array<int>))"
+    return f"coalesce(get(aggregate({rows}, {start}, (s, i) -> {step}), size({b}) - size({a}) + {k}) <= {k}, false)"
+
+
 def within(a: Column, b: Column, k: int) -> Column:
     """Whether two strings are within k edits: bit d of state e says that diagonal d - k is reached with at most e errors."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
@@ -111,11 +158,15 @@ def sized(table: DataFrame) -> DataFrame:
 
 
 def near_earlier(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(line_id) of lines with another, earlier line within the threshold."""
+    """(line_id) of lines with another, earlier line within threshold edits, or within the word edits of their length."""
     lines = lines_of(docs).where(F.length("line") >= min_chars)
-    rows = lines.select("line_id", F.expr(
-        f"explode(concat(transform({segments('line', 'length(line)', threshold)}, x -> struct(x as key, false as asks)),"
-        f" transform({probes('line', 'length(line)', threshold)}, x -> struct(x as key, true as asks))))").alias("row")) \
+    # threshold edits are twice as many word edits at most, so lines that may differ in these need no search by characters.
+    by_words = WORDS_PER_EDIT * 4 ** threshold
+    none = "cast(array() as array<struct<key: bigint, asks: boolean>>)"
+    rows = lines.withColumn("words", F.expr(words_of("line"))).select("line_id", F.expr(
+        f"explode(concat(if(size(words) < {by_words + threshold}, concat(transform({segments('line', 'length(line)', threshold)}, x -> struct(x as key, false as asks)),"
+        f" transform({probes('line', 'length(line)', threshold)}, x -> struct(x as key, true as asks))), {none}),"
+        f" if(size(words) < {2 * WORDS_PER_EDIT}, {none}, {word_rows('words')})))").alias("row")) \
         .select("line_id", "row.key", "row.asks")
     # Keys that an indexed line and another line have. Repeated lines are counted in before the shuffle.
     keys = cut(rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.min("asks").alias("only"))
@@ -124,30 +175,43 @@ def near_earlier(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     # Text and first place of the lines that meet under a key, alone.
     wanted = met.select("line_id").distinct()
     text = cut(lines.join(sized(wanted), "line_id").groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line"))
-               .withColumn("letters", letter_counts(F.col("line"))), "text")
+               .withColumn("letters", letter_counts(F.col("line"))).withColumn("words", F.expr(words_of("line")))
+               .withColumn("buckets", word_counts(F.col("words"))).withColumn("n", F.size("words")).drop("words"), "text")
     met = cut(met.join(text, "line_id"), "met-text")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().where(within(F.col("x"), F.col("y"), threshold)).select("line_id").distinct()
+        by_chars = F.col("chars_fit") & within(F.col("x"), F.col("y"), threshold)
+        both = pairs.distinct().withColumn("word", F.expr(f"if(words_fit, struct({words_of('x')} as a, {words_of('y')} as b), null)"))
+        return both.where(by_chars | F.expr(f"words_fit and {within_words('word.a', 'word.b', 'k')}")).select("line_id").distinct()
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        k = F.expr(word_edits("least(n, e_n)"))
+        chars = (letter_gap(F.col("letters"), F.col("e_letters")) <= 2 * threshold) & (F.abs(F.length("x") - F.length("line")) <= threshold)
+        words = (k > 0) & (F.abs(F.col("n") - F.col("e_n")) <= k) & (letter_gap(F.col("buckets"), F.col("e_buckets")) <= 2 * k)
+        return pairs.select("line_id", "e_id", "x", F.col("line").alias("y"), k.alias("k"), chars.alias("chars_fit"), words.alias("words_fit")) \
+            .where("chars_fit or words_fit")
 
-    fit = letter_gap(F.col("letters"), F.col("e_letters")) <= 2 * threshold
     # First against the earliest line under each key: a group of like lines costs one pair for each line.
-    earliest = met.groupBy("key").agg(F.min_by(F.struct("seen", "line_id", "line", "letters"), F.struct("seen", "line_id")).alias("e")) \
-        .select("key", F.col("e.seen").alias("e_seen"), F.col("e.line").alias("x"), F.col("e.letters").alias("e_letters"), F.col("e.line_id").alias("e_id"))
-    first = cut(verified(met.join(earliest, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id")) & fit)
-                         .select("line_id", "e_id", "x", F.col("line").alias("y"))), "first")
+    earliest = met.groupBy("key").agg(F.min_by(F.struct("seen", "line_id", "line", "letters", "buckets", "n"), F.struct("seen", "line_id")).alias("e")) \
+        .select("key", F.col("e.seen").alias("e_seen"), F.col("e.line").alias("x"), F.col("e.letters").alias("e_letters"), F.col("e.buckets").alias("e_buckets"), F.col("e.n").alias("e_n"),
+                F.col("e.line_id").alias("e_id"))
+    first = cut(verified(fitting(met.join(earliest, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id"))))), "first")
     # Then what is still undecided against all earlier lines under its keys.
     open_ = met.join(first, "line_id", "left_anti")
-    other = met.select("key", F.col("asks").alias("e_asks"), F.col("seen").alias("e_seen"), F.col("line").alias("x"), F.col("letters").alias("e_letters"), F.col("line_id").alias("e_id"))
-    rest = open_.join(other, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id")) & (F.col("asks") != F.col("e_asks")) & fit) \
-        .select("line_id", "e_id", "x", F.col("line").alias("y"))
-    return cut(first.unionByName(verified(rest)), "near")
+    other = met.select("key", F.col("asks").alias("e_asks"), F.col("seen").alias("e_seen"), F.col("line").alias("x"), F.col("letters").alias("e_letters"),
+                       F.col("buckets").alias("e_buckets"), F.col("n").alias("e_n"), F.col("line_id").alias("e_id"))
+    rest = open_.join(other, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id")) & (F.col("asks") != F.col("e_asks")))
+    return cut(first.unionByName(verified(fitting(rest))), "near")
 
 
-def dropped(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def dropped(docs: DataFrame, threshold: int, min_chars: int | None) -> DataFrame:
     """(id, copy, places) of the lines that go from each text of docs(id, text)."""
-    near = near_earlier(docs, threshold, min_chars)
-    lines = lines_of(docs).where(F.length("line") >= min_chars).select("id", "copy", "place", "line_id")
+    least = MIN_CHARS if min_chars is None else min_chars
+    near = near_earlier(docs, threshold, least)
+    compared = F.length("line") >= least
+    if min_chars is None:
+        compared = compared | F.rlike("line", F.lit(r"\S"))
+    lines = lines_of(docs).where(compared).select("id", "copy", "place", "line_id")
     repeated = lines.groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.count(F.lit(1)).alias("n")) \
         .join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near") \
         .select("line_id", "seen", F.coalesce("near", F.lit(False)).alias("near"))
@@ -156,7 +220,7 @@ def dropped(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         .groupBy("id", "copy").agg(F.collect_set("place").alias("places"))
 
 
-def rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int) -> DataFrame:
+def rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
     """docs with text_col rebuilt, and the columns n_lines__ and n_dropped__."""
     gone = dropped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, min_chars) \
         .select(F.col("id").alias("id__"), F.col("copy").alias("copy__"), F.col("places").alias("places__"))
@@ -168,12 +232,13 @@ def rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_cha
                          F.coalesce(F.size(lines), F.lit(0)).alias("n_lines__"), F.coalesce(F.size("places__"), F.lit(0)).alias("n_dropped__"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
     """(id, text, n_lines, n_dropped): every document with the lines that no earlier line is like.
 
-    Lines are parted by newlines alone. A line of at least min_chars characters goes when an equal line or one within
-    threshold edits comes earlier, whether that one stays or not; ids are ordered with nulls first, lines by their
-    number. Shorter and blank lines stay. A text of dropped lines alone becomes empty; its document stays. Null texts
+    Lines are parted by newlines alone. A line goes when an equal line comes earlier, or, from MIN_CHARS characters on, one
+    within threshold edits or within the word edits that the shorter one's length allows (one from 10 words on, two from
+    20, three from 40 and so on), whether that one stays or not; ids are ordered with nulls first, lines by their number.
+    Blank lines stay; with min_chars, all shorter lines do, and it is the bound of near lines as well. A text of dropped lines alone becomes empty; its document stays. Null texts
     stay null with no lines. Rows that repeat an id and a text are one document and come back as often as they came;
     other texts of the same id are ordered by a hash. Lines are told apart by 64-bit hashes. An empty table gives an
     empty result.

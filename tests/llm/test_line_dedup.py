@@ -60,3 +60,33 @@ def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" * 30, 5, 6), (2, "x" * 30, 7, 8)], "doc_id long, text string, line_id int, places int")
     assert {(r.doc_id, r.text) for r in line_dedup.dedup(df).collect()} == {(1, "x" * 30), (2, "")}
     assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_short_repeats_and_word_edits_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeghilmnoprst") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (9, 10, 11, 19, 20, 21, 25, 39, 40, 50, 85)]
+    short = ["Menu", "x", "Read more", "  ", "}"]
+    docs = []
+    for i in range(70):
+        lines = [rng.choice(short)]
+        for w in rng.sample(base, 3):
+            w = list(w)
+            for _ in range(rng.randint(0, 5)):
+                k, c = rng.randrange(len(w)), rng.choice(vocabulary)
+                w = rng.choice([w[:k] + [c] + w[k + 1:], w[:k] + [c] + w[k:], w[:k] + w[k + 1:]])
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    edits = lambda a, b: next(k for k in range(20, -1, -1) if min(len(a), len(b)) >= 5 * 2 ** k or not k)
+    gone, seen = {}, []
+    for i, t in docs:
+        for p, x in enumerate(t.split("\n")):
+            w = x.split()
+            near = lambda y: x == y or len(x) >= 20 <= len(y) and (
+                (abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1) or (k := edits(w, y.split())) and distance(w, y.split()) <= k)
+            if w and any(near(y) for y in seen):
+                gone.setdefault(i, set()).add(p)
+            seen.append(x)
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())) for i, t in docs}
+    assert {r.doc_id: r.text for r in got} == want
