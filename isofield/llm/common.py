@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09-0x0D.
@@ -17,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where the session names none, a local folder serves a session of one machine; a cluster raises an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -38,5 +44,49 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that go when the block ends, but for those that a result still reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def cut(self, df: DataFrame, what: str = "cut") -> DataFrame:
+        path = scratch(self.spark, what)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, found))
+        return found
+
+    def keep(self, *found: DataFrame) -> None:
+        """These tables stay in the shared folder."""
+        self.tables = [t for t in self.tables if not any(t[1] is x for x in found)]
+
+    def drop(self, *found: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        gone = [t for t in self.tables if not found or any(t[1] is x for x in found)]
+        self.tables = [t for t in self.tables if t not in gone]
+        jvm = self.spark._jvm
+        for path, _ in gone:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def named(docs: DataFrame, **columns: Column | str) -> DataFrame:
+    """docs as one struct column `row` beside the given columns, so that no name of docs clashes with one of ours."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                       *[(docs[f"`{c}`"] if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+
+
+def unnamed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that named() put away, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def n_words(text) -> "F.Column":
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,12 +1,13 @@
 """Line deduplication over a corpus by a segment-partition edit join, in DataFrame functions alone.
 
 A line goes when an equal line, or one within the edit threshold, comes earlier in the corpus (by document id, then by
-line number). Lines within k edits share one of k + 1 even segments of the shorter one, at one of a few places that the
-lengths allow; these segments are the index, the substrings at such places the probes. Pairs that meet are verified by a
-banded bit-parallel edit distance: for each number of errors a bit vector over the 2k + 1 diagonals of the band.
+line number). Lines of few words are sequences of characters, longer ones sequences of words. Sequences within k edits
+share one of k + 1 even segments of the shorter one, at one of a few places that the lengths allow; these segments are
+the index, the substrings at such places the probes. Pairs that meet are verified by a banded bit-parallel edit
+distance: for each number of errors a bit vector over the 2k + 1 diagonals of the band.
 
-Long lines are held against each other by words: the number of word edits that leaves lines near grows with their length,
-each number with its own even segments of words, shifts and band.
+A segment that very many lines share is split further: what two near lines have left without it is within k edits too,
+so its own k + 1 segments refine the key.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isofield.llm.common import cut
+from isofield.llm.common import Scratch, named, unnamed
 
 THRESHOLD = 1
 #: Shorter lines say too little to be near others; only equal ones go.
 MIN_CHARS = 20
-#: Lines of twice so many words are near within one word edit; each doubling allows one edit more.
-WORDS_PER_EDIT = 5
+#: Least words of a line, and the word edits that it may be away from another. Lines of fewer words are held by characters.
+WORD_EDITS = ((10, 1), (20, 2))
 #: Letters whose counts rule pairs out: an edit changes their sum of differences by two at most.
 LETTERS = "etaoinsr"
+#: Words are counted by hash in so many buckets of ten bits.
+BUCKETS, BUCKET_BITS = 6, 10
 #: Tables of line ids are sent to every task only up to this many rows.
 BROADCAST_LINES = 500_000
+#: Keys with more lines are refined, so many times at most.
+HOT, REFINEMENTS = 100, 3
 
 
 def letter_counts(line: Column) -> Column:
@@ -36,15 +41,6 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
-def word_counts(words: Column) -> Column:
-    """Counts of word hashes in eight buckets, each modulo 128, in one number."""
-    out = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        count = F.size(F.filter(words, lambda w: F.pmod(w, F.lit(len(LETTERS))) == k))  # noqa: B023
-        out = out.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(128)).cast("long"), 7 * k))
-    return out
-
-
 def letter_gap(a: Column, b: Column) -> Column:
     """Sum of differences of letter counts."""
     out = F.lit(0)
@@ -54,64 +50,64 @@ def letter_gap(a: Column, b: Column) -> Column:
     return out
 
 
-def segments(line: str, n: str, k: int) -> str:
-    """SQL for the index rows of a line of n characters: (segment number, segment length class, content hash)."""
-    parts = []
-    for i in range(k + 1):
-        start, end = f"({i} * {n} div {k + 1})", f"({i + 1} * {n} div {k + 1})"
-        parts.append(f"xxhash64({n}, {i}, substring({line}, cast({start} + 1 as int), cast({end} - {start} as int)))")
-    return f"array({', '.join(parts)})"
+def word_counts(words: Column) -> Column:
+    """Counts of words in a few buckets by hash, in one number; null for arrays that might overflow a bucket."""
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) * BUCKET_BITS).cast("int"))
+    return F.when(F.size(words) < (1 << BUCKET_BITS), F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + one(w)))
 
 
-def probes(line: str, n: str, k: int) -> str:
-    """SQL for the probe rows of a line against indexed lines that are 0 to k characters shorter."""
-    parts = []
-    for gap in range(k + 1):
-        m = f"({n} - {gap})"
-        for i in range(k + 1):
-            start, end = f"({i} * {m} div {k + 1})", f"({i + 1} * {m} div {k + 1})"
-            # Errors left of the segment bound its shift by i, errors right of it by k - i.
-            for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1):
-                parts.append(f"xxhash64({m}, {i}, substring({line}, cast(greatest({start} + 1 + {shift}, 1) as int), cast({end} - {start} as int)))")
-    return f"array({', '.join(parts)})"
+def word_gap(a: Column, b: Column) -> Column:
+    """Sum of differences of word counts; null where either is."""
+    mask = F.lit((1 << BUCKET_BITS) - 1)
+    out = F.lit(0)
+    for k in range(BUCKETS):
+        out = out + F.abs(F.shiftright(a, BUCKET_BITS * k).bitwiseAND(mask) - F.shiftright(b, BUCKET_BITS * k).bitwiseAND(mask))
+    return out
 
 
-def words_of(line: str) -> str:
-    """SQL for the hashes of the words of a line."""
-    return f"transform(filter(split({line}, '\\\\s+'), w -> w <> ''), w -> xxhash64(w))"
+def spots(n: str, k: int, gap: int) -> list[tuple[int, str, str, int]]:
+    """SQL of (segment, start, length, whether it only asks) of a sequence of n symbols held against ones of gap symbols less.
+
+    Errors left of a segment bound its shift by i, errors right of it by k - i.
+    """
+    m, out = f"({n} - {gap})", []
+    for i in range(k + 1):
+        start, end = f"({i} * {m} div {k + 1})", f"({i + 1} * {m} div {k + 1})"
+        for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1):
+            out.append((i, f"cast(greatest({start} + {shift}, 0) as int)", f"cast({end} - {start} as int)", int(gap > 0 or shift != 0)))
+    return out
 
 
-def word_edits(n: str) -> str:
-    """SQL for how many word edits leave lines near, of which the shorter one has n words."""
-    return f"cast(if({n} < {2 * WORDS_PER_EDIT}, 0, floor(log2({n} / {WORDS_PER_EDIT}.0D) + 1e-9D)) as int)"
+def edits(n: str, by_words: str, threshold: int) -> str:
+    """SQL of the edits that a line of n symbols may be away from a line that is no shorter."""
+    steps = " ".join(f"when {n} >= {least} then {k}" for least, k in reversed(WORD_EDITS))
+    return f"case when not {by_words} then {threshold} {steps} else 0 end"
 
 
-def word_rows(words: str) -> str:
-    """SQL for the index and probe rows of a line with the given word hashes: (key, whether it asks)."""
-    spot = "struct(i * m div (k + 1) as start, (i + 1) * m div (k + 1) as end)"
-    key = f"xxhash64('words', m, i, slice({words}, cast(greatest(b.start + 1 + shift, 1) as int), cast(b.end - b.start as int)))"
-    index = f"transform(array({spot}), b -> transform(array(0), shift -> struct({key} as key, false as asks)))"
-    probe = f"transform(array({spot}), b -> transform(sequence(greatest(-i, gap - (k - i)), least(i, gap + (k - i))), shift -> struct({key} as key, true as asks)))"
-    one = f"flatten(flatten(transform(sequence(0, k), i -> if(gap < 0, {index}, {probe}))))"
-    each = f"flatten(transform(array({word_edits('m')}), k -> if(k < greatest(gap, 1), array(), {one})))"
-    gaps = f"sequence(-1, {word_edits(f'size({words})')})"
-    return f"flatten(transform({gaps}, gap -> flatten(transform(array(size({words}) - greatest(gap, 0)), m -> {each}))))"
+def laid_out(n: str, by_words: str, threshold: int, one, kind: str) -> str:
+    """SQL of an array with one(k, gap, segment, start, length, asks), of the given kind, of every index and probe row of a line."""
+    cases = [("not " + by_words, threshold, gap) for gap in range(threshold + 1)]
+    for at, (least, k) in enumerate(WORD_EDITS):
+        for gap in range(k + 1):
+            below = f" and {n} - {gap} < {WORD_EDITS[at + 1][0]}" if at + 1 < len(WORD_EDITS) else ""
+            cases.append((f"{by_words} and {n} - {gap} >= {least}{below}", k, gap))
+    rows = lambda k, gap: "array(" + ", ".join(one(k, gap, *s) for s in spots(n, k, gap)) + ")"
+    return "concat(" + ", ".join(f"if({c}, {rows(k, gap)}, cast(array() as array<{kind}>))" for c, k, gap in cases) + ")"
 
 
-def within_words(a: str, b: str, k: str) -> str:
-    """SQL for whether two arrays are within k edits, k being a column: a table row over the 2k + 1 diagonals of the band for each element."""
-    far = 1_000_000
-    cell = (f"least(if(i + d - {k} >= 0 and i + d - {k} < size({b}), get(s, d) + if(get({a}, i) = get({b}, i + d - {k}), 0, 1), {far}),"
-            f" coalesce(get(s, d + 1) + 1, {far}), coalesce(get(t, d - 1) + 1, {far}))")
-    start = f"transform(sequence(0, 2 * {k}), d -> if(d >= {k}, d - {k}, {far}))"
-    step = f"aggregate(sequence(0, 2 * {k}), cast(array() as array<int>), (t, d) -> concat(t, array({cell})))"
-    rows = f"if(size({a}) > 0, sequence(0, size({a}) - 1), cast(array() as array<int>))"
-    return f"coalesce(get(aggregate({rows}, {start}, (s, i) -> {step}), size({b}) - size({a}) + {k}) <= {k}, false)"
+def key_of(what: str, symbols: str, i: int, start: str, length: str) -> str:
+    """SQL of an index or probe row's key: a hash without its last bit."""
+    return f"(xxhash64({what}, {i}, slice({symbols}, {start} + 1, {length})) & -2L)"
 
 
 def within(a: Column, b: Column, k: int) -> Column:
-    """Whether two strings are within k edits: bit d of state e says that diagonal d - k is reached with at most e errors."""
+    """Whether two strings are within k edits of characters."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    return within_symbols(chars(a), chars(b), k)
+
+
+def within_symbols(a: Column, b: Column, k: int) -> Column:
+    """Whether two arrays are within k edits: bit d of state e says that diagonal d - k is reached with at most e errors."""
     bits = (1 << (2 * k + 1)) - 1
     start = F.array(*[F.lit(sum(1 << (k + j) for j in range(e + 1))).cast("long") for e in range(k + 1)])
 
@@ -137,7 +133,7 @@ def within(a: Column, b: Column, k: int) -> Column:
         bit = F.call_function("getbit", F.get(done, F.lit(k)), F.greatest(F.least(last, F.lit(k)), F.lit(-k)) + k)
         return (F.abs(last) <= k) & (bit == 1)
 
-    return bound(F.struct(chars(a).alias("x"), chars(b).alias("y")), lambda p: reached(p["x"], p["y"]))
+    return bound(F.struct(a.alias("x"), b.alias("y")), lambda p: reached(p["x"], p["y"]))
 
 
 def bound(value: Column, body) -> Column:
@@ -146,10 +142,13 @@ def bound(value: Column, body) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, copy, place, line, line_id) of each line of docs(id, text); copy tells texts under one id apart."""
+    """(id, copy, place, line, line_id, twin) of each line of docs(id, text).
+
+    copy tells texts under one id apart; line_id and twin are two hashes of the line, 96 bits together.
+    """
     return docs.where("text is not null").select(
         "id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line")) \
-        .withColumn("line_id", F.xxhash64("line"))
+        .withColumns({"line_id": F.xxhash64("line"), "twin": F.hash("line")})
 
 
 def sized(table: DataFrame) -> DataFrame:
@@ -157,91 +156,144 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_LINES else table
 
 
-def near_earlier(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(line_id) of lines with another, earlier line within threshold edits, or within the word edits of their length."""
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key) of those that two lines have, one of them as an index row; counted before the shuffle, so a hot key costs little."""
+    return rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.min("asks").alias("asks")) \
+        .where("lo < hi and asks = 0").select("key")
+
+
+def near_earlier(docs: DataFrame, threshold: int, min_chars: int, scratch: Scratch) -> DataFrame:
+    """(line_id, twin) of lines with another, earlier line that is near."""
     lines = lines_of(docs).where(F.length("line") >= min_chars)
-    # threshold edits are twice as many word edits at most, so lines that may differ in these need no search by characters.
-    by_words = WORDS_PER_EDIT * 4 ** threshold
-    none = "cast(array() as array<struct<key: bigint, asks: boolean>>)"
-    rows = lines.withColumn("words", F.expr(words_of("line"))).select("line_id", F.expr(
-        f"explode(concat(if(size(words) < {by_words + threshold}, concat(transform({segments('line', 'length(line)', threshold)}, x -> struct(x as key, false as asks)),"
-        f" transform({probes('line', 'length(line)', threshold)}, x -> struct(x as key, true as asks))), {none}),"
-        f" if(size(words) < {2 * WORDS_PER_EDIT}, {none}, {word_rows('words')})))").alias("row")) \
-        .select("line_id", "row.key", "row.asks")
-    # Keys that an indexed line and another line have. Repeated lines are counted in before the shuffle.
-    keys = cut(rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.min("asks").alias("only"))
-               .where("lo < hi and not only").select("key"), "keys")
-    met = cut(rows.join(sized(keys), "key").distinct(), "met")
-    # Text and first place of the lines that meet under a key, alone.
-    wanted = met.select("line_id").distinct()
-    text = cut(lines.join(sized(wanted), "line_id").groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line"))
-               .withColumn("letters", letter_counts(F.col("line"))).withColumn("words", F.expr(words_of("line")))
-               .withColumn("buckets", word_counts(F.col("words"))).withColumn("n", F.size("words")).drop("words"), "text")
-    met = cut(met.join(text, "line_id"), "met-text")
+    by_words = f"(size(words) >= {WORD_EDITS[0][0]})"
+    shaped = lines.withColumn("words", F.split("line", " ")) \
+        .withColumn("symbols", F.expr(f"if({by_words}, words, split(line, ''))")).withColumn("n", F.size("symbols")).withColumn("by_words", F.expr(by_words))
+    # The last bit of a key tells whether the row only asks.
+    layout = laid_out("n", "by_words", threshold, lambda k, gap, i, start, length, asks: f"{key_of(f'by_words, n - {gap}', 'symbols', i, start, length)} | {asks}L", "bigint")
+    rows = scratch.cut(shaped.select("line_id", F.posexplode(F.expr(layout)).alias("spot", "v")), "rows").select("line_id", "spot", F.expr("v & -2L").alias("key"), F.expr("v & 1L").alias("asks"))
+    keys = scratch.cut(shared_keys(rows), "keys")
+    met = scratch.cut(rows.join(sized(keys), "key").distinct(), "met")
+    # Text, first place and counts of the lines that meet under a key, alone.
+    wanted = scratch.cut(met.select("line_id").distinct(), "wanted")
+    text = lines.join(sized(wanted), "line_id").groupBy("line_id", "twin").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line")) \
+        .withColumn("words", F.split("line", " ")).withColumn("by_words", F.expr(by_words)) \
+        .withColumn("symbols", F.expr("if(by_words, words, split(line, ''))")).withColumn("n", F.size("symbols")) \
+        .withColumn("sums", F.when(F.col("by_words"), word_counts(F.col("words"))).otherwise(letter_counts(F.col("line")))) \
+        .select("line_id", "twin", "seen", "symbols", "n", "by_words", "sums")
+    text = scratch.cut(text, "text")
+    placed = laid_out("n", "by_words", threshold, lambda k, gap, i, start, length, asks: f"struct({k} as k, {gap} as gap, {start} as start, {length} as length)",
+                      "struct<k: int, gap: int, start: int, length: int>")
+    level = met.join(text.drop("symbols"), "line_id").withColumn("at", F.get(F.expr(placed), F.col("spot"))) \
+        .select("key", "asks", "line_id", "twin", "seen", "n", "by_words", "sums", "at.*")
+    level, near = scratch.cut(level, "level"), None
+    own = ["line_id", "twin"]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        by_chars = F.col("chars_fit") & within(F.col("x"), F.col("y"), threshold)
-        both = pairs.distinct().withColumn("word", F.expr(f"if(words_fit, struct({words_of('x')} as a, {words_of('y')} as b), null)"))
-        return both.where(by_chars | F.expr(f"words_fit and {within_words('word.a', 'word.b', 'k')}")).select("line_id").distinct()
+        """Of pairs with another line the lines that are near it; only now the text is fetched."""
+        both = pairs.distinct().join(text.select(*own, "by_words", F.col("symbols").alias("x")), own) \
+            .join(text.select(F.col("line_id").alias("e_line_id"), F.col("twin").alias("e_twin"), F.col("symbols").alias("y")), ["e_line_id", "e_twin"])
+        chars = lambda s: F.filter(F.col(s), lambda c: c != "")
+        good = ~F.col("by_words") & within_symbols(chars("x"), chars("y"), threshold)
+        for k in sorted({k for _, k in WORD_EDITS}):
+            good = good | (F.col("by_words") & (F.col("k") == k) & within_symbols(F.col("x"), F.col("y"), k))
+        return both.where(good).select(*own).distinct()
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        k = F.expr(word_edits("least(n, e_n)"))
-        chars = (letter_gap(F.col("letters"), F.col("e_letters")) <= 2 * threshold) & (F.abs(F.length("x") - F.length("line")) <= threshold)
-        words = (k > 0) & (F.abs(F.col("n") - F.col("e_n")) <= k) & (letter_gap(F.col("buckets"), F.col("e_buckets")) <= 2 * k)
-        return pairs.select("line_id", "e_id", "x", F.col("line").alias("y"), k.alias("k"), chars.alias("chars_fit"), words.alias("words_fit")) \
-            .where("chars_fit or words_fit")
-
-    # First against the earliest line under each key: a group of like lines costs one pair for each line.
-    earliest = met.groupBy("key").agg(F.min_by(F.struct("seen", "line_id", "line", "letters", "buckets", "n"), F.struct("seen", "line_id")).alias("e")) \
-        .select("key", F.col("e.seen").alias("e_seen"), F.col("e.line").alias("x"), F.col("e.letters").alias("e_letters"), F.col("e.buckets").alias("e_buckets"), F.col("e.n").alias("e_n"),
-                F.col("e.line_id").alias("e_id"))
-    first = cut(verified(fitting(met.join(earliest, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id"))))), "first")
-    # Then what is still undecided against all earlier lines under its keys.
-    open_ = met.join(first, "line_id", "left_anti")
-    other = met.select("key", F.col("asks").alias("e_asks"), F.col("seen").alias("e_seen"), F.col("line").alias("x"), F.col("letters").alias("e_letters"),
-                       F.col("buckets").alias("e_buckets"), F.col("n").alias("e_n"), F.col("line_id").alias("e_id"))
-    rest = open_.join(other, "key").where((F.col("e_seen") < F.col("seen")) & (F.col("e_id") != F.col("line_id")) & (F.col("asks") != F.col("e_asks")))
-    return cut(first.unionByName(verified(fitting(rest))), "near")
+        """Pairs of a line and an earlier one that lengths and counts of symbols leave."""
+        k = F.expr(edits("least(n, e_n)", "by_words", threshold))
+        gap = F.when(F.col("by_words"), word_gap(F.col("sums"), F.col("e_sums"))).otherwise(letter_gap(F.col("sums"), F.col("e_sums")))
+        return pairs.where((F.col("e_seen") < F.col("seen")) & ((F.col("asks") == 0) | (F.col("e_asks") == 0)) & (F.abs(F.col("n") - F.col("e_n")) <= k)
+                           & F.coalesce(gap <= 2 * k, F.lit(True))).select(*own, "e_line_id", "e_twin", k.alias("k"))
+
+    for depth in range(REFINEMENTS + 1):
+        # First against the earliest line under each key: a group of like lines costs one pair for each line.
+        other = [F.col(c).alias("e_" + c) for c in ("asks", "seen", "n", "sums", "line_id", "twin")]
+        heads = level.groupBy("key").agg(F.min_by(F.struct(*other), F.struct("seen", "asks")).alias("e"),
+                                         F.approx_count_distinct("line_id").alias("many"), F.max("seen").alias("latest"))
+        heads = scratch.cut(heads.where("e.e_seen < latest").select("key", "many", "e.*"), "heads")
+        near_now = scratch.cut(verified(fitting(level.join(heads, "key"))), "first")
+        near = near_now if near is None else scratch.cut(near.unionByName(near_now).distinct(), "near")
+        # Then what is still undecided against all earlier lines under its keys, but for keys that are refined first.
+        undecided = level.join(near, own, "left_anti")
+        hot = scratch.cut(heads.where(F.col("many") > HOT).select("key"), "hot") if depth < REFINEMENTS else None
+        more = hot is not None and bool(hot.take(1))
+        if more:
+            undecided = undecided.join(hot, "key", "left_anti")
+        rest = undecided.join(level.select("key", *other), "key")
+        near = scratch.cut(near.unionByName(verified(fitting(rest))).distinct(), "near")
+        if not more:
+            return near
+        level = scratch.cut(refined(level.join(hot, "key", "left_semi"), text, threshold), "level")
+    return near
+
+
+def refined(level: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
+    """Rows of level under finer keys: the segments of what each sequence has left without the segments of its keys."""
+    rest = F.expr("concat(slice(symbols, 1, start), slice(symbols, start + length + 1, size(symbols)))")
+    if "rest" not in level.columns:
+        level = level.join(text.select("line_id", "twin", "symbols"), ["line_id", "twin"])
+    else:
+        level = level.withColumnRenamed("rest", "symbols")
+    left = level.withColumn("rest", rest).withColumn("m", F.size("rest")).drop("symbols", "start", "length").withColumnRenamed("asks", "asked")
+    most = max(threshold, *(k for _, k in WORD_EDITS))
+    cases = []
+    for k in range(1, most + 1):
+        for gap in range(k + 1):
+            one = [f"struct({key_of('key', 'rest', i, start, length)} as key, {asks}L as asks, {start} as start, {length} as length)"
+                   for i, start, length, asks in spots("m", k, gap)]
+            cases.append(f"when k = {k} and gap = {gap} then array({', '.join(one)})")
+    rows = left.withColumn("row", F.explode(F.expr(f"case {' '.join(cases)} end"))) \
+        .select(F.col("row.key").alias("key"), F.greatest("asked", "row.asks").alias("asks"), "line_id", "twin", "seen", "n", "by_words", "sums", "k", "gap", "row.start", "row.length", "rest")
+    return rows.join(shared_keys(rows), "key", "left_semi")
 
 
 def dropped(docs: DataFrame, threshold: int, min_chars: int | None) -> DataFrame:
     """(id, copy, places) of the lines that go from each text of docs(id, text)."""
     least = MIN_CHARS if min_chars is None else min_chars
-    near = near_earlier(docs, threshold, least)
-    compared = F.length("line") >= least
-    if min_chars is None:
-        compared = compared | F.rlike("line", F.lit(r"\S"))
-    lines = lines_of(docs).where(compared).select("id", "copy", "place", "line_id")
-    repeated = lines.groupBy("line_id").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.count(F.lit(1)).alias("n")) \
-        .join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near") \
-        .select("line_id", "seen", F.coalesce("near", F.lit(False)).alias("near"))
-    repeated = cut(repeated, "repeated")
-    return lines.join(sized(repeated), "line_id").where(F.col("near") | (F.struct("id", "place", "copy") != F.col("seen"))) \
-        .groupBy("id", "copy").agg(F.collect_set("place").alias("places"))
+    own = ["line_id", "twin"]
+    with Scratch(docs.sparkSession) as scratch:
+        near = near_earlier(docs, threshold, least, scratch)
+        compared = F.length("line") >= least
+        if min_chars is None:
+            compared = compared | F.rlike("line", F.lit(r"\S"))
+        lines = scratch.cut(lines_of(docs).where(compared).select("id", "copy", "place", *own), "lines")
+        repeated = lines.groupBy(*own).agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.count(F.lit(1)).alias("n")) \
+            .join(sized(near.withColumn("near", F.lit(True))), own, "left").where("n > 1 or near") \
+            .select(*own, "seen", F.coalesce("near", F.lit(False)).alias("near"))
+        repeated = scratch.cut(repeated, "repeated")
+        gone = scratch.cut(lines.join(sized(repeated), own).where(F.col("near") | (F.struct("id", "place", "copy") != F.col("seen")))
+                           .groupBy("id", "copy").agg(F.collect_set("place").alias("places")), "gone")
+        scratch.keep(gone)
+        return gone
 
 
 def rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
-    """docs with text_col rebuilt, and the columns n_lines__ and n_dropped__."""
-    gone = dropped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), threshold, min_chars) \
-        .select(F.col("id").alias("id__"), F.col("copy").alias("copy__"), F.col("places").alias("places__"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("places__"), i))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("copy__")), "left")
-    text = F.when(F.col("places__").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines__"), F.coalesce(F.size("places__"), F.lit(0)).alias("n_dropped__"))
+    """(row, text, n_lines, n_dropped): docs in the struct column row, and the texts that are left."""
+    gone = dropped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), threshold, min_chars)
+    rows = named(docs, id=id_col, old=text_col).withColumn("copy", F.xxhash64("old")).alias("d")
+    lines = F.split("old", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("places"), i))
+    joined = rows.join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.copy") == F.col("g.copy")), "left")
+    return joined.select("row", F.when(F.col("places").isNull(), F.col("old")).otherwise(F.array_join(kept, "\n")).alias("text"),
+                         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
+    """docs in their own columns, whatever their names, with the texts that dedup() leaves."""
+    return unnamed(rebuilt(docs, id_col, text_col, threshold, min_chars), docs.columns, **{text_col: F.col("text")})
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
     """(id, text, n_lines, n_dropped): every document with the lines that no earlier line is like.
 
-    Lines are parted by newlines alone. A line goes when an equal line comes earlier, or, from MIN_CHARS characters on, one
-    within threshold edits or within the word edits that the shorter one's length allows (one from 10 words on, two from
-    20, three from 40 and so on), whether that one stays or not; ids are ordered with nulls first, lines by their number.
-    Blank lines stay; with min_chars, all shorter lines do, and it is the bound of near lines as well. A text of dropped lines alone becomes empty; its document stays. Null texts
-    stay null with no lines. Rows that repeat an id and a text are one document and come back as often as they came;
-    other texts of the same id are ordered by a hash. Lines are told apart by 64-bit hashes. An empty table gives an
-    empty result.
+    Lines are parted by newlines alone, words by single spaces. A line goes when an equal line comes earlier or, from
+    MIN_CHARS characters on, a near one, whether that one stays or not. Lines of fewer than ten words are near within
+    threshold edits of characters; lines of ten words and more are near within the edits of words that WORD_EDITS gives
+    the shorter one. Ids are ordered with nulls first, lines by their number. Blank lines stay; with min_chars, all
+    shorter lines do, and it is the bound of near lines as well. A text of dropped lines alone becomes empty; its
+    document stays. Null texts stay null with no lines. Rows that repeat an id and a text are one document and come back
+    as often as they came; other texts of the same id are ordered by a hash. Lines are told apart by 96 bits of hashes.
+    Other columns are not read. An empty table gives an empty result.
     """
-    return rebuilt(docs.select(id_col, text_col), id_col, text_col, threshold, min_chars).select(
-        id_col, text_col, F.col("n_lines__").cast("long").alias("n_lines"), F.col("n_dropped__").cast("long").alias("n_dropped"))
+    rows = rebuilt(docs.select(id_col, text_col), id_col, text_col, threshold, min_chars)
+    return rows.select(F.col("row").getField(id_col).alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped")

@@ -77,16 +77,38 @@ def test_short_repeats_and_word_edits_against_brute_force(spark):
                 w = rng.choice([w[:k] + [c] + w[k + 1:], w[:k] + [c] + w[k:], w[:k] + w[k + 1:]])
             lines.append(" ".join(w))
         docs.append((i, "\n".join(lines)))
-    edits = lambda a, b: next(k for k in range(20, -1, -1) if min(len(a), len(b)) >= 5 * 2 ** k or not k)
+    edits = lambda a, b: 2 if min(len(a), len(b)) >= 20 else int(min(len(a), len(b)) >= 10)
     gone, seen = {}, []
     for i, t in docs:
         for p, x in enumerate(t.split("\n")):
-            w = x.split()
-            near = lambda y: x == y or len(x) >= 20 <= len(y) and (
-                (abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1) or (k := edits(w, y.split())) and distance(w, y.split()) <= k)
-            if w and any(near(y) for y in seen):
+            w = x.split(" ")
+            near = lambda y: x == y or len(x) >= 20 <= len(y) and (len(w) >= 10) == (len(y.split(" ")) >= 10) and (
+                distance(w, y.split(" ")) <= edits(w, y.split(" ")) if len(w) >= 10 else abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1)
+            if x.strip() and any(near(y) for y in seen):
                 gone.setdefault(i, set()).add(p)
             seen.append(x)
     got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())) for i, t in docs}
     assert {r.doc_id: r.text for r in got} == want
+
+
+def test_hot_segments_are_refined(spark, monkeypatch):
+    """Many lines with a common beginning, few of them near: no key keeps more lines than the bound, and no near pair is lost."""
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    rng = random.Random(3)
+    texts = ["item number " + "".join(rng.choice("0123456789") for _ in range(12)) for _ in range(60)]
+    texts += [edited(rng, rng.choice(texts), 1) for _ in range(30)]
+    head = " ".join(f"head{k}" for k in range(14))
+    vocabulary = [f"v{k}" for k in range(9)]
+    long = [head + " " + " ".join(rng.choice(vocabulary) for _ in range(9)) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts + long)]
+    gone = set()
+    for i, x in docs:
+        for _, y in docs[:i]:
+            w, v = x.split(" "), y.split(" ")
+            if x == y or (distance(x, y) <= 1 if len(w) < 10 > len(v) else len(w) >= 10 <= len(v) and distance(w, v) <= 2):
+                gone.add(i)
+                break
+    assert len(gone) > 20
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if not r.text} == gone
