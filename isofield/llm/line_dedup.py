@@ -65,39 +65,44 @@ def word_gap(a: Column, b: Column) -> Column:
     return out
 
 
-def spots(n: str, k: int, gap: int) -> list[tuple[int, str, str, int]]:
-    """SQL of (segment, start, length, whether it only asks) of a sequence of n symbols held against ones of gap symbols less.
+def spots(k: int, gap: int) -> list[int]:
+    """The index and probe rows of a sequence held against ones of gap symbols less, within k edits, each as one number.
 
-    Errors left of a segment bound its shift by i, errors right of it by k - i.
+    Errors left of a segment bound its shift by its number i, errors right of it by k - i.
     """
-    m, out = f"({n} - {gap})", []
+    out = []
     for i in range(k + 1):
-        start, end = f"({i} * {m} div {k + 1})", f"({i + 1} * {m} div {k + 1})"
         for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1):
-            out.append((i, f"cast(greatest({start} + {shift}, 0) as int)", f"cast({end} - {start} as int)", int(gap > 0 or shift != 0)))
+            out.append(k << 24 | gap << 16 | i << 8 | shift + 64 << 1 | int(gap > 0 or shift != 0))
     return out
 
 
+def read_spot(spot: str, n: str) -> dict[str, str]:
+    """SQL of what a spot says for a sequence of n symbols: k, gap, segment, start, length, and whether the row only asks."""
+    k, gap, i, shift = f"shiftright({spot}, 24)", f"(shiftright({spot}, 16) & 255)", f"(shiftright({spot}, 8) & 255)", f"((shiftright({spot}, 1) & 127) - 64)"
+    start, end = f"({i} * ({n} - {gap}) div ({k} + 1))", f"(({i} + 1) * ({n} - {gap}) div ({k} + 1))"
+    return {"k": k, "gap": gap, "segment": i, "start": f"cast(greatest({start} + {shift}, 0) as int)", "length": f"cast({end} - {start} as int)", "asks": f"({spot} & 1)"}
+
+
 def edits(n: str, by_words: str, threshold: int) -> str:
     """SQL of the edits that a line of n symbols may be away from a line that is no shorter."""
     steps = " ".join(f"when {n} >= {least} then {k}" for least, k in reversed(WORD_EDITS))
     return f"case when not {by_words} then {threshold} {steps} else 0 end"
 
 
-def laid_out(n: str, by_words: str, threshold: int, one, kind: str) -> str:
-    """SQL of an array with one(k, gap, segment, start, length, asks), of the given kind, of every index and probe row of a line."""
+def laid_out(n: str, by_words: str, threshold: int) -> str:
+    """SQL of the array of spots of a line."""
     cases = [("not " + by_words, threshold, gap) for gap in range(threshold + 1)]
     for at, (least, k) in enumerate(WORD_EDITS):
         for gap in range(k + 1):
             below = f" and {n} - {gap} < {WORD_EDITS[at + 1][0]}" if at + 1 < len(WORD_EDITS) else ""
             cases.append((f"{by_words} and {n} - {gap} >= {least}{below}", k, gap))
-    rows = lambda k, gap: "array(" + ", ".join(one(k, gap, *s) for s in spots(n, k, gap)) + ")"
-    return "concat(" + ", ".join(f"if({c}, {rows(k, gap)}, cast(array() as array<{kind}>))" for c, k, gap in cases) + ")"
+    return "concat(" + ", ".join(f"if({c}, array({', '.join(map(str, spots(k, gap)))}), cast(array() as array<int>))" for c, k, gap in cases) + ")"
 
 
-def key_of(what: str, symbols: str, i: int, start: str, length: str) -> str:
-    """SQL of an index or probe row's key: a hash without its last bit."""
-    return f"(xxhash64({what}, {i}, slice({symbols}, {start} + 1, {length})) & -2L)"
+def key_of(symbols: str, spot: dict[str, str], *what: str) -> str:
+    """SQL of an index or probe row's key."""
+    return f"xxhash64({', '.join(what)}, {spot['segment']}, slice({symbols}, {spot['start']} + 1, {spot['length']}))"
 
 
 def within(a: Column, b: Column, k: int) -> Column:
@@ -168,11 +173,12 @@ def near_earlier(docs: DataFrame, threshold: int, min_chars: int, scratch: Scrat
     by_words = f"(size(words) >= {WORD_EDITS[0][0]})"
     shaped = lines.withColumn("words", F.split("line", " ")) \
         .withColumn("symbols", F.expr(f"if({by_words}, words, split(line, ''))")).withColumn("n", F.size("symbols")).withColumn("by_words", F.expr(by_words))
-    # The last bit of a key tells whether the row only asks.
-    layout = laid_out("n", "by_words", threshold, lambda k, gap, i, start, length, asks: f"{key_of(f'by_words, n - {gap}', 'symbols', i, start, length)} | {asks}L", "bigint")
-    rows = scratch.cut(shaped.select("line_id", F.posexplode(F.expr(layout)).alias("spot", "v")), "rows").select("line_id", "spot", F.expr("v & -2L").alias("key"), F.expr("v & 1L").alias("asks"))
-    keys = scratch.cut(shared_keys(rows), "keys")
-    met = scratch.cut(rows.join(sized(keys), "key").distinct(), "met")
+    spot = read_spot("spot", "n")
+    rows = scratch.cut(shaped.withColumn("spot", F.explode(F.expr(laid_out("n", "by_words", threshold))))
+                       .select("line_id", "spot", F.expr(key_of("symbols", spot, "by_words", f"n - {spot['gap']}")).alias("key")), "rows") \
+        .withColumn("asks", F.expr(spot["asks"]))
+    # Shared keys grow with the corpus, so they are joined by a shuffle at every size.
+    met = scratch.cut(rows.join(shared_keys(rows).hint("merge"), "key", "left_semi").select("key", "line_id", "spot", "asks").distinct(), "met")
     # Text, first place and counts of the lines that meet under a key, alone.
     wanted = scratch.cut(met.select("line_id").distinct(), "wanted")
     text = lines.join(sized(wanted), "line_id").groupBy("line_id", "twin").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line")) \
@@ -181,10 +187,8 @@ def near_earlier(docs: DataFrame, threshold: int, min_chars: int, scratch: Scrat
         .withColumn("sums", F.when(F.col("by_words"), word_counts(F.col("words"))).otherwise(letter_counts(F.col("line")))) \
         .select("line_id", "twin", "seen", "symbols", "n", "by_words", "sums")
     text = scratch.cut(text, "text")
-    placed = laid_out("n", "by_words", threshold, lambda k, gap, i, start, length, asks: f"struct({k} as k, {gap} as gap, {start} as start, {length} as length)",
-                      "struct<k: int, gap: int, start: int, length: int>")
-    level = met.join(text.drop("symbols"), "line_id").withColumn("at", F.get(F.expr(placed), F.col("spot"))) \
-        .select("key", "asks", "line_id", "twin", "seen", "n", "by_words", "sums", "at.*")
+    level = met.join(text.drop("symbols"), "line_id").select(
+        "key", "asks", "line_id", "twin", "seen", "n", "by_words", "sums", *[F.expr(spot[c]).alias(c) for c in ("k", "gap", "start", "length")])
     level, near = scratch.cut(level, "level"), None
     own = ["line_id", "twin"]
 
@@ -235,15 +239,12 @@ def refined(level: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     else:
         level = level.withColumnRenamed("rest", "symbols")
     left = level.withColumn("rest", rest).withColumn("m", F.size("rest")).drop("symbols", "start", "length").withColumnRenamed("asks", "asked")
-    most = max(threshold, *(k for _, k in WORD_EDITS))
-    cases = []
-    for k in range(1, most + 1):
-        for gap in range(k + 1):
-            one = [f"struct({key_of('key', 'rest', i, start, length)} as key, {asks}L as asks, {start} as start, {length} as length)"
-                   for i, start, length, asks in spots("m", k, gap)]
-            cases.append(f"when k = {k} and gap = {gap} then array({', '.join(one)})")
-    rows = left.withColumn("row", F.explode(F.expr(f"case {' '.join(cases)} end"))) \
-        .select(F.col("row.key").alias("key"), F.greatest("asked", "row.asks").alias("asks"), "line_id", "twin", "seen", "n", "by_words", "sums", "k", "gap", "row.start", "row.length", "rest")
+    edits_and_gaps = [(k, gap) for k in range(1, max(threshold, *(k for _, k in WORD_EDITS)) + 1) for gap in range(k + 1)]
+    layout = " ".join(f"when k = {k} and gap = {gap} then array({', '.join(map(str, spots(k, gap)))})" for k, gap in edits_and_gaps)
+    spot = read_spot("spot", "m")
+    rows = left.withColumn("spot", F.explode(F.expr(f"case {layout} end"))).select(
+        F.expr(key_of("rest", spot, "key")).alias("key"), F.greatest("asked", F.expr(spot["asks"])).alias("asks"), "line_id", "twin", "seen", "n", "by_words", "sums",
+        "k", "gap", F.expr(spot["start"]).alias("start"), F.expr(spot["length"]).alias("length"), "rest")
     return rows.join(shared_keys(rows), "key", "left_semi")
 
 
