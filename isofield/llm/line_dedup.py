@@ -26,10 +26,10 @@ WORD_EDITS = ((10, 1), (20, 2))
 LETTERS = "etaoinsr"
 #: Words are counted by hash in so many buckets of ten bits.
 BUCKETS, BUCKET_BITS = 6, 10
-#: Tables of line ids are sent to every task only up to this many rows.
-BROADCAST_LINES = 500_000
+#: Tables of line ids, and of keys alone, are sent to every task only up to this many rows.
+BROADCAST_LINES, BROADCAST_KEYS = 500_000, 2_000_000
 #: Keys with more lines are refined, so many times at most.
-HOT, REFINEMENTS = 100, 3
+HOT, REFINEMENTS = 300, 3
 
 
 def letter_counts(line: Column) -> Column:
@@ -156,9 +156,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
         .withColumns({"line_id": F.xxhash64("line"), "twin": F.hash("line")})
 
 
-def sized(table: DataFrame) -> DataFrame:
+def sized(table: DataFrame, bound: int = BROADCAST_LINES) -> DataFrame:
     """table, to be sent to every task if it is small; otherwise the join shuffles both sides."""
-    return F.broadcast(table) if table.count() <= BROADCAST_LINES else table
+    return F.broadcast(table) if table.count() <= bound else table
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -177,29 +177,31 @@ def near_earlier(docs: DataFrame, threshold: int, min_chars: int, scratch: Scrat
     rows = scratch.cut(shaped.withColumn("spot", F.explode(F.expr(laid_out("n", "by_words", threshold))))
                        .select("line_id", "spot", F.expr(key_of("symbols", spot, "by_words", f"n - {spot['gap']}")).alias("key")), "rows") \
         .withColumn("asks", F.expr(spot["asks"]))
-    # Shared keys grow with the corpus, so they are joined by a shuffle at every size.
-    met = scratch.cut(rows.join(shared_keys(rows).hint("merge"), "key", "left_semi").select("key", "line_id", "spot", "asks").distinct(), "met")
+    keys = scratch.cut(shared_keys(rows), "keys")
+    met = scratch.cut(rows.join(sized(keys, BROADCAST_KEYS), "key", "left_semi").select("key", "line_id", "spot", "asks").distinct(), "met")
     # Text, first place and counts of the lines that meet under a key, alone.
     wanted = scratch.cut(met.select("line_id").distinct(), "wanted")
     text = lines.join(sized(wanted), "line_id").groupBy("line_id", "twin").agg(F.min(F.struct("id", "place", "copy")).alias("seen"), F.min("line").alias("line")) \
         .withColumn("words", F.split("line", " ")).withColumn("by_words", F.expr(by_words)) \
         .withColumn("symbols", F.expr("if(by_words, words, split(line, ''))")).withColumn("n", F.size("symbols")) \
         .withColumn("sums", F.when(F.col("by_words"), word_counts(F.col("words"))).otherwise(letter_counts(F.col("line")))) \
-        .select("line_id", "twin", "seen", "symbols", "n", "by_words", "sums")
+        .select("line_id", "twin", "seen", "line", "n", "by_words", "sums")
     text = scratch.cut(text, "text")
-    level = met.join(text.drop("symbols"), "line_id").select(
+    level = met.join(text.drop("line"), "line_id").select(
         "key", "asks", "line_id", "twin", "seen", "n", "by_words", "sums", *[F.expr(spot[c]).alias(c) for c in ("k", "gap", "start", "length")])
     level, near = scratch.cut(level, "level"), None
     own = ["line_id", "twin"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs with another line the lines that are near it; only now the text is fetched."""
-        both = pairs.distinct().join(text.select(*own, "by_words", F.col("symbols").alias("x")), own) \
-            .join(text.select(F.col("line_id").alias("e_line_id"), F.col("twin").alias("e_twin"), F.col("symbols").alias("y")), ["e_line_id", "e_twin"])
-        chars = lambda s: F.filter(F.col(s), lambda c: c != "")
-        good = ~F.col("by_words") & within_symbols(chars("x"), chars("y"), threshold)
+        pairs = scratch.cut(pairs.distinct(), "pairs")
+        few, theirs = sized(pairs), ["e_line_id", "e_twin"]
+        x = text.select(*own, "by_words", F.col("line").alias("x")).join(few, own)
+        y = text.select(F.col("line_id").alias("e_line_id"), F.col("twin").alias("e_twin"), F.col("line").alias("y")).join(few.drop("k"), theirs)
+        both = x.join(y, [*own, *theirs]).withColumns({"a": F.expr("if(by_words, split(x, ' '), null)"), "b": F.expr("if(by_words, split(y, ' '), null)")})
+        good = ~F.col("by_words") & within(F.col("x"), F.col("y"), threshold)
         for k in sorted({k for _, k in WORD_EDITS}):
-            good = good | (F.col("by_words") & (F.col("k") == k) & within_symbols(F.col("x"), F.col("y"), k))
+            good = good | (F.col("by_words") & (F.col("k") == k) & within_symbols(F.col("a"), F.col("b"), k))
         return both.where(good).select(*own).distinct()
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -235,7 +237,7 @@ def refined(level: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     """Rows of level under finer keys: the segments of what each sequence has left without the segments of its keys."""
     rest = F.expr("concat(slice(symbols, 1, start), slice(symbols, start + length + 1, size(symbols)))")
     if "rest" not in level.columns:
-        level = level.join(text.select("line_id", "twin", "symbols"), ["line_id", "twin"])
+        level = level.join(text.select("line_id", "twin", F.expr("if(by_words, split(line, ' '), split(line, ''))").alias("symbols")), ["line_id", "twin"])
     else:
         level = level.withColumnRenamed("rest", "symbols")
     left = level.withColumn("rest", rest).withColumn("m", F.size("rest")).drop("symbols", "start", "length").withColumnRenamed("asks", "asked")
@@ -270,7 +272,7 @@ def dropped(docs: DataFrame, threshold: int, min_chars: int | None) -> DataFrame
 
 def rebuilt(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int | None = None) -> DataFrame:
     """(row, text, n_lines, n_dropped): docs in the struct column row, and the texts that are left."""
-    gone = dropped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), threshold, min_chars)
+    gone = sized(dropped(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), threshold, min_chars))
     rows = named(docs, id=id_col, old=text_col).withColumn("copy", F.xxhash64("old")).alias("d")
     lines = F.split("old", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("places"), i))
