@@ -25,7 +25,8 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_back(warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_pages(warc.archive(pages, scratch(spark, "warc")), pages)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +26,12 @@ from isofield.llm.common import cut
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 2000
 CAPTURES_PER_INDEX_FILE = 2_000_000
+#: Digests of more than one page are sent to every task only up to this many.
+BROADCAST_GROUPS = 500_000
 CAPTURE = "key string, page_id long, url string, archive string, at long, size long, type string"
-DIRECTORY = "file string, first_key string, last_key string, at long, size long, lines long"
+DIRECTORY = "file string, first_key string, first_id long, last_key string, last_id long, at long, size long, lines long"
+#: A row of an index block, and of the directory of one index file.
+LINE = ("key", "page_id", "url", "archive", "at", "size", "type")
 
 
 def url_key(url: str | None) -> str:
@@ -46,6 +49,7 @@ def url_key(url: str | None) -> str:
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path; a path without a scheme is one of the shared folder's own file system, which is mounted."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -105,13 +109,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Null html is an empty payload. Rows whose id is null are always responses.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
-                        F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    groups = (rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha")
-              .agg(F.max("page_id").alias("response_id"), F.min("page_id").alias("least"))
-              .where("least < response_id").select("sha", "response_id"))
-    decided = rows.join(groups, "sha", "left").select(
-        "page_id", "url", "payload", F.when(F.col("page_id") < F.col("response_id"), F.col("response_id")).alias("refers_to"))
+                        F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    sized = rows.where(F.octet_length("payload") >= min_revisit_bytes) if min_revisit_bytes else rows
+    groups = cut(sized.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.min("page_id").alias("least"))
+                 .where("least < response_id").select("sha", "response_id"), "groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        decided = rows.join(F.broadcast(groups), "sha", "left")
+    else:
+        # Ids and digests alone meet the groups; payloads are then dealt by id and digest, of which no pair is common.
+        where = ["page_id", "sha"]
+        later = rows.select(*where).join(groups, "sha").where("page_id < response_id").distinct()
+        decided = rows.join(later, where, "left")
+    decided = decided.select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("response_id"), F.col("response_id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, stream, at = f"{path}/archive/part-{uuid.uuid4().hex}.warc.gz", None, 0
@@ -134,10 +143,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     return decided.mapInArrow(run, CAPTURE)
 
 
-def write_index(captures: DataFrame, path: str, files: int, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort captures by key into compressed blocks under path/index; returns the sparse directory."""
+def order_of(key: str, page_id: int | None) -> tuple[str, int]:
+    """Where a capture stands in the index: by key, then by id with nulls first."""
+    return key, -1 << 63 if page_id is None else page_id
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def write_index(captures: DataFrame, path: str, files: int, block_lines: int | None = None) -> DataFrame:
+    """Sort captures by key and id into compressed blocks under path/index; returns the sparse directory."""
+    block_lines = block_lines or BLOCK_LINES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, stream, at, directory, lines = f"{path}/index/part-{uuid.uuid4().hex}.cdx", None, 0, [], []
 
         def flush() -> None:
@@ -146,13 +161,13 @@ def write_index(captures: DataFrame, path: str, files: int, block_lines: int = B
                 stream = _create(file)
             block = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
             stream.write(block)
-            directory.append((file, lines[0][0], lines[-1][0], at, len(block), len(lines)))
+            directory.append((file, lines[0][0], lines[0][1], lines[-1][0], lines[-1][1], at, len(block), len(lines)))
             at += len(block)
             lines.clear()
 
         for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                lines.append([x if isinstance(x, (str, type(None))) else int(x) for x in row])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                lines.append(row)
                 if len(lines) == block_lines:
                     flush()
         if lines:
@@ -161,10 +176,12 @@ def write_index(captures: DataFrame, path: str, files: int, block_lines: int = B
             stream.close()
             with _create(file + ".dir") as side:
                 side.write(json.dumps(directory).encode())
-        yield pd.DataFrame(directory, columns=["file", "first_key", "last_key", "at", "size", "lines"])
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*directory) if directory else [[]] * 8, kinds)],
+                                         names=["file", "first_key", "first_id", "last_key", "last_id", "at", "size", "lines"])
 
-    ordered = captures.repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return ordered.mapInPandas(run, DIRECTORY)
+    ordered = captures.select(*LINE).repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id")
+    return ordered.mapInArrow(run, DIRECTORY)
 
 
 class Reader:
@@ -182,50 +199,96 @@ class Reader:
         return self.files[path].read_at(size, at)
 
 
-def read_back(directory: DataFrame) -> DataFrame:
-    """Every record, found through the blocks of the directory: (page_id, payload_bytes, payload_digest, record_type, refers_to, url)."""
+class Index:
+    """Captures by bisection: of the files' last entries, of one file's directory, and of one block, each read by range."""
+
+    def __init__(self, files: list[tuple[str, tuple[str, int]]]):
+        self.files, self.last = [f for f, _ in files], [last for _, last in files]
+        self.read, self.directory, self.block = Reader(), (None, [], []), (None, [], [])
+
+    def blocks(self, file: str) -> tuple[list, list]:
+        if self.directory[0] != file:
+            fs, p = _place(file + ".dir")
+            rows = json.loads(fs.open_input_stream(p, compression=None).read())
+            self.directory = (file, rows, [order_of(r[3], r[4]) for r in rows])
+        return self.directory[1:]
+
+    def lines(self, file: str, at: int, size: int) -> tuple[list, list]:
+        if self.block[0] != (file, at):
+            rows = [json.loads(x) for x in zlib.decompress(self.read(file, at, size)).split(b"\n")]
+            self.block = ((file, at), rows, [order_of(r[0], r[1]) for r in rows])
+        return self.block[1:]
+
+    def find(self, low: tuple[str, int], high: tuple[str, int]) -> Iterator[list]:
+        """Captures from low to high, both included. Equal entries may go on in the next block or file."""
+        for f in range(bisect.bisect_left(self.last, low), len(self.files)):
+            blocks, last = self.blocks(self.files[f])
+            for b in range(bisect.bisect_left(last, low), len(blocks)):
+                if order_of(blocks[b][1], blocks[b][2]) > high:
+                    return
+                rows, entries = self.lines(self.files[f], blocks[b][5], blocks[b][6])
+                yield from rows[bisect.bisect_left(entries, low):bisect.bisect_right(entries, high)]
+                if entries[-1] > high:
+                    return
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = Reader()
+
+def last_entries(directory: DataFrame) -> list[tuple[str, tuple[str, int]]]:
+    """(file, last entry) of every index file in order: one row for CAPTURES_PER_INDEX_FILE captures."""
+    rows = directory.groupBy("file").agg(F.max(F.struct("last_key", "last_id")).alias("last")).collect()
+    return sorted(((r["file"], order_of(r["last"]["last_key"], r["last"]["last_id"])) for r in rows), key=lambda x: x[1])
+
+
+def wanted_keys(urls: DataFrame, url_col: str, id_col: str | None) -> DataFrame:
+    """(key, asked, page_id) of the URLs to look up, in the order of the index, so that a task reads a block once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.itertuples(index=False):
-                lines = [json.loads(x) for x in zlib.decompress(read(block.file, block.at, block.size)).split(b"\n")]
-                out = []
-                for line in sorted(lines, key=lambda x: (x[3], x[4])):
-                    got = parse(zlib.decompress(read(line[3], line[4], line[5]), 31))
-                    del got["payload"]
-                    out.append(got | {"url": line[2]})
-                frame = pd.DataFrame(out)
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    n = max(directory.sparkSession.sparkContext.defaultParallelism, directory.rdd.getNumPartitions())
-    return directory.repartition(n).mapInPandas(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string()), *batch.columns], names=["key", "asked", "page_id"])
+
+    ids = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    keyed = urls.select(F.col(url_col).cast("string").alias("asked"), ids.alias("page_id")).distinct().mapInArrow(run, "key string, asked string, page_id long")
+    return keyed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
 
 
 def look_up(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Captures of the given URLs. One task for each index file bisects its directory and reads only the blocks it needs."""
-    files = directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
-    keyed = urls.select(F.col(url_col).alias("asked")).distinct().mapInPandas(
-        lambda batches: (b.assign(key=[url_key(u) for u in b["asked"]]) for b in batches), "asked string, key string")
-    wanted = keyed.join(F.broadcast(files), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        file, read, out = part["file"].iloc[0], Reader(), []
-        fs, p = _place(file + ".dir")
-        blocks = json.loads(fs.open_input_stream(p, compression=None).read())
-        last = [b[2] for b in blocks]
-        for key, asked in part.groupby("key")["asked"]:
-            k = bisect.bisect_left(last, key)
-            while k < len(blocks) and blocks[k][1] <= key:
-                lines = [json.loads(x) for x in zlib.decompress(read(file, blocks[k][3], blocks[k][4])).split(b"\n")]
-                keys = [x[0] for x in lines]
-                for x in lines[bisect.bisect_left(keys, key):bisect.bisect_right(keys, key)]:
-                    out += [x for u in asked if u == x[2]]
-                k += 1
-        return pd.DataFrame(out, columns=["key", "page_id", "url", "archive", "at", "size", "type"]).astype({"page_id": "Int64"})
-
-    return wanted.groupBy("file").applyInPandas(run, CAPTURE)
+    """Captures of the given URLs: bisection of files and blocks, then one block by range."""
+    files = last_entries(directory)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(files)
+        for batch in batches:
+            out = [x for key, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                   for x in index.find((key, -1 << 63), (key, 1 << 63)) if x[2] == asked]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=list(LINE))
+
+    return wanted_keys(urls, url_col, None).mapInArrow(run, CAPTURE)
+
+
+def read_pages(directory: DataFrame, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", chunk: int = 1000) -> DataFrame:
+    """The records of the given pages: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
+
+    Each page's key and id are bisected in the index; the records found are read by byte range, archive by archive.
+    Repeated rows are looked up once and come back as often as they were archived.
+    """
+    files = last_entries(directory)
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, read = Index(files), Reader()
+        for batch in batches:
+            asked = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for i in range(0, len(asked), chunk):
+                captures = [x for key, url, page_id in asked[i:i + chunk] for x in index.find(*[order_of(key, page_id)] * 2) if x[2] == url]
+                out: list[tuple] = []
+                for x in sorted(captures, key=lambda x: (x[3], x[4])):
+                    got = parse(zlib.decompress(read(x[3], x[4], x[5]), 31))
+                    out.append((*(got[c] for c in names), x[2]))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=[*names, "url"])
+
+    return wanted_keys(pages, url_col, id_col).mapInArrow(
+        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive(pages: DataFrame, path: str, **columns) -> DataFrame:

@@ -49,9 +49,11 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://www.b.org/x", "same é"), (2, "https://a.b.org:8080/y?q#f", "same é"), (3, None, None), (4, "nonsense url\n", ""), (5, "http://b.org/x", "big" * 50_000), (6, "http://b.org/x", "own"),
             (2, "http://c.org", "same é"), (None, "http://d.org", "own")]
     rows += [(100 + k, f"http://h{k % 7}.example.com/p/{k}", "copy" if k % 3 else f"page {k}") for k in range(5000)]
-    path = scratch(spark, "test")
-    directory = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    got = warc.read_back(directory).collect()
+    big = (1 << 53) + 1
+    rows += [(big, "http://big.org/1", "of large ids"), (big + 2, "http://big.org/1", "of large ids"), (-big, None, "of large ids"), (6, "http://b.org/x", "own")]
+    path, pages = scratch(spark, "test"), spark.createDataFrame(rows, "page_id long, url string, html string")
+    directory = warc.archive(pages, path)
+    got = warc.read_pages(directory, pages).collect()
     best = {}
     for i, _, h in rows:
         if i is not None:
@@ -61,14 +63,26 @@ def test_warc_round_trip(spark):
     assert directory.count() > 1
     asked = spark.createDataFrame([("http://b.org/x",), ("http://h3.example.com/p/3",), ("http://absent.org/",)], "url string")
     found = warc.look_up(directory, asked).collect()
-    assert sorted((r.url, r.page_id) for r in found) == [("http://b.org/x", 5), ("http://b.org/x", 6), ("http://h3.example.com/p/3", 103)]
+    assert sorted((r.url, r.page_id) for r in found) == [("http://b.org/x", 5), ("http://b.org/x", 6), ("http://b.org/x", 6), ("http://h3.example.com/p/3", 103)]
     read = warc.Reader()
     assert all(warc.parse(zlib.decompress(read(r.archive, r["at"], r["size"]), 31))["page_id"] == r.page_id for r in found)
 
 
 def test_warc_of_nothing(spark):
-    directory = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "none"))
-    assert warc.read_back(directory).count() == 0
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_pages(warc.archive(none, scratch(spark, "none")), none).count() == 0
+
+
+def test_warc_with_many_groups_and_blocks(spark, monkeypatch):
+    """Beyond the broadcast bound, with keys that fill several blocks and files."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 50)
+    rows = [(k, None if k % 3 else f"http://h.org/{k % 5}", f"text {k % 40}" if k % 4 else None) for k in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    top = {h: max(i for i, _, x in rows if x == h) for _, _, h in rows}
+    got = warc.read_pages(warc.archive(pages, scratch(spark, "many")), pages).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, r.url) for r in got} == {(i, "response" if i == top[h] else "revisit", None if i == top[h] else top[h], u) for i, u, h in rows}
+    assert len(got) == 900
 
 
 def test_keys_sort_hosts_together():
