@@ -61,7 +61,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
                 yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), order.shape[1]), "vector": [v for v in batch["vector"] for _ in range(order.shape[1])],
                                     "list": order.ravel().astype(np.int32)})
 
-    asked = cut(indexed.where("asks").select("id", "vector").mapInPandas(ask, "id long, vector array<double>, list int"), "asked")
+    asked = cut(indexed.where("asks").select("id", "vector").mapInPandas(ask, f"id long, vector {dict(base.dtypes)['vector']}, list int"), "asked")
     # Lists are split into blocks of rows and of queries by hash, so that a hot list is many tasks.
     size = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).join(
         asked.groupBy("list").agg(F.count(F.lit(1)).alias("queries")), "list") \
@@ -76,11 +76,10 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
         rows = rows.sort_values("id", kind="stable")
         ids, codes, number = rows["id"].to_numpy(), ivfpq.code_matrix(rows["codes"]), int(rows["list"].iloc[0])
-        vectors = np.array(rows["vector"].tolist(), float)
+        vectors = ivfpq.scaled(np.array(rows["vector"].tolist(), float))
         lengths = np.linalg.norm(vectors, axis=1)
         found = []
-        for query, v in zip(queries["id"].to_numpy(), queries["vector"]):
-            v = np.asarray(v, float)
+        for query, v in zip(queries["id"].to_numpy(), ivfpq.scaled(np.array(queries["vector"].tolist(), float))):
             far = q.distances(v / np.linalg.norm(v), number, codes)
             far[ids == query] = np.inf
             take = np.lexsort((ids, far))[:RERANK * k] if len(far) <= RERANK * k else _smallest(far, RERANK * k)

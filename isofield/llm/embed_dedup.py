@@ -24,20 +24,26 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     """(id, n_links, component_id, kept) of every row.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at least threshold.
-    Equal vectors of a label are compared once, with their number as weight. Vectors that are null, zero, non-finite or
-    of an unusual length link with nothing, as do null ids. A row does not link with rows of its own id. A vector goes
-    to its nearest list and asks every list whose border lies within the reach of a link, whatever the link's direction;
-    in a list the code distance less the code error rules most rows out, and the exact cosine decides. An empty table gives an empty result.
+    Equal vectors of a label are one class, compared once, with its number of ids as weight: n_links counts the other
+    ids of the class and the ids of linked classes. Rows of one id with different vectors are vectors of their own.
+    Null, zero and non-finite vectors link with nothing, as do null ids; vectors of another length link with their like
+    alone. A vector goes to its nearest list and asks every list whose border lies within the reach of a link, whatever
+    the link's direction; in a list the code distance less the code error rules most rows out, and the exact cosine
+    decides. Vectors that are not of the commonest length are a list of their own, compared exactly. An empty table
+    gives an empty result.
     """
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    base = ivfpq.usable(own, "id", "vector", "label").where("label is not null") \
-        .select("id", "vector", "label", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
-    keys = cut(base.select("id", "label", "h1", "h2"), "keys")
-    classes = cut(base.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.countDistinct("id").alias("weight"), F.first("vector").alias("vector"))
-                  .select("id", "vector", F.col("label").cast("string").alias("label"), "weight"), "classes")
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    if not stats["n"]:
+    hashes = {"h1": F.xxhash64("label", "vector"), "h2": F.xxhash64(F.lit(1), "label", "vector")}
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    base = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ivfpq.valid(F.col("vector"))).withColumns(hashes)
+    # A class is named by one of its hashes; its label also holds the length of its vectors.
+    every = cut(base.groupBy("label", "h1", "h2").agg(F.min("id").alias("least"), F.countDistinct("id").alias("weight"), F.first("vector").alias("vector"))
+                .select(F.col("h1").alias("id"), "h2", "vector", F.concat(F.size("vector"), F.lit(":"), "label").alias("label"), "weight", "least", F.size("vector").alias("d")), "classes")
+    usual = every.groupBy("d").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    if not usual:
         return own.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    classes = every.where(F.col("d") == usual["d"]).select("id", "vector", "label", "weight")
+    odd = every.where(F.col("d") != usual["d"]).select("id", "vector", "label", "weight", F.lit(-1).alias("list"), F.lit(b"").alias("codes"), F.lit(0.0).alias("left_out"))
+    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     x = ivfpq.sample(classes, max_train)
     q = ivfpq.fit(x, -(-stats["n"] // (LIST_ROWS * max(1, stats["labels"]))))
     reach = float(np.sqrt(2 - 2 * threshold))
@@ -54,7 +60,9 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 at, number = np.nonzero(d - d[np.arange(len(d)), home][:, None] <= 2 * reach * between[home] + 1e-9)
                 yield batch[["id", "vector", "label"]].iloc[at].assign(list=number.astype(np.int32))
 
-    asked = cut(indexed.select("id", "vector", "label", "list").mapInPandas(ask, "id long, vector array<double>, label string, list int"), "asked")
+    asked = cut(indexed.select("id", "vector", "label", "list").mapInPandas(ask, "id long, vector array<double>, label string, list int")
+                .unionByName(odd.select("id", "vector", "label", "list")), "asked")
+    indexed = indexed.unionByName(odd)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     size = cut(indexed.groupBy("label", "list").agg(F.count(F.lit(1)).alias("n")).join(
         asked.groupBy("label", "list").agg(F.count(F.lit(1)).alias("m")), ["label", "list"])
@@ -71,13 +79,12 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             return none
         ids, weights, number = rows_["id"].to_numpy(), rows_["weight"].to_numpy(), int(rows_["list"].iloc[0])
         codes, left_out = ivfpq.code_matrix(rows_["codes"]), rows_["left_out"].to_numpy()
-        vectors = np.array(rows_["vector"].tolist(), float)
+        vectors = ivfpq.scaled(np.array(rows_["vector"].tolist(), float))
         lengths = np.linalg.norm(vectors, axis=1)
         out_id, out_links, edges = [], [], []
-        for query, v in zip(queries["id"].to_numpy(), queries["vector"]):
-            v = np.asarray(v, float)
+        for query, v in zip(queries["id"].to_numpy(), ivfpq.scaled(np.array(queries["vector"].tolist(), float))):
             length = np.linalg.norm(v)
-            maybe = np.flatnonzero(np.sqrt(q.distances(v / length, number, codes)) - left_out <= reach + 1e-9)
+            maybe = np.flatnonzero(np.sqrt(q.distances(v / length, number, codes)) - left_out <= reach + 1e-9) if number >= 0 else np.arange(len(ids))
             hit = maybe[(vectors[maybe] @ v) / (lengths[maybe] * length) >= threshold]
             hit = hit[ids[hit] != query]
             if len(hit):
@@ -94,22 +101,16 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     found = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "id long, links long, other long"), "found")
     counts = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.where("links = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.join(counts, "id", "left").join(reached.withColumnRenamed("node", "id"), "id", "left") \
-        .where("weight > 1 or links is not null").select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    class_of = base_classes(keys)
-    named = cut(class_of.join(known.withColumnRenamed("id", "class"), "class").groupBy("id")
-                .agg(F.max("links").alias("links"), F.min("component").alias("component")), "named")
-    return own.select("id").join(named, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def base_classes(keys: DataFrame) -> DataFrame:
-    """(id, class): the smallest id that holds the same vector under the same label."""
-    least = keys.groupBy("label", "h1", "h2").agg(F.min("id").alias("class"), F.countDistinct("id").alias("copies"))
-    alone = least.where("copies = 1").select(F.col("class").alias("id"), "class")
-    shared = least.where("copies > 1").drop("copies")
-    return alone.unionByName(keys.join(shared, ["label", "h1", "h2"]).select("id", "class")).distinct()
+    known = every.select("id", "h2", "weight", "least").join(counts, "id", "left").join(reached.withColumnRenamed("node", "id"), "id", "left") \
+        .where("weight > 1 or links is not null").withColumn("root", F.coalesce("component", "id"))
+    known = cut(known, "known")
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    found_in = known.drop("component").join(least, "root") \
+        .select(F.col("id").alias("h1"), "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component")
+    named = own.select("id", *[F.when(F.col("id").isNotNull(), h).alias(k) for k, h in hashes.items()]).join(found_in, ["h1", "h2"], "left")
+    component = F.coalesce("component", "id")
+    return named.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+                        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:

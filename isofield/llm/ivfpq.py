@@ -25,7 +25,8 @@ def valid(vector) -> "F.Column":
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
     """(id, vector, ...) of the rows that take part. Of several lengths of vector the commonest takes part, of equally common ones the longest."""
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), *more) \
+    single = dict(rows.dtypes)[vector_col] == "array<float>"  # half as wide to ship, and doubles take the same values
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if single else F.col(vector_col).cast("array<double>")).alias("vector"), *more) \
         .where(F.col("id").isNotNull() & valid(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.where(F.size("vector") == F.lit(sizes["d"] if sizes else 0))
@@ -38,10 +39,18 @@ def sample(rows: DataFrame, bound: int) -> np.ndarray:
     return unit(x)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of x over a power of two, so that no square overflows or vanishes; cosines stay the same to the last bit."""
+    if not x.size:
+        return x
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     if not x.size:
         return x
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -111,7 +120,7 @@ def index(rows: DataFrame, quantiser: Quantiser, more: str = "") -> DataFrame:
                 yield batch.assign(list=number.astype(np.int32), codes=[c.tobytes() for c in codes], left_out=left)[
                     ["id", "vector", *names, "list", "codes", "left_out"]]
 
-    return rows.mapInPandas(run, f"id long, vector array<double>{more}, list int, codes binary, left_out double")
+    return rows.mapInPandas(run, f"id long, vector {dict(rows.dtypes)['vector']}{more}, list int, codes binary, left_out double")
 
 
 def code_matrix(codes: "pd.Series") -> np.ndarray:
