@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isofield.llm.common import cut
+from isofield.llm.common import Scratch
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,24 +39,27 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder. The number of rounds grows with the logarithm of the longest chain. Self-links and
     repeated links do no harm; nodes without links to others are absent.
     """
-    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                .mapInArrow(_forest, "a long, b long").distinct(), "links")
-    last = None
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        large = cut(large, "large-star")
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_least, "b")
-        edges = cut(small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(
-            small_least.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x <> y")
-            .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small-star")
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == last:
-            break
-        last = state
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                            .mapInArrow(_forest, "a long, b long").distinct(), "links")
+        last = None
+        while True:
+            both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+                edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = scratch.cut(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
+            scratch.drop(edges)
+            small_least = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(small_least, "b")
+            edges = scratch.cut(small.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(
+                small_least.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x <> y")
+                .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small-star")
+            scratch.drop(large)
+            state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+            if state == last:
+                break
+            last = state
+        scratch.keep(edges)
     hung = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return hung.unionByName(roots)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isofield.llm.common import cut, n_words
+from isofield.llm.common import cut, n_words, named, unnamed
 
 SEED = 20240917
 BUCKETS = 4096
@@ -55,7 +55,7 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame
 def with_taken(docs: DataFrame, size: Column, id_col: str, source_col: str, max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
     """docs with size__, source_size__, target__ and taken__: the words of each document that the mix takes.
 
-    size must give the same for a row whenever it is computed.
+    size must give the same for a row whenever it is computed. docs has columns of this module's naming alone.
     """
     rows = docs.withColumn("size__", size.cast("long")) \
         .withColumn("draw__", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size__"))) \
@@ -114,12 +114,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
     """The mixed documents themselves, in the columns of docs: whole repetitions, and a last one cut to its first words.
 
-    Documents that the mix takes nothing of are gone. A cut text is its first words with one space between them.
+    Documents that the mix takes nothing of are gone. A cut text is its first words with one space between them. Names of
+    other columns clash with nothing.
     """
-    mixed = with_taken(docs, n_words(F.col(text_col)), id_col, source_col, max_epochs, seed).where("taken__ > 0")
+    rows = named(docs, id=id_col, source=source_col, text=text_col, n=n_words(docs[f"`{text_col}`"]))
+    mixed = with_taken(rows, F.col("n"), "id", "source", max_epochs, seed).where("taken__ > 0")
     full, part = F.expr("taken__ div size__"), F.col("taken__") % F.col("size__")
     copies = F.sequence(F.lit(1), (full + (part > 0).cast("long")))
     shown = mixed.withColumn("part__", part).withColumn("copy__", F.explode(copies)).withColumn("full__", full)
-    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    text = F.when(F.col("copy__") <= F.col("full__"), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col("part__").cast("int")), " "))
-    return shown.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    text = F.when(F.col("copy__") <= F.col("full__"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("part__").cast("int")), " "))
+    return unnamed(shown, docs.columns, **{text_col: text})

@@ -106,29 +106,32 @@ class WordIds:
             todo = todo[(there != keys[todo]) & (there != 0)]
         return at, self.keys[at] == keys
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts on end, where each text's ids begin and the last end)."""
-        row, start, end, keys = words(data, offsets, lower=False)
-        keys[keys == 0] = 1
+    def numbers(self, raw: bytes, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words on end, number of ids of each)."""
         at, found = self.look(keys)
         if not found.all():
             new, first = np.unique(keys[~found], return_index=True)
+            where = np.flatnonzero(~found)[first]
             if self.count + len(new) > REMEMBER and self.count:
                 self.forget()
-                new, first = np.unique(keys, return_index=True)
-                where = first
-            else:
-                where = np.flatnonzero(~found)[first]
-            raw = data.tobytes()
-            if self.count + len(new) > SLOTS // 2:
-                raise ValueError("a single text has more distinct words than fit in the table")
+                new, where = np.unique(keys, return_index=True)
+            if len(new) > REMEMBER:  # more distinct words than a worker remembers at once: run by run
+                half = len(keys) // 2
+                runs = [self.numbers(raw, start[s], end[s], keys[s]) for s in (slice(None, half), slice(half, None))]
+                return tuple(np.concatenate(x) for x in zip(*runs))
             self.learn(new, [self.word(raw[i:j].decode()) for i, j in zip(start[where].tolist(), end[where].tolist())])
             at, _ = self.look(keys)
         which = self.slot[at]
         n = self.length[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[which] - ends + n, n)]
+        return self.flat[np.arange(total) + np.repeat(self.start[which] - ends + n, n)], n
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, where each text's ids begin and the last end)."""
+        row, start, end, keys = words(data, offsets, lower=False)
+        keys[keys == 0] = 1
+        ids, n = self.numbers(data.tobytes(), start, end, keys)
         per_row = np.bincount(row, n, minlength=len(offsets) - 1).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_row)])
 

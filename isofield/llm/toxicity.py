@@ -26,11 +26,13 @@ FEATURES = 2000
 STEM_BYTES = (4, 5, 6, 7, 8, 9, 10)
 THRESHOLD = 0.7
 RIDGE, POSITIVE_WEIGHT, COUNTERFACTUAL_WEIGHT, STEPS, RATE = 1e-4, 3.0, 1.0, 300, 0.3
-IDENTITY_TERMS = (
-    "african", "arab", "asian", "atheist", "bisexual", "black", "blind", "buddhist", "catholic", "christian", "deaf",
-    "disabled", "elderly", "female", "foreign", "gay", "heterosexual", "hindu", "homosexual", "immigrant", "jewish",
-    "latino", "lesbian", "male", "men", "muslim", "old", "queer", "refugee", "straight", "transgender", "white",
-    "women", "young")
+#: Terms are swapped within their group alone: a faith for a faith, an origin for an origin.
+IDENTITY_GROUPS = (
+    ("atheist", "buddhist", "catholic", "christian", "hindu", "jewish", "muslim"),
+    ("african", "arab", "asian", "black", "latino", "white"),
+    ("bisexual", "gay", "heterosexual", "homosexual", "lesbian", "queer", "straight", "transgender"),
+    ("female", "male"), ("men", "women"), ("old", "elderly", "young"), ("blind", "deaf", "disabled"),
+    ("foreign", "immigrant", "refugee"))
 
 
 @dataclass
@@ -52,10 +54,10 @@ def features_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield row[at] + first, value[at], np.diff(np.append(at, len(row)))
 
 
-def swapped(text: str, terms: tuple[str, ...] = IDENTITY_TERMS) -> str | None:
-    """text with each identity term replaced by the next one of the list; None if it names none."""
-    following = dict(zip(terms, (*terms[1:], terms[0])))
-    out, n = re.subn(r"\b(" + "|".join(terms) + r")\b", lambda m: following[m[0].lower()], text, flags=re.IGNORECASE)
+def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> str | None:
+    """text with each identity term replaced by the next one of its group; None if it names none."""
+    following = {a: b for g in groups for a, b in zip(g, (*g[1:], g[0]))}
+    out, n = re.subn(r"\b(" + "|".join(following) + r")\b", lambda m: following[m[0].lower()], text, flags=re.IGNORECASE)
     return out if n else None
 
 
@@ -210,6 +212,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without those that the classifier calls toxic, in the same columns."""
-    model = fit(docs, labels, text_col=text_col)
-    return with_scores(docs, model, text_col, "toxicity_score__").where(F.col("toxicity_score__") < THRESHOLD).drop("toxicity_score__")
+    """docs without those that the classifier calls toxic, in the same columns, whatever their names.
+
+    Null and empty texts have the base score; repeated rows are judged each. Empty tables give an empty result.
+    """
+    model, score_col = fit(docs, labels, text_col=text_col), "score"
+    while score_col.lower() in {c.lower() for c in docs.columns}:
+        score_col += "_"
+    return with_scores(docs, model, text_col, score_col).where(F.col(score_col) < THRESHOLD).drop(score_col)

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from isofield.llm.common import table
 
 
@@ -41,3 +43,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert sum(r["length"] for r in seen["packing"].collect()) > 0
     whole = corpus_pipeline.run(spark, d)
     assert sorted(map(repr, whole.drop("sequence_id", "offset").collect())) == sorted(map(repr, seen["packing"].drop("sequence_id", "offset").collect()))
+
+
+CLASHING = ["size__", "bucket__", "draw__", "part__", "source__", "target__", "id", "copy", "places", "row", "key", "gone", "n", "score", "score_", "old", "line_id"]
+
+
+def test_stages_with_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    write(spark, tmp_path)
+    d = str(tmp_path)
+    docs = table(spark, d, "documents")
+    more = docs.unionByName(docs.where("doc_id < 20")).select("*", *[F.struct(F.col("doc_id").alias("a"), F.lit(c).alias("b")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, more, d)
+        plain = stage(spark, docs.unionByName(docs.where("doc_id < 20")), d)
+        rows = got.collect()
+        assert got.columns == more.columns and rows, name
+        assert all(r[c] == (r.doc_id, c) for r in rows for c in CLASHING), name
+        assert sorted(repr(tuple(r)[:5]) for r in rows) == sorted(map(repr, map(tuple, plain.collect()))), name
+        assert stage(spark, docs.limit(0), d).count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), d).count() == 0

@@ -56,7 +56,9 @@ def test_reject_keeps_columns_and_a_model_without_labels_is_constant(spark):
 
 
 def test_swaps():
-    assert toxicity.swapped("A Muslim and women") == "A old and young" or toxicity.swapped("A Muslim and women") is not None
+    assert toxicity.swapped("A Muslim, two Women") == "A atheist, two men"
+    group = {t: g for g in toxicity.IDENTITY_GROUPS for t in g}
+    assert all(toxicity.swapped(t) != t and toxicity.swapped(t) in g for t, g in group.items())
     assert toxicity.swapped("nothing here") is None
 
 
