@@ -40,93 +40,111 @@ OTHER = frozenset((
     "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended",
     "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "tracking", "warning", "widget"))
+#: Of these, words of what may hold articles of its own: an article in it is not the page's.
+NEVER_ARTICLE = frozenset((
+    "comment", "comments", "commentlist", "discussion", "disqus", "recommended", "related", "replies", "reply", "respond", "sidebar"))
 OTHER_OUTSIDE = frozenset(("header", "masthead", "sitename", "logo"))
 OWN = frozenset(("article", "articlebody", "content", "entry", "main", "post", "story"))
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "in part", "heading")
-#: The labelled table: a row for each block, with FEATURES and whether it is main text.
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "in part", "heading", "named")
+#: The labelled table: a row for each block, with FEATURES and whether it is main text. named is 1 where a paragraph's own
+#: class, id or role has a telling word, 2 where that of an element around it has.
 LABELLED = (
-    (120, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 1), (45, 0.05, 120, 0.00, 30, 0.00, 1, 0, 0, 1),
-    (12, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 1), (3, 0.00, 80, 0.00, 1, 0.00, 1, 0, 0, 1),
-    (1, 0.00, 3, 0.00, 60, 0.00, 1, 0, 0, 1), (1, 0.00, 4, 1.00, 2, 0.00, 1, 0, 1, 1),
-    (2, 0.00, 9, 0.00, 9, 0.20, 1, 0, 0, 1), (20, 0.60, 90, 0.00, 70, 0.00, 1, 0, 0, 1),
-    (6, 1.00, 40, 0.00, 50, 0.00, 1, 0, 0, 1), (4, 1.00, 70, 0.00, 0, 0.00, 1, 0, 0, 1),
-    (200, 0.02, 0, 0.00, 0, 0.00, 1, 0, 0, 1), (8, 0.00, 2, 1.00, 15, 0.00, 1, 0, 1, 1),
-    (5, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 1), (2, 0.00, 20, 0.00, 0, 0.00, 1, 0, 0, 1),
-    (18, 0.10, 3, 1.00, 2, 1.00, 1, 0, 0, 1), (1, 0.00, 2, 1.00, 1, 1.00, 1, 0, 0, 1),
-    (4, 0.50, 1, 1.00, 3, 1.00, 1, 0, 0, 1), (9, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 1),
-    (60, 0.00, 50, 0.00, 1, 1.00, 1, 0, 0, 1), (7, 0.80, 3, 1.00, 4, 0.90, 1, 0, 0, 1),
-    (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0, 1), (33, 0.00, 5, 1.00, 0, 0.00, 1, 0, 0, 1),
-    (3, 0.00, 4, 0.00, 5, 0.60, 1, 0, 1, 1), (1, 0.00, 0, 0.00, 6, 1.00, 1, 0, 0, 1),
-    (80, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 1), (60, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 1),
-    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0),
-    (1, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0), (9, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0),
-    (40, 0.00, 90, 0.00, 35, 0.00, 0, 1, 0, 0), (65, 0.02, 30, 0.00, 80, 0.00, 0, 1, 0, 0),
-    (14, 0.00, 50, 0.00, 0, 0.00, 0, 1, 0, 0), (5, 0.00, 0, 0.00, 60, 0.00, 0, 1, 1, 0),
-    (30, 0.10, 60, 0.00, 25, 0.00, 1, 1, 0, 0), (7, 0.00, 40, 0.00, 30, 0.00, 1, 1, 0, 0),
-    (3, 1.00, 80, 0.00, 2, 1.00, 1, 1, 0, 0), (4, 0.00, 30, 0.00, 6, 0.50, 1, 1, 1, 0),
-    (110, 0.00, 30, 0.00, 70, 0.00, 0, 0, 0, 1), (60, 0.04, 8, 0.00, 45, 0.00, 0, 0, 0, 1),
-    (35, 0.10, 90, 0.00, 55, 0.02, 0, 0, 0, 1), (25, 0.20, 3, 1.00, 60, 0.00, 0, 0, 0, 1),
-    (22, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 1), (18, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 1),
-    (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 1), (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 1),
-    (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 1), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 1),
-    (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 1), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 1),
-    (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 1), (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 1),
-    (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 1), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 1),
-    (30, 0.20, 2, 1.00, 1, 1.00, 0, 0, 0, 1), (19, 0.00, 1, 0.00, 4, 1.00, 0, 0, 0, 1),
-    (3, 0.00, 21, 0.00, 22, 0.00, 0, 0, 0, 1), (2, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 1),
-    (3, 0.00, 0, 0.00, 21, 0.05, 0, 0, 1, 1), (5, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1, 1),
-    (25, 0.60, 20, 0.00, 20, 0.00, 0, 0, 0, 0), (20, 0.50, 2, 1.00, 30, 0.00, 0, 0, 0, 0),
-    (4, 0.00, 20, 0.00, 2, 1.00, 0, 0, 0, 0), (8, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
-    (3, 0.90, 21, 0.00, 22, 0.00, 0, 0, 0, 0), (6, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0),
-    (7, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0), (9, 0.10, 5, 0.50, 4, 0.00, 0, 0, 0, 0),
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (2, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0),
-    (3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0), (30, 0.90, 5, 1.00, 20, 0.80, 0, 0, 0, 0),
-    (45, 0.85, 60, 0.00, 3, 0.00, 0, 0, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0),
-    (6, 0.00, 1, 1.00, 4, 0.50, 0, 0, 0, 0), (8, 0.40, 70, 0.00, 0, 0.00, 0, 0, 0, 0),
-    (5, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 0), (3, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0),
-    (2, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1, 0), (3, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1, 0),
+    (120, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 0, 1), (45, 0.05, 120, 0.00, 30, 0.00, 1, 0, 0, 0, 1),
+    (12, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 0, 1), (3, 0.00, 80, 0.00, 1, 0.00, 1, 0, 0, 0, 1),
+    (1, 0.00, 3, 0.00, 60, 0.00, 1, 0, 0, 0, 1), (1, 0.00, 4, 1.00, 2, 0.00, 1, 0, 1, 0, 1),
+    (2, 0.00, 9, 0.00, 9, 0.20, 1, 0, 0, 0, 1), (20, 0.60, 90, 0.00, 70, 0.00, 1, 0, 0, 0, 1),
+    (6, 1.00, 40, 0.00, 50, 0.00, 1, 0, 0, 0, 1), (4, 1.00, 70, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
+    (200, 0.02, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 1), (8, 0.00, 2, 1.00, 15, 0.00, 1, 0, 1, 0, 1),
+    (5, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 0, 1), (2, 0.00, 20, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
+    (18, 0.10, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 1), (1, 0.00, 2, 1.00, 1, 1.00, 1, 0, 0, 0, 1),
+    (4, 0.50, 1, 1.00, 3, 1.00, 1, 0, 0, 0, 1), (9, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 0, 1),
+    (60, 0.00, 50, 0.00, 1, 1.00, 1, 0, 0, 0, 1), (7, 0.80, 3, 1.00, 4, 0.90, 1, 0, 0, 0, 1),
+    (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0, 1), (33, 0.00, 5, 1.00, 0, 0.00, 1, 0, 0, 0, 1),
+    (3, 0.00, 4, 0.00, 5, 0.60, 1, 0, 1, 0, 1), (1, 0.00, 0, 0.00, 6, 1.00, 1, 0, 0, 0, 1),
+    (80, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0, 1), (60, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
+    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0, 0), (9, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0, 0),
+    (40, 0.00, 90, 0.00, 35, 0.00, 0, 1, 0, 0, 0), (65, 0.02, 30, 0.00, 80, 0.00, 0, 1, 0, 0, 0),
+    (14, 0.00, 50, 0.00, 0, 0.00, 0, 1, 0, 0, 0), (5, 0.00, 0, 0.00, 60, 0.00, 0, 1, 1, 0, 0),
+    (30, 0.10, 60, 0.00, 25, 0.00, 1, 1, 0, 0, 0), (7, 0.00, 40, 0.00, 30, 0.00, 1, 1, 0, 0, 0),
+    (3, 1.00, 80, 0.00, 2, 1.00, 1, 1, 0, 0, 0), (4, 0.00, 30, 0.00, 6, 0.50, 1, 1, 1, 0, 0),
+    (110, 0.00, 30, 0.00, 70, 0.00, 0, 0, 0, 0, 1), (60, 0.04, 8, 0.00, 45, 0.00, 0, 0, 0, 0, 1),
+    (35, 0.10, 90, 0.00, 55, 0.02, 0, 0, 0, 0, 1), (25, 0.20, 3, 1.00, 60, 0.00, 0, 0, 0, 0, 1),
+    (22, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 0, 1), (18, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 0, 1),
+    (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 0, 1), (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 0, 1),
+    (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 0, 1), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 0, 1),
+    (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 0, 1), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 0, 1),
+    (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 0, 1), (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 0, 1),
+    (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 0, 1), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
+    (30, 0.20, 2, 1.00, 1, 1.00, 0, 0, 0, 0, 1), (19, 0.00, 1, 0.00, 4, 1.00, 0, 0, 0, 0, 1),
+    (3, 0.00, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 1), (2, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 0, 1),
+    (3, 0.00, 0, 0.00, 21, 0.05, 0, 0, 1, 0, 1), (5, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1, 0, 1),
+    (25, 0.60, 20, 0.00, 20, 0.00, 0, 0, 0, 0, 0), (20, 0.50, 2, 1.00, 30, 0.00, 0, 0, 0, 0, 0),
+    (4, 0.00, 20, 0.00, 2, 1.00, 0, 0, 0, 0, 0), (8, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0),
+    (3, 0.90, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 0), (6, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0, 0),
+    (7, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 0), (9, 0.10, 5, 0.50, 4, 0.00, 0, 0, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 0), (2, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0, 0),
+    (3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0, 0), (30, 0.90, 5, 1.00, 20, 0.80, 0, 0, 0, 0, 0),
+    (45, 0.85, 60, 0.00, 3, 0.00, 0, 0, 0, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0),
+    (6, 0.00, 1, 1.00, 4, 0.50, 0, 0, 0, 0, 0), (8, 0.40, 70, 0.00, 0, 0.00, 0, 0, 0, 0, 0),
+    (5, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 0, 0), (3, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0),
+    (2, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1, 0, 0), (3, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1, 0, 0),
+    (19, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 2, 0), (60, 0.02, 30, 0.00, 70, 0.00, 1, 0, 0, 2, 0), (3, 1.00, 40, 0.00, 2, 1.00, 1, 0, 0, 2, 0), (150, 0.00, 9, 0.00, 20, 0.00, 1, 0, 0, 2, 0),
+    (12, 0.00, 0, 0.00, 40, 0.00, 0, 0, 0, 2, 0), (80, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 2, 0), (5, 0.40, 3, 1.00, 3, 1.00, 0, 0, 0, 2, 0), (4, 0.00, 90, 0.00, 6, 0.00, 0, 0, 1, 2, 0),
+    (24, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 1), (70, 0.05, 12, 0.00, 30, 0.00, 1, 0, 0, 1, 1), (35, 0.10, 3, 1.00, 50, 0.00, 0, 0, 0, 1, 1), (18, 0.00, 40, 0.00, 40, 0.00, 1, 0, 0, 1, 1),
+    (4, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0), (9, 0.00, 20, 0.00, 70, 0.00, 1, 0, 0, 1, 0), (12, 0.00, 50, 0.00, 30, 0.00, 1, 0, 0, 1, 0), (30, 0.80, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0),
+    (20, 0.60, 60, 0.00, 30, 0.00, 1, 0, 0, 1, 0), (6, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0, 1, 0), (25, 0.50, 3, 1.00, 2, 1.00, 0, 0, 0, 1, 0), (2, 1.00, 40, 0.00, 9, 0.00, 1, 0, 0, 1, 0),
 )
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--\s*>|\Z)|<(" + "|".join(DROPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+    r"<!--.*?(?:--\s*>|\Z)|<(" + "|".join(DROPPED) + r")\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PLAIN = re.compile(r"[a-z]+")
 
 
 @lru_cache(maxsize=100_000)
-def _said(attributes: str) -> tuple[bool, bool]:
-    """(tells of other things, does so outside an article only) by class, id, role and hiding."""
+def _said(attributes: str) -> tuple[int, bool]:
+    """(how surely it tells of other things, does so outside an article only) by class, id, role and hiding.
+
+    0 not at all, 1 by a word, 2 by a word of what may hold articles of its own, or by hiding.
+    """
     if not attributes or attributes.isspace():
-        return False, False
+        return 0, False
     if HIDDEN.search(attributes):
-        return True, False
+        return 2, False
     names = {x for m in NAMED.finditer(attributes) for x in PLAIN.findall(m[1].lower())}
     if names & OWN and not names & {"comment", "comments", "ad", "ads", "related", "sidebar"}:
-        return False, False
-    return bool(names & OTHER), bool(names & OTHER_OUTSIDE)
+        return 0, False
+    return 2 if names & NEVER_ARTICLE else int(bool(names & OTHER)), bool(names & OTHER_OUTSIDE)
 
 
-def flat_blocks(page: str) -> list[tuple[str, float, int, int, int]]:
-    """(text, link density, in article, in another part, heading) of each text block in page order."""
-    out: list[tuple[str, float, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # element, counts for article, counts for part
-    article = part = linked = 0
+def flat_blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
+    """(text, link density, in article, in another part, heading, named) of each text block in page order."""
+    out: list[tuple[str, float, int, int, int, int]] = []
+    # Of open elements: name, and what it adds to the counts of articles, parts, telling words around, and on a paragraph.
+    stack: list[tuple[str, int, int, int, int]] = []
+    article = part = named = own = 0
     heading = in_link = False
     texts: list[str] = []
     links: list[str] = []
 
     def end() -> None:
-        nonlocal linked
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
             inside = " ".join(html.unescape(" ".join(links)).split())
-            out.append((text, min(1.0, len(inside) / len(text)), int(article > 0), int(part > 0), int(heading)))
+            out.append((text, min(1.0, len(inside) / len(text)), int(article > 0), int(part > 0), int(heading), 2 if named else int(own > 0)))
         texts.clear()
         links.clear()
 
+    def close(k: int) -> None:
+        nonlocal article, part, named, own
+        for _, a, p, c, o in stack[k:]:
+            article, part, named, own = article - a, part - p, named - c, own - o
+        del stack[k:]
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -157,40 +175,44 @@ def flat_blocks(page: str) -> list[tuple[str, float, int, int, int]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name == "span" and stack[k][2]:
+                    if name == "span" and any(stack[k][1:]):
                         end()
-                    for _, a, p in stack[k:]:
-                        article, part = article - a, part - p
-                    del stack[k:]
+                    close(k)
                     break
                 if name in ("p", "span") and stack[k][0] not in ("p", "span"):
                     break
         elif not m[4].endswith("/"):
             if name == "p":
                 while stack and stack[-1][0] in ("p", "span"):
-                    _, a, p = stack.pop()
-                    article, part = article - a, part - p
-            other, outside = _said(m[4]) if name not in ARTICLE else (False, False)
-            a = int(name in ARTICLE)
-            p = int(other or outside and not article or name in PARTS and not (name == "header" and article))
-            if name == "span" and p:
+                    close(len(stack) - 1)
+            other, outside = _said(m[4])
+            a, p, c, o = int(name in ARTICLE), 0, 0, 0
+            if name in ARTICLE:
+                # Words on what wraps the page's article say nothing of the article.
+                if other < 2 and not article and not part:
+                    c = -named
+            else:
+                p = int(other == 2 or name in PARTS and not (name == "header" and article))
+                if not p and (other or outside and not article):
+                    c, o = (0, 1) if name == "p" else (1, 0)
+            if name == "span" and (p or c):
                 end()
-            if name not in ("p", "span") or p:
-                stack.append((name, a, p))
-                article, part = article + a, part + p
+            if name not in ("p", "span") or p or c or o:
+                stack.append((name, a, p, c, o))
+                article, part, named, own = article + a, part + p, named + c, own + o
     if at < len(page):
         texts.append(page[at:])
     end()
     return out
 
 
-def block_features(blocks: list[tuple[str, float, int, int, int]]) -> np.ndarray:
+def block_features(blocks: list[tuple[str, float, int, int, int, int]]) -> np.ndarray:
     n = len(blocks)
     words = np.array([b[0].count(" ") + 1 for b in blocks], float)
-    links, article, part, heading = (np.array([b[k] for b in blocks], float) for k in (1, 2, 3, 4))
+    links, article, part, heading, named = (np.array([b[k] for b in blocks], float) for k in (1, 2, 3, 4, 5))
     before = lambda x: np.concatenate([[0.0], x[:-1]]) if n else x
     after = lambda x: np.concatenate([x[1:], [0.0]]) if n else x
-    return np.column_stack([words, links, before(words), before(links), after(words), after(links), article, part, heading])
+    return np.column_stack([words, links, before(words), before(links), after(words), after(links), article, part, heading, named])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):

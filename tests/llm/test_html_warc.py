@@ -27,6 +27,32 @@ def test_pages_without_article_elements():
     assert "cookies" not in html_text.main_text(page) and "Home" not in html_text.main_text(page)
 
 
+LONG = "Here is a result of the search that was made by the author and told in a long sentence of text."
+
+
+def test_class_words_quotes_and_wrappers():
+    assert html_text.main_text(f"<article><p>One two three four.</p><p class='search-result'>{LONG}</p></article>") == f"One two three four.\n{LONG}"
+    assert html_text.main_text(f"<div class='page social'><article><h1>T</h1><p>{LONG}</p></article></div>") == f"T\n{LONG}"
+    assert html_text.main_text(f"<article><div data-x=it's><p>{LONG}</p></div><p title=\"x>y\">{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert html_text.main_text(f"<div class=comments><article><p>{LONG}</p></article></div>") == ""
+    assert html_text.main_text(f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><p class=ad>Buy now</p></article>") == LONG
+
+
+def test_varied_pages_with_known_articles():
+    """Wrappers, chrome and articles in every combination; what the article says is known."""
+    wrappers = [("<article>", "</article>"), ("<main role=main>", "</main>"), ("<div class='wrap social'><article>", "</article></div>"), ("<div id=content class='post'>", "</div>")]
+    articles = [(f"<h1>Head of it</h1><p>{LONG}</p><p>Another {LONG}</p>", f"Head of it\n{LONG}\nAnother {LONG}"),
+                (f"<h2>Two &amp; two</h2><p>{LONG} <a href='/x'>Link</a> and on.<ul><li>{LONG}<li>{LONG}</ul>", f"Two & two\n{LONG} Link and on.\n{LONG}\n{LONG}"),
+                (f"<p data-a=it's>{LONG}<br>{LONG}</p><blockquote>{LONG}</blockquote><div class=ad>Buy this</div>", f"{LONG} {LONG}\n{LONG}"),
+                (f"<p>{LONG}</p><table><tr><td>{LONG}</table><form>Your name <input></form><section class='comments'><p>{LONG} I liked it.</p></section>", f"{LONG}\n{LONG}")]
+    chrome = [("<nav><a href=/>Home</a> <a href=/b>News</a></nav>", "<footer>All rights</footer>"),
+              ("<div class=menu><ul><li><a>One</a><li><a>Two</a></ul></div><div id=cookie-notice><p>We use cookies to make this site better for you and your friends.</p></div>", "<aside><p>More of the things that you may want to read some day when it rains.</p></aside>"),
+              ("<script>if (a<b) '<p>x'</script><header><h1>Site</h1></header>", "<div class='sidebar'><p>Popular things that many people read this week and the week before.</p></div>")]
+    pages = [(top + a + text + b + bottom, want) for a, b in wrappers for text, want in articles for top, bottom in chrome]
+    assert len(pages) == 48
+    assert [html_text.main_text(f"<html><body>{x}</body></html>") for x, _ in pages] == [want for _, want in pages]
+
+
 def test_the_tree_knows_its_table():
     import numpy as np
 
