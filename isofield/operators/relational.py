@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isofield.sources.shared import cut
+
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group under a total order; use descending columns to keep the last."""
@@ -86,13 +88,20 @@ def missing_blocks(expected: DataFrame, existing: DataFrame, keys: list[str]) ->
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "candidate_id") -> DataFrame:
-    """0, 1, 2, ... over a total order, without bringing all rows together: a range sort, then an offset for each partition."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id())
-    counts = ranged.groupBy("part__").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part__") < F.col("a.part__"), "left") \
-        .groupBy(F.col("a.part__").alias("part__")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before__"))
-    w = Window.partitionBy("part__").orderBy(*order)
-    return ranged.join(F.broadcast(before), "part__").withColumn(name, F.row_number().over(w) - 1 + F.col("before__")).drop("part__", "before__")
+    """0, 1, 2, ... over a total order, without bringing all rows together: a range sort, then an offset for each partition.
+
+    The sorted rows are written once with their partition, so that counts and rows come from one and the same split; two
+    plans of a range sort may draw their bounds differently. Rows that tie on all of order get numbers in any order.
+    """
+    names = {c.lower() for c in df.columns}
+    part = next(c for c in ("part__", "part___", "part____") if c not in names)
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(part).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.p") < F.col("a.p"), "left") \
+        .groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    w = Window.partitionBy(part).orderBy(*order)
+    placed = ranged.withColumn(name, F.row_number().over(w) - 1).alias("r").join(F.broadcast(before.alias("o")), F.col(f"r.{part}") == F.col("o.p"))
+    return placed.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col(f"r.`{name}`") + F.col("o.before")).alias(name))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -156,3 +156,24 @@ def test_files(spark, tmp_path):
 def test_digest_ignores_order(spark):
     df = spark.range(100).withColumn("v", F.col("id") * 2)
     assert R.digest(df).collect() == R.digest(df.repartition(7)).collect() != R.digest(df.where("id < 99")).collect()
+
+
+@pytest.mark.parametrize("advisory", ["64m", "1m"])
+def test_numbers_of_wide_rows_over_many_partitions(spark, tmp_path, advisory):
+    """Every number once, in order, whatever the partitions of the sort and of the adaptive plan."""
+    from isofield.operators.relational import numbered
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        n = 200_000
+        df = spark.range(n).select(F.xxhash64("id").alias("x"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 512), 3).alias("wide"), F.lit(7).alias("part__"))
+        path = str(tmp_path / "numbered")
+        numbered(df, ["x", "id"], "number").write.parquet(path)
+        got = spark.read.parquet(path)
+        row = got.agg(F.count(F.lit(1)), F.countDistinct("number"), F.min("number"), F.max("number")).first()
+        assert tuple(row) == (n, n, 0, n - 1) and got.columns == [*df.columns, "number"]
+        assert got.select("x", "number").orderBy("number").toPandas()["x"].is_monotonic_increasing
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
