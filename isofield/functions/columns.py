@@ -11,6 +11,28 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def coerced(x: Column) -> Column:
+    """x as a finite double; text that is no number, NaN and infinities become null."""
+    return finite(x.try_cast("double"))
+
+
+def iso_date(x: Column) -> Column:
+    """The date of a text of the form YYYY-MM-DD, null for any other text and for days that do not exist."""
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x.try_cast("date"))
+
+
+def relabelled(x: Column, names: dict[str, str]) -> Column:
+    """The new name of a label; labels without one stay."""
+    if not names:
+        return x
+    return F.coalesce(F.get(F.array(*[F.lit(v) for v in names.values()]), F.nullif(F.array_position(F.array(*[F.lit(k) for k in names]), x), F.lit(0).cast("long")).cast("int") - 1), x)
+
+
+def token(prefix: str, x: Column, digits: int) -> Column:
+    """A part of a file name: the prefix and the number to fixed digits, with p for the point."""
+    return F.concat(F.lit(prefix), F.translate(F.format_string(f"%.{digits}f", x.cast("double")), ".", "p"))
+
+
 def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
     return F.abs(a - b) <= F.lit(absolute) + F.lit(relative) * F.abs(b)
 

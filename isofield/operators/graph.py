@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isofield.operators.relational import quantiles
 from isofield.sources.shared import cut
 
 AXES = ("x", "y", "z")
@@ -59,7 +64,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool) -> DataF
 def bandwidth(edges: DataFrame, rank: int, factor: float = 1.0) -> DataFrame:
     """(src, rho): a multiple of the distance to the rank-th neighbour, floored at 1e-8 of the median positive one."""
     rho = edges.where(F.col("rank") == rank).select("src", (F.col("dist") * factor).alias("rho"))
-    floor = rho.where("rho > 0").agg(F.greatest(F.percentile("rho", F.lit(0.5)) * 1e-8, F.lit(2.220446049250313e-16)).alias("floor"))
+    floor = quantiles(rho.where("rho > 0").select("rho"), [], "rho", [0.5]).select(F.greatest(F.get("quantiles", F.lit(0)) * 1e-8, F.lit(2.220446049250313e-16)).alias("floor"))
     return rho.crossJoin(F.broadcast(floor)).select("src", F.greatest("rho", F.coalesce("floor", F.lit(2.220446049250313e-16))).alias("rho"))
 
 
@@ -111,20 +116,31 @@ def local_metric(transition: DataFrame, points: DataFrame, rho: DataFrame) -> Da
 
 
 def inverse_metric(metric: DataFrame) -> DataFrame:
-    """(src, i_xx, ...): inverse of the symmetric 3 x 3 metric by its adjugate.
+    """(src, i_xx, ..., condition, clipped): inverse of the symmetric 3 x 3 metric.
 
-    Where an eigenvalue may lie below max(1e-14, 1e-10 max(trace / 3, 1)), the diagonal is first raised by that much.
-    The smallest eigenvalue is at least the determinant over the square of half the trace.
+    Eigenvalues below max(1e-14, 1e-10 max(trace / 3, 1)) are raised to that; clipped counts them, and condition is the
+    ratio of the outer eigenvalues then. A metric with a null, NaN or infinite entry has a null inverse.
     """
-    floor = F.greatest(F.lit(1e-14), F.lit(1e-10) * F.greatest((F.col("g_xx") + F.col("g_yy") + F.col("g_zz")) / 3, F.lit(1.0)))
-    a, b, c, d, e, f = (F.col(f"g_{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    det = a * (d * f - e * e) + b * (c * e - b * f) + c * (b * e - c * d)
-    least = F.try_divide(det, ((a + d + f) / 2) ** 2)
-    m = metric.withColumn("f__", F.when(least > floor, F.lit(0.0)).otherwise(floor))
-    a, b, c, d, e, f = (F.col(f"g_{k}") + (F.col("f__") if k[0] == k[1] else F.lit(0.0)) for k in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    cof = {"xx": d * f - e * e, "xy": c * e - b * f, "xz": b * e - c * d, "yy": a * f - c * c, "yz": b * c - a * e, "zz": a * d - b * b}
-    det = a * cof["xx"] + b * cof["xy"] + c * cof["xz"]
-    return m.select("src", *[F.try_divide(v, det).alias(f"i_{k}") for k, v in cof.items()])
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    at = [(AXES.index(a), AXES.index(b)) for a, b in pairs]
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            g = np.empty((len(batch), 3, 3))
+            for (a, b), (i, j) in zip(pairs, at):
+                g[:, i, j] = g[:, j, i] = batch[f"g_{a}{b}"].to_numpy(float)
+            good = np.isfinite(g).all((1, 2))
+            values, vectors = np.linalg.eigh(np.where(good[:, None, None], g, np.eye(3)))
+            floor = np.maximum(1e-14, 1e-10 * np.maximum(values.sum(1) / 3, 1.0))[:, None]
+            kept = np.maximum(values, floor)
+            inverse = (vectors / kept[:, None, :]) @ vectors.transpose(0, 2, 1)
+            out = {f"i_{a}{b}": inverse[:, i, j] for (a, b), (i, j) in zip(pairs, at)} | {"condition": kept.max(1) / kept.min(1)}
+            known = pd.DataFrame(out, index=batch.index).where(pd.Series(good, index=batch.index), axis=0)
+            yield pd.concat([batch[["src"]], known, pd.Series(np.where(good, (values < floor).sum(1), 0), index=batch.index, name="clipped", dtype="int32")], axis=1)
+
+    kind = dict(metric.dtypes)["src"]
+    out = metric.select("src", *[f"g_{a}{b}" for a, b in pairs]).mapInPandas(invert, f"src {kind}, " + ", ".join(f"i_{a}{b} double" for a, b in pairs) + ", condition double, clipped int")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in out.columns[1:-1]})
 
 
 def gradient(transition: DataFrame, points: DataFrame, rho: DataFrame, function: DataFrame, metric: DataFrame) -> DataFrame:
@@ -141,12 +157,27 @@ def gradient(transition: DataFrame, points: DataFrame, rho: DataFrame, function:
     return sums.join(rho, "src").join(inv, "src").select("src", *[sum((get(a, b) * c for b, c in zip(AXES, cov)), F.lit(0.0)).alias(f"d_{a}") for a in AXES])
 
 
-def bulk_field(edges: DataFrame, values: DataFrame, width: Column | float, names: list[str]) -> DataFrame:
-    """Kernel means of neighbour values with weights exp(-(d / h)^2): (src, names..., effective, nearest, farthest)."""
+def bulk_field(edges: DataFrame, values: DataFrame, width: Column | float, names: list[str], mass: str | None = None, dispersion: bool = False) -> DataFrame:
+    """Kernel means of neighbour values with weights exp(-(d / h)^2): (src, names..., effective, nearest, farthest).
+
+    mass names a column of values that the weights are multiplied by. dispersion adds the root of the weighted mean square
+    distance of the vectors of all names from their mean.
+    """
     h = width if isinstance(width, Column) else F.lit(width)
-    w = edges.join(values.withColumnRenamed("id", "dst"), "dst").withColumn("w__", F.exp(-((F.col("dist") / h) ** 2)))
+    k = F.exp(-((F.col("dist") / h) ** 2)) * (F.lit(1.0) if mass is None else F.col(mass))
+    w = edges.join(values.withColumnRenamed("id", "dst"), "dst").withColumn("w__", k)
     k = F.col("w__")
-    return w.groupBy("src").agg(*[F.try_divide(F.sum(k * F.col(c)), F.sum(k)).alias(c) for c in names], F.try_divide(F.sum(k) ** 2, F.sum(k * k)).alias("effective"),
+    mean = {c: F.try_divide(F.sum(k * F.col(c)), F.sum(k)) for c in names}
+    if not dispersion:
+        more = []
+    else:
+        # Squares are taken about the mean over all rows, one small aggregate, so that no large common part cancels.
+        centre = values.agg(*[F.avg(c).alias(f"{c}__0") for c in names])
+        w = w.crossJoin(F.broadcast(centre))
+        off = {c: F.col(c) - F.col(f"{c}__0") for c in names}
+        square = sum((F.try_divide(F.sum(k * o * o), F.sum(k)) - F.try_divide(F.sum(k * o), F.sum(k)) ** 2 for o in off.values()), F.lit(0.0))
+        more = [F.sqrt(F.greatest(square, F.lit(0.0))).alias("dispersion")]
+    return w.groupBy("src").agg(*[m.alias(c) for c, m in mean.items()], *more, F.try_divide(F.sum(k) ** 2, F.sum(k * k)).alias("effective"),
                                 F.min("dist").alias("nearest"), F.max("dist").alias("farthest"))
 
 

@@ -6,10 +6,13 @@ Mode gradients are an array of structs (x, y, z), one for each mode; coefficient
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isofield.functions.columns import line_of_sight
+from isofield.operators.regression import gram, grid_coefficients, grid_scores
+from isofield.operators.relational import numbered, quantiles
 
 AXES = ("x", "y", "z")
 
@@ -84,21 +87,27 @@ def reduced_chi_square(truth: Column, predicted: Column, sigma: Column, freedom:
 
 
 def orthogonality(df: DataFrame, modes: str, mass: Column) -> DataFrame:
-    """(i, j, product) of mode values under a measure, for audits of a basis of moderate size."""
-    pairs = df.select(mass.alias("m"), modes).select("m", F.posexplode(modes).alias("i", "u"), F.col(modes).alias("all")).select("m", "i", "u", F.posexplode("all").alias("j", "v")).where("j >= i")
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("m") * F.col("u") * F.col("v")).alias("product"))
+    """(i, j, product) of mode values under a measure: tasks send blocks of sums, never products of single rows."""
+    g, _, total = gram(df.withColumn("zero__", F.lit(0.0)), modes, "zero__", mass)
+    i, j = np.triu_indices(len(g))
+    return df.sparkSession.createDataFrame(pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "product": (g * total)[i, j]}), "i int, j int, product double")
+
+
+def vector_grid(train: DataFrame, validation: DataFrame, id_col: str, gradients: str, target: list[str], generator: np.ndarray, sizes: list[int], strengths: list[float], powers: list[float]) -> DataFrame:
+    """Scores of fits to whole vectors, the bound that a fit to radial parts can be held against; as regression.grid_scores."""
+    rows = component_rows(train, id_col, gradients, target)
+    g, r, _ = gram(rows, "design", "target")
+    return grid_scores(component_rows(validation, id_col, gradients, target), "design", "target", grid_coefficients(g, r, generator, sizes, strengths, powers))
 
 
 def thin(df: DataFrame, order: list[str], step: int) -> DataFrame:
     """Every step-th row of a total order."""
-    from isofield.operators.relational import numbered
-
     return numbered(df, order, "at__").where(F.col("at__") % step == 0).drop("at__")
 
 
 def robust_scaled(df: DataFrame, value: str, quantile: float = 0.99) -> DataFrame:
     """df with value over a high quantile of its size, clipped to [-1, 1]."""
-    top = df.agg(F.percentile(F.abs(value), F.lit(quantile)).alias("top__"))
+    top = quantiles(df.select(F.abs(value).alias("size__")), [], "size__", [quantile]).select(F.get("quantiles", F.lit(0)).alias("top__"))
     return df.crossJoin(F.broadcast(top)).withColumn("scaled", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(value), F.col("top__"))))).drop("top__")
 
 

@@ -122,6 +122,53 @@ def grid_scores(rows: DataFrame, design: str, target: str, grid: list[dict], wei
     return sums.groupBy("candidate").agg(F.sqrt(F.try_divide(F.sum("error"), F.sum("square"))).alias("nrmse")).join(F.broadcast(labels), "candidate")
 
 
+def best_of(scores: DataFrame) -> dict:
+    """The candidate of the smallest score; ties go to the smaller basis, then strength, then power."""
+    row = scores.orderBy(F.col("nrmse").asc_nulls_last(), "n_basis", "strength", "power").first()
+    if row is None:
+        raise ValueError("no candidate was scored")
+    return row.asDict()
+
+
+def select_and_refit(train: DataFrame, validation: DataFrame, design: str, target: str, generator: np.ndarray, sizes: list[int], strengths: list[float], powers: list[float],
+                     weight: Column | None = None, ridge: float = 1e-12) -> tuple[dict, np.ndarray]:
+    """(chosen candidate, coefficients): the grid is fitted on train and judged on validation, the choice is fitted again on both."""
+    g, r, _ = gram(train, design, target, weight)
+    sizes = [n for n in sizes if n <= len(g)]
+    chosen = best_of(grid_scores(validation, design, target, grid_coefficients(g, r, generator[:len(g)], sizes, strengths, powers, ridge), weight))
+    g, r, _ = gram(train.unionByName(validation), design, target, weight)
+    n = chosen["n_basis"]
+    return chosen, solve(g[:n, :n], r[:n], penalty(generator[:n], chosen["power"], ridge), chosen["strength"], ridge)
+
+
+def closure(rows: DataFrame, held_out: DataFrame, design: str, theta: np.ndarray, weight: Column | None = None, tolerance: float = 1e-8) -> dict:
+    """Whether labels made of known coefficients give these back: relative errors of coefficients, fit and held-out rows.
+
+    Nothing is penalised. status is "pass" if all three stay within the tolerance, else "review".
+    """
+    g, r, _ = gram(predict(rows, design, theta, "made__"), design, "made__", weight)
+    found = solve(g, r, np.zeros(len(theta)), 0.0, 0.0)
+
+    def error(df: DataFrame) -> float:
+        both = predict(predict(df, design, theta, "made__"), design, found, "found__")
+        row = both.agg(F.sqrt(F.try_divide(F.sum((F.col("found__") - F.col("made__")) ** 2), F.sum(F.col("made__") ** 2))).alias("e")).first()
+        return float(row["e"]) if row["e"] is not None else float("nan")
+
+    errors = {"coefficient_error": float(np.linalg.norm(found - theta) / np.linalg.norm(theta)), "fit_error": error(rows), "held_out_error": error(held_out)}
+    return {"n_basis": len(theta), **errors, "status": "pass" if all(e <= tolerance for e in errors.values()) else "review"}
+
+
+def baselines(train: DataFrame, rows: DataFrame, target: list[str]) -> DataFrame:
+    """(baseline, n, nrmse): predictions of zero and of the mean over train, for scalars or vectors."""
+    mean = train.agg(*[F.avg(t).alias(f"mean{i}__") for i, t in enumerate(target)])
+    each = F.array(F.struct(F.lit("zero").alias("baseline"), *[F.lit(0.0).alias(f"p{i}__") for i in range(len(target))]),
+                   F.struct(F.lit("mean").alias("baseline"), *[F.col(f"mean{i}__").alias(f"p{i}__") for i in range(len(target))]))
+    made = rows.crossJoin(F.broadcast(mean)).select(*target, F.inline(each))
+    error = sum(((F.col(t) - F.col(f"p{i}__")) ** 2 for i, t in enumerate(target)), F.lit(0.0))
+    square = sum((F.col(t) ** 2 for t in target), F.lit(0.0))
+    return made.groupBy("baseline").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.try_divide(F.sum(error), F.sum(square))).alias("nrmse"))
+
+
 def predict(rows: DataFrame, design: str, theta: np.ndarray, name: str = "predicted") -> DataFrame:
     """rows with the product of the leading design columns and theta, as a column expression."""
     t = F.array(*[F.lit(float(v)) for v in theta])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isofield.functions.columns import finite
 from isofield.sources.shared import cut
 
 
@@ -104,6 +105,65 @@ def numbered(df: DataFrame, order: list[str], name: str = "candidate_id") -> Dat
     return placed.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col(f"r.`{name}`") + F.col("o.before")).alias(name))
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that have a value in every column; NaN and infinite numbers are no values."""
+    numbers = {c for c, t in df.dtypes if t in ("double", "float")}
+    return df.withColumns({c: finite(F.col(c)) for c in columns if c in numbers}).dropna(subset=columns)
+
+
+def distinct_configurations(df: DataFrame, keys: list[str], order: list[str], idle: dict[str, tuple[str, float]] | None = None, digits: int = 12) -> DataFrame:
+    """The first row in the given order of each configuration, its number keys rounded.
+
+    idle names keys without effect where another key is 0, and the value they then take: {"cap": ("gamma", 1.0)}.
+    """
+    numbers = {c for c, t in df.dtypes if t in ("double", "float")}
+    fixed = df.withColumns({k: F.when(F.col(other) == 0, F.lit(value)).otherwise(F.col(k)) for k, (other, value) in (idle or {}).items()})
+    fixed = fixed.withColumns({k: F.round(k, digits) + F.lit(0.0) for k in keys if k in numbers})  # + 0.0: one zero
+    return keep_one(fixed, keys, [F.col(c) for c in order])
+
+
+def at_chosen(candidates: DataFrame, choices: DataFrame, keys: list[str], size: str, chosen: str) -> DataFrame:
+    """The candidates of each group at the size that was chosen for the group, with all that the choice table says of it."""
+    return candidates.join(choices.withColumn(size, F.col(chosen)), [*keys, size])
+
+
+def cumulative(df: DataFrame, groups: list[str], value: str, weight: Column) -> DataFrame:
+    """(groups, value, v__, before__, upto__, total__, last__) for each different value of each group.
+
+    before__ and upto__ are the weight below a value and with it, last__ the next smaller value. Rows are sorted by range
+    and written once; what crosses partitions is one row for each partition and group, so a group may be of any size.
+    """
+    steps = df.groupBy(*groups, value).agg(F.sum(weight).alias("w__"))
+    ranged = cut(steps.repartitionByRange(*groups, value).withColumn("part__", F.spark_partition_id()))
+    blocks = ranged.groupBy(*groups, "part__").agg(F.sum("w__").alias("block__"), F.max(value).alias("top__"))
+    over = Window.partitionBy(*groups).orderBy("part__")
+    blocks = blocks.withColumns({"start__": F.coalesce(F.sum("block__").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                                 "edge__": F.lag("top__").over(over), "total__": F.sum("block__").over(Window.partitionBy(*groups))})
+    inside = Window.partitionBy(*groups, "part__").orderBy(value)
+    local = ranged.withColumns({"sum__": F.sum("w__").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "lag__": F.lag(value).over(inside)})
+    on = F.col("a.part__") == F.col("b.part__")
+    for g in groups:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    upto = F.col("b.start__") + F.col("a.sum__")
+    return local.alias("a").join(blocks.alias("b"), on).select(
+        *[F.col(f"a.{g}") for g in groups], F.col(f"a.{value}"), (upto - F.col("a.w__")).alias("before__"), upto.alias("upto__"),
+        F.col("b.total__"), F.coalesce("a.lag__", "b.edge__").alias("last__"))
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float], name: str = "quantiles") -> DataFrame:
+    """(groups, name): exact quantiles with linear interpolation as one array; null values do not count.
+
+    A table without values gives no row for a group, and one row of nulls where no groups are named.
+    """
+    steps = cumulative(df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias(value)), groups, value, F.lit(1))
+    at = [F.lit(q) * (F.col("total__") - 1) for q in shares]
+    pick = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))
+    rows = steps.groupBy(*groups).agg(*[pick(F.floor(h)).alias(f"low{i}__") for i, h in enumerate(at)], *[pick(F.ceil(h)).alias(f"high{i}__") for i, h in enumerate(at)],
+                                      *[F.max(h - F.floor(h)).alias(f"part{i}__") for i, h in enumerate(at)])
+    col = lambda k, i: F.col(f"{k}{i}__")
+    return rows.select(*groups, F.array(*[col("low", i) + col("part", i) * (col("high", i) - col("low", i)) for i in range(len(shares))]).alias(name))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """One row: the count, and a sum of row hashes that no order changes."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest"))

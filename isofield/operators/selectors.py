@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,23 +104,13 @@ def sign_counts(df: DataFrame, groups: list[str], delta: str) -> DataFrame:
                                    F.avg(d).alias("mean_delta"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("std_delta"))
 
 
-def sign_test(wins: Column, losses: Column, most: int = 60) -> Column:
-    """Exact two-sided p-value of a fair coin; beyond most tosses the table ends and a normal law with continuity correction takes over."""
-    n, k = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    tails = [[float(min(1.0, 2 * sum(comb(m, j) for j in range(i + 1)) / 2.0 ** m)) for i in range(m // 2 + 1)] for m in range(most + 1)]
-    table = F.array(*[F.array(*map(F.lit, row)) for row in tails])
-    return F.when(n <= most, F.get(F.get(table, n), k)).otherwise(F.least(F.lit(1.0), 2 * normal_tail((F.abs(wins - losses) - 1) / F.sqrt(n.cast("double")))))
-
-
-def normal_tail(z: Column) -> Column:
-    """Upper tail of the normal law by a rational approximation (absolute error below 1e-7)."""
-    t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
-    terms = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    poly = F.lit(0.0)
-    for c in reversed(terms):
-        poly = (poly + F.lit(c)) * t
-    tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Exact two-sided p-value of a fair coin, at any number of tosses: binomial terms are built one from the other by their logarithms."""
+    n, k = (wins + losses).cast("long"), F.least(wins, losses).cast("long")
+    state = lambda log, total: F.struct(log.alias("log"), total.alias("total"))
+    start = state(-n.cast("double") * F.log(F.lit(2.0)), F.lit(0.0))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, lambda s, j: state(s["log"] + F.coalesce(F.log((n - j).cast("double")), F.lit(0.0)) - F.log((j + 1).cast("double")), s["total"] + F.exp(s["log"])))
+    return F.least(F.lit(1.0), 2 * tail["total"])
 
 
 def bootstrap_mean(df: DataFrame, groups: list[str], value: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -145,12 +133,14 @@ def bootstrap_mean(df: DataFrame, groups: list[str], value: str, draws: int = 20
 
 
 def hierarchical_bootstrap(df: DataFrame, groups: list[str], outer: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Interval of the mean of outer means: outer groups are drawn, then values within each drawn one."""
+    """Interval of the mean of outer means: outer groups are drawn, then values within each drawn one; nulls without any value."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*groups).schema.fields) + ", mean double, low double, high double"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         parts = [np.sort(g[value].to_numpy(float)) for _, g in rows.dropna(subset=[value]).groupby(outer, sort=True)]
+        if not parts:
+            return pd.DataFrame([[*key, None, None, None]], columns=[*groups, "mean", "low", "high"])
         means = [np.mean([rng.choice(parts[i], len(parts[i])).mean() for i in rng.integers(0, len(parts), len(parts))]) for _ in range(draws)]
         return pd.DataFrame([[*key, np.mean([p.mean() for p in parts]), *np.quantile(means, [0.025, 0.975])]], columns=[*groups, "mean", "low", "high"])
 

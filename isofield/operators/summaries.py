@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isofield.functions.columns import direction_error, dot, finite, norm
+from isofield.operators.relational import cumulative, quantiles
 
 
 def spread(x: Column) -> Column:
@@ -46,14 +47,72 @@ def weighted_quantile(df: DataFrame, groups: list[str], value: str, weight: str,
 
     Values that are equal are one step. Rows without positive weight do not count.
     """
-    rows = df.where((F.col(weight) > 0) & finite(F.col(value)).isNotNull()).groupBy(*groups, value).agg(F.sum(weight).alias("w__"))
-    # Steps of a group are summed by blocks of values, so that a large group is not one task's sort alone.
-    w = Window.partitionBy(*groups).orderBy(value)
-    steps = rows.withColumn("cum__", F.sum("w__").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w__").over(Window.partitionBy(*groups)))
-    steps = steps.withColumn("v0__", F.lag(value).over(w)).withColumn("c0__", F.lag("cum__").over(w))
+    rows = df.where((F.col(weight) > 0) & finite(F.col(value)).isNotNull()).select(*groups, value, weight)
+    steps = cumulative(rows, groups, value, F.col(weight)).withColumns({"cum__": F.col("upto__") / F.col("total__"), "c0__": F.when(F.col("last__").isNotNull(), F.col("before__") / F.col("total__"))})
     hit = steps.where((F.col("cum__") >= q) & (F.col("c0__").isNull() | (F.col("c0__") < q)))
-    inner = F.col("v0__") + (F.col(value) - F.col("v0__")) * F.try_divide(F.lit(q) - F.col("c0__"), F.col("cum__") - F.col("c0__"))
-    return hit.select(*groups, F.coalesce(inner, F.col(value)).alias(name))
+    inner = F.col("last__") + (F.col(value) - F.col("last__")) * F.try_divide(F.lit(q) - F.col("c0__"), F.col("cum__") - F.col("c0__"))
+    return hit.groupBy(*groups).agg(F.min(F.coalesce(inner, F.col(value))).alias(name))
+
+
+def beside(tables: list[DataFrame], groups: list[str]) -> DataFrame:
+    """Tables of one row a group side by side; the first one's groups stay, null groups included."""
+    out = tables[0]
+    for k, t in enumerate(tables[1:]):
+        t = t.withColumnsRenamed({g: f"{g}__{k}" for g in groups})
+        on = F.lit(True)
+        for g in groups:
+            on = on & F.col(g).eqNullSafe(F.col(f"{g}__{k}"))
+        out = out.join(t, on, "left").drop(*[f"{g}__{k}" for g in groups])
+    return out
+
+
+def weighted_vector_metrics(df: DataFrame, groups: list[str], truth: list[str], predicted: list[str], weight: str) -> DataFrame:
+    """vector_metrics with row weights, negative ones as 0; quantiles are read off the cumulative weight of the finite values."""
+    rows = df.withColumn("w__", F.greatest(F.col(weight).cast("double"), F.lit(0.0)))
+    t, p, w = [F.col(c) for c in truth], [F.col(c) for c in predicted], F.col("w__")
+    gap = [b - a for a, b in zip(t, p)]
+    mean = lambda x: weighted_mean(x, w)
+    corr = lambda a, b: F.try_divide(mean(a * b) - mean(a) * mean(b), F.sqrt((mean(a * a) - mean(a) ** 2) * (mean(b * b) - mean(b) ** 2)))
+    residual = [mean(g) for g in gap]
+    sums = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(mean(dot(gap, gap))).alias("rmse_3d"), nrmse_of(dot(gap, gap), dot(t, t), w).alias("nrmse"),
+        *[F.sqrt(mean(g * g)).alias(f"rmse_{k}") for g, k in zip(gap, "xyz")], *[corr(a, b).alias(f"corr_{k}") for a, b, k in zip(t, p, "xyz")],
+        *[r.alias(f"residual_{k}") for r, k in zip(residual, "xyz")], F.sqrt(dot(residual, residual)).alias("mean_residual"))
+    parts = rows.select(*groups, w, direction_error(t, p).alias("angle__"), F.abs(F.try_divide(norm(p) - norm(t), norm(t))).alias("speed__"))
+    q = lambda v, share, name: weighted_quantile(parts, groups, v, "w__", share, name)
+    return beside([sums, q("angle__", 0.5, "angle_median"), q("angle__", 0.9, "angle_p90"), q("speed__", 0.5, "speed_error_median")], groups)
+
+
+def nrmse_of(error_square: Column, truth_square: Column, w: Column) -> Column:
+    return F.sqrt(F.try_divide(F.sum(w * error_square), F.sum(w * truth_square)))
+
+
+def vector_calibration(df: DataFrame, groups: list[str], truth: list[str], predicted: list[str], weight: Column | None = None) -> DataFrame:
+    """Slope, intercept and slope through the origin of every component, and the gain of the whole vector through the origin."""
+    w = F.lit(1.0) if weight is None else weight
+    t, p = [F.col(c) for c in truth], [F.col(c) for c in predicted]
+    mean = lambda x: weighted_mean(x, w)
+    slope = [F.try_divide(mean(a * b) - mean(a) * mean(b), mean(a * a) - mean(a) ** 2) for a, b in zip(t, p)]
+    return df.groupBy(*groups).agg(
+        *[s.alias(f"slope_{k}") for s, k in zip(slope, "xyz")], *[(mean(b) - s * mean(a)).alias(f"intercept_{k}") for s, a, b, k in zip(slope, t, p, "xyz")],
+        *[F.try_divide(F.sum(w * a * b), F.sum(w * a * a)).alias(f"origin_slope_{k}") for a, b, k in zip(t, p, "xyz")],
+        F.try_divide(F.sum(w * dot(t, p)), F.sum(w * dot(t, t))).alias("gain"))
+
+
+def direction_summary(df: DataFrame, groups: list[str], position: list[str], truth: list[str], predicted: list[str]) -> DataFrame:
+    """Median and 90 % quantile of the angle between vectors, and how much larger predicted sizes and radial parts are (root mean squares)."""
+    x, t, p = ([F.col(c) for c in cs] for cs in (position, truth, predicted))
+    rt, rp = F.try_divide(dot(x, t), norm(x)), F.try_divide(dot(x, p), norm(x))
+    sums = df.groupBy(*groups).agg(F.sqrt(F.try_divide(F.sum(dot(p, p)), F.sum(dot(t, t)))).alias("size_ratio"), F.sqrt(F.try_divide(F.sum(rp * rp), F.sum(rt * rt))).alias("radial_ratio"))
+    angles = quantiles(df.select(*groups, direction_error(t, p).alias("angle__")), groups, "angle__", [0.5, 0.9])
+    return beside([sums, angles], groups).withColumns({"angle_median": F.get("quantiles", F.lit(0)), "angle_p90": F.get("quantiles", F.lit(1))}).drop("quantiles")
+
+
+def candidate_metrics(df: DataFrame, groups: list[str], position: list[str], truth: list[str], candidates: dict[str, list[str]]) -> DataFrame:
+    """radial_metrics of many predictions of the same rows, one row for each candidate; its name is in column candidate."""
+    each = F.array(*[F.struct(F.lit(k).alias("candidate"), *[F.col(c).alias(f"p{i}__") for i, c in enumerate(cs)]) for k, cs in candidates.items()])
+    rows = df.select(*groups, *position, *truth, F.inline(each))
+    return radial_metrics(rows, [*groups, "candidate"], position, truth, ["p0__", "p1__", "p2__"])
 
 
 def vector_metrics(df: DataFrame, groups: list[str], truth: list[str], predicted: list[str]) -> DataFrame:
@@ -96,7 +155,7 @@ def coverage(truth: Column, predicted: Column, variance: Column, z: float) -> Co
 
 def quantile_bins(df: DataFrame, by: str, value: str, bins: int, least: int = 5) -> DataFrame:
     """Means over quantile bins of a column; bins are right-open but the last, and small ones are left out."""
-    edges = df.agg(F.percentile(by, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("edges")).select(F.array_distinct("edges").alias("edges"))
+    edges = quantiles(df.select(by), [], by, [k / bins for k in range(bins + 1)], "edges").select(F.array_distinct("edges").alias("edges"))
     inside = df.crossJoin(F.broadcast(edges))
     last = F.size("edges") - 2
     bin_ = F.least(F.size(F.filter("edges", lambda e: e <= F.col(by))) - 1, last)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isofield.functions.columns import clip, interpolate, order_hash
+from isofield.operators.relational import numbered, quantiles
+from isofield.operators.summaries import effective_size
 
 
 def limit_magnitude(apparent_limit: Column, distance: Column, hubble: float = 1.0) -> Column:
@@ -19,6 +21,28 @@ def selection_probability(limit: Column, grid: list[float], cdf: list[float]) ->
     return clip(interpolate(limit, grid, cdf), 0.0, 1.0)
 
 
+def mean_probability(distance: Column, limits: list[float], grid: list[float], cdf: list[float], hubble: float = 1.0) -> Column:
+    """Mean of the selection probabilities that a distance has under each regional limit."""
+    curves = [selection_probability(limit_magnitude(F.lit(float(m)), distance, hubble), grid, cdf) for m in limits]
+    return sum(curves[1:], curves[0]) / F.lit(float(len(curves)))
+
+
+def probability_by_mode(mode: str, regional: Column, everywhere: Column) -> Column:
+    """The selection probability that a model assumes: 1 ("none"), one curve for all ("global") or the region's ("region")."""
+    known = {"none": F.lit(1.0), "global": everywhere, "region": regional}
+    if mode not in known:
+        raise ValueError(f"mode {mode} is none of {sorted(known)}")
+    return known[mode]
+
+
+def weight_report(df: DataFrame, probability: str, weight: str) -> DataFrame:
+    """One row: least and median probability, largest weight over the mean, effective size and its share of the rows."""
+    sums = df.agg(F.count(F.lit(1)).alias("n"), F.min(probability).alias("probability_min"), (F.max(weight) / F.avg(weight)).alias("weight_max"),
+                  effective_size(F.col(weight)).alias("effective"))
+    return sums.crossJoin(F.broadcast(quantiles(df.select(probability), [], probability, [0.5]))).select(
+        "n", "probability_min", F.get("quantiles", F.lit(0)).alias("probability_median"), "weight_max", "effective", F.try_divide("effective", "n").alias("effective_share"))
+
+
 def inverse_weights(df: DataFrame, probability: str, power: float = 1.0, floor: float = 1e-3, most: float = 50.0, quantile: float = 0.995) -> DataFrame:
     """df with weight = min(p ** -power, cap) over its mean; the cap is the smaller of most and a quantile. Power 0 gives ones.
 
@@ -27,7 +51,7 @@ def inverse_weights(df: DataFrame, probability: str, power: float = 1.0, floor:
     if power == 0:
         return df.withColumn("weight", F.lit(1.0))
     raw = df.withColumn("raw__", F.pow(F.greatest(F.col(probability), F.lit(floor)), F.lit(-power)))
-    cap = raw.agg(F.least(F.lit(most), F.percentile("raw__", F.lit(quantile))).alias("cap__"))
+    cap = quantiles(raw.select("raw__"), [], "raw__", [quantile]).select(F.least(F.lit(most), F.get("quantiles", F.lit(0))).alias("cap__"))
     capped = raw.crossJoin(F.broadcast(cap)).withColumn("capped__", F.least("raw__", "cap__"))
     mean = raw.crossJoin(F.broadcast(cap)).agg(F.avg(F.least("raw__", "cap__")).alias("mean__"))
     return capped.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("capped__") / F.col("mean__")).drop("raw__", "cap__", "capped__", "mean__")
@@ -38,8 +62,6 @@ def split(df: DataFrame, id_col: str, seed: int, train: float, validation: float
 
     Without groups the cut is by rank over a range sort, so that no task sees all rows.
     """
-    from isofield.operators.relational import numbered
-
     keyed = df.withColumn("order__", order_hash(F.col(id_col), seed))
     if groups:
         w = Window.partitionBy(*groups)

@@ -67,16 +67,67 @@ def catalog_from_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> D
     return spark.createDataFrame(list(rows), CATALOG)
 
 
+def read_npz(spark: SparkSession, places: str | list[str], arrays: dict[str, str]) -> DataFrame:
+    """One row for each entry of the named one-dimensional arrays of npz files, doubles but for ids: {"m_abs": "m_abs", "ids": "id"}.
+
+    Files are read where tasks run, one file in one task, to be converted once. A file without one of the arrays, or with
+    arrays of unlike lengths, is an error; pickled objects are refused. A two-dimensional array gives columns name_0, name_1, ...
+    for its first three columns.
+    """
+    import io
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    names = list(arrays.values())
+    wide = [n for n in names if n in ("pos", "vel")]
+    columns = [c for n in names for c in ([f"{n}_{k}" for k in range(3)] if n in wide else [n])]
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    if missing := sorted(set(arrays) - set(held.files)):
+                        raise ValueError(f"{path} has no {missing}")
+                    out = {}
+                    for key, name in arrays.items():
+                        x = held[key]
+                        if name in wide:
+                            out |= {f"{name}_{k}": x[:, k].astype(float) for k in range(3)}
+                        else:
+                            out[name] = x.astype(np.int64 if name == "id" else float)
+                yield pd.DataFrame(out)
+
+    files = spark.read.format("binaryFile").load(places).select("path", "content")
+    return files.mapInPandas(load, ", ".join(f"`{c}` {'long' if c == 'id' else 'double'}" for c in columns))
+
+
+def resume(spark: SparkSession, place: str, expected: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All blocks of a grid: those that place lacks are built from their keys in one job and added, a folder for each block.
+
+    build gets the missing blocks and returns their rows with the keys. A block that was cut off has no committed folder
+    and is built again.
+    """
+    from isofield.operators.relational import missing_blocks
+
+    existing = spark.read.parquet(place) if exists(spark, place) else None
+    missing = missing_blocks(expected, existing, keys) if existing is not None else expected
+    if existing is None or missing.limit(1).count():
+        build(missing).write.partitionBy(*keys).mode("append").parquet(place)
+    return spark.read.schema(existing.schema).parquet(place) if existing is not None else spark.read.parquet(place)
+
+
 def synthetic_points(spark: SparkSession, n: int, case: int, seed: int = 260922) -> DataFrame:
-    """n points in a ball, in a flattened ball (case 2) or with a bent third axis (case 3), made where they are needed."""
+    """n points in a ball, in one stretched by axis (case 2) or with every axis bent by itself (case 3), made where they are needed."""
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + case), F.lit(k), "id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     normal = lambda k: F.sqrt(-2 * F.log(u(2 * k))) * F.cos(2 * np.pi * u(2 * k + 1))
     df = spark.range(n).select("id", *[normal(k).alias(f"g{k}") for k in range(3)], (12 + 95 * F.pow(u(9), F.lit(1 / 3))).alias("r"))
     size = F.sqrt(F.col("g0") ** 2 + F.col("g1") ** 2 + F.col("g2") ** 2)
-    x, y, z = (F.col("r") * F.col(f"g{k}") / size for k in range(3))
-    scale = (1.0, 0.7, 1.4) if case == 2 else (1.0, 1.0, 1.0)
-    z = z * F.lit(scale[2]) + (9 * F.tanh(x / 40) if case == 3 else F.lit(0.0))
-    return df.select("id", (x * scale[0]).alias("x"), (y * scale[1]).alias("y"), z.alias("z"))
+    scale = (1.0, 0.75, 1.15) if case == 2 else (1.0, 1.0, 1.0)
+    axes = [F.col("r") * F.col(f"g{k}") / size * F.lit(s) for k, s in enumerate(scale)]
+    if case == 3:
+        axes = [a + 9 * F.tanh(a / 40) for a in axes]
+    return df.select("id", *[a.alias(n) for a, n in zip(axes, "xyz")])
 
 
 def write_new(df: DataFrame, place: str, kind: str = "parquet") -> None:
