@@ -83,6 +83,34 @@ def error_profile(df: DataFrame, radius: str, reference: float, contrast: float,
     return with_raw.crossJoin(F.broadcast(scale)).withColumn("profile", F.col("raw__") / F.col("scale__")).drop("raw__", "scale__")
 
 
+def working_profiles(df: DataFrame, profile: str, train: Column, flatness: float = 0.5) -> DataFrame:
+    """df with what three models take for a profile: profile_correct, profile_flattened (its power) and profile_constant.
+
+    Each has unit mean square on the training rows; one aggregate of one row gives all scales.
+    """
+    raw = {"profile_correct": F.col(profile), "profile_flattened": F.pow(F.col(profile), F.lit(flatness)), "profile_constant": F.lit(1.0)}
+    scales = df.agg(*[F.sqrt(F.avg(F.when(train, r * r))).alias(f"{n}__") for n, r in raw.items()])
+    scaled = df.crossJoin(F.broadcast(scales)).withColumns({n: F.try_divide(r, F.col(f"{n}__")) for n, r in raw.items()})
+    return scaled.drop(*[f"{n}__" for n in raw])
+
+
+def support_masks(queries: DataFrame, catalog: DataFrame, region: str, distance: str, spacing: str, probability: str, radius: float, bandwidth: float,
+                  least: tuple[float, float] = (1e-3, 1e-2), factor: float = 1.5) -> DataFrame:
+    """queries with extended, strict and primary: where the catalog supports an estimate.
+
+    A query needs a selection probability (the first of least for extended, the second for strict), a spacing up to factor
+    times the catalog's 95 % quantile and a distance up to the 99.5 % quantile of its region. Primary ones are strict and
+    at least a bandwidth inside the radius. A query of a region that the catalog lacks, or with a null, has no support.
+    """
+    limits = quantiles(catalog, [region], distance, [0.995], "limit__")
+    reach = quantiles(catalog.select(spacing), [], spacing, [0.95], "reach__")
+    known = queries.join(limits, region, "left").crossJoin(F.broadcast(reach))
+    near = (F.col(spacing) <= F.lit(factor) * F.get("reach__", F.lit(0))) & (F.col(distance) <= F.get("limit__", F.lit(0)))
+    masks = {"extended": near & (F.col(probability) >= least[0]), "strict": near & (F.col(probability) >= least[1])}
+    masks["primary"] = masks["strict"] & (F.col(distance) <= radius - bandwidth)
+    return known.withColumns({n: F.coalesce(m, F.lit(False)) for n, m in masks.items()}).drop("limit__", "reach__")
+
+
 def add_noise(df: DataFrame, id_col: str, value: str, profile: str, fraction: float, rms: float, seeds: list[int]) -> DataFrame:
     """df once for each seed with noisy = value + fraction * rms * profile * N(0, 1), the draw fixed by seed and id.
 
@@ -95,12 +123,44 @@ def add_noise(df: DataFrame, id_col: str, value: str, profile: str, fraction: fl
     return df.withColumn("realisation", F.explode(F.array(*map(F.lit, seeds)))).withColumn("noisy", F.col(value) + F.lit(fraction * rms) * F.col(profile) * normal)
 
 
-def fit_luminosity(df: DataFrame, magnitude: str, limit: str, bright: float, faint: float, start: tuple[float, float] = (-20.5, -1.1),
-                   rounds: int = 60, points: int = 4096) -> tuple[float, float, float]:
-    """(knee, slope, negative log likelihood) of a truncated luminosity function, by a simplex search.
+#: Fixed values of the luminosity fit: knees and slopes to start from, and the bounds of both.
+STARTS = ((-22.1, -1.1), (-21.5, -0.8), (-22.7, -1.4))
+BOUNDS = ((-24.0, -18.0), (-2.5, 0.5))
+
 
-    One likelihood is one distributed aggregate: magnitudes by their sum, limits by a histogram on the grid that the
-    normaliser is tabulated on, so a search costs one pass over the rows.
+def bounded_simplex(loss, start: tuple[float, ...], bounds: tuple[tuple[float, float], ...], rounds: int, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """(point, loss) of a simplex search whose points are moved to the nearest one within the bounds."""
+    low, high = np.array(bounds).T
+    inside = lambda p: np.clip(p, low, high)
+    first = inside(np.array(start, float))
+    # A step away from the nearer bound, so that the simplex is not flat.
+    steps = np.where(first + 0.1 * (high - low) <= high, 0.1, -0.1) * (high - low)
+    points = [first, *[first + step for step in np.diag(steps)]]
+    values = [loss(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] <= tolerance * max(1.0, abs(values[0])):
+            break
+        centre = np.mean(points[:-1], axis=0)
+        tried = [inside(centre + f * (centre - points[-1])) for f in (1.0, 2.0, 0.5, -0.5)]
+        best, k = min((loss(p), k) for k, p in enumerate(tried))
+        if best < values[-1]:
+            points[-1], values[-1] = tried[k], best
+        else:
+            points = [points[0], *[(points[0] + p) / 2 for p in points[1:]]]
+            values = [values[0], *[loss(p) for p in points[1:]]]
+    k = int(np.argmin(values))
+    return points[k], values[k]
+
+
+def fit_luminosity(df: DataFrame, magnitude: str, limit: str, bright: float, faint: float, start: tuple[float, float] | None = None,
+                   rounds: int = 200, points: int = 4096, bounds: tuple[tuple[float, float], ...] = BOUNDS) -> tuple[float, float, float]:
+    """(knee, slope, negative log likelihood) of a truncated luminosity function; the best of three bounded searches.
+
+    Every row has its own limit, so the rows of several regions are fitted together. A likelihood is a small sum over two
+    histograms, of magnitudes and of limits on the grid that the normaliser is tabulated on, so a fit costs two passes
+    over the rows however long the searches. start names a single start in place of the three.
     """
     grid = np.linspace(bright, faint, points)
     sums = df.where(F.col(magnitude).between(bright, faint)).select(
@@ -118,18 +178,6 @@ def fit_luminosity(df: DataFrame, magnitude: str, limit: str, bright: float, fai
         norm = np.log(np.maximum(area[cells["cell"]], 1e-300)) @ cells["n"]
         return float(norm - shape(bins["m"].to_numpy(), *p) @ bins["n"])
 
-    simplex = [np.array(start), np.array([start[0] + 0.5, start[1]]), np.array([start[0], start[1] + 0.2])]
-    values = [loss(p) for p in simplex]
-    for _ in range(rounds):
-        order = np.argsort(values)
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        centre = (simplex[0] + simplex[1]) / 2
-        tried = [(centre + f * (centre - simplex[2])) for f in (1.0, 2.0, 0.5, -0.5)]
-        best = min(((loss(p), k) for k, p in enumerate(tried)))
-        if best[0] < values[2]:
-            simplex[2], values[2] = tried[best[1]], best[0]
-        else:
-            simplex = [simplex[0], *[(simplex[0] + p) / 2 for p in simplex[1:]]]
-            values = [values[0], *[loss(p) for p in simplex[1:]]]
-    k = int(np.argmin(values))
-    return float(simplex[k][0]), float(simplex[k][1]), values[k]
+    found = [bounded_simplex(loss, s, bounds, rounds) for s in ([start] if start else STARTS)]
+    best, value = min(found, key=lambda f: f[1])
+    return float(best[0]), float(best[1]), value

@@ -127,6 +127,22 @@ def weight_report(spark, d):
     return rounded(T.weight_report(T.inverse_weights(probability(spark, d), "pr", power=0.5), "pr", "weight").withColumn("effective", F.round("effective", 4)))
 
 
+@query(f"""with {SURVEY}, r as (select *, 1 + 2.0 * pow(greatest(0, least(1, dist / 50)), 1.5) raw from survey),
+ m as (select sqrt(avg(raw * raw)) a, sqrt(avg(raw)) b from r where region < 6) select id, round(raw / a, 6) profile_correct, round(sqrt(raw) / b, 6) profile_flattened, 1.0::double profile_constant from r, m""")
+def working_profiles(spark, d):
+    train = F.col("region") < 6
+    p = T.working_profiles(T.error_profile(survey(spark, d), "dist", 50.0, 3.0, 1.5, train), "profile", train)
+    return rounded(p.select("id", "profile_correct", "profile_flattened", "profile_constant"))
+
+
+@query(f"""with {PROBABILITY}, t as (select *, dist / (1 + id % 7) gap from prob), c as (select * from t where id % 3 <> 0), edge as (select region, quantile_cont(dist, 0.995) far from c group by 1),
+ q as (select t.*, gap <= 1.5 * (select quantile_cont(gap, 0.95) from c) and dist <= far near from t left join edge on t.region = edge.region)
+ select id, coalesce(near and pr >= 0.1, false) extended, coalesce(near and pr >= 0.3, false) as "strict", coalesce(near and pr >= 0.3 and dist <= 20.0, false) as "primary" from q""")
+def support_masks(spark, d):
+    t = probability(spark, d).withColumn("gap", F.col("dist") / (1 + F.col("id") % 7))
+    return T.support_masks(t, t.where("id % 3 <> 0"), "region", "dist", "gap", "pr", 30.0, 10.0, (0.1, 0.3)).select("id", "extended", "strict", "primary")
+
+
 # Fields and fits.
 
 @query(f"""with {EDGES}, k as (select e.src, dist, vx, vy, vz, exp(-(dist/0.2)*(dist/0.2)) * (1 + e.dst % 3) w from edges e join points on dst = id),

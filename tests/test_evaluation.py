@@ -145,6 +145,43 @@ def test_probability_modes(spark):
         T.probability_by_mode("other", one, two)
 
 
+def test_working_profiles_have_unit_mean_square_on_training_rows(spark):
+    df = spark.createDataFrame([(1.0, True), (4.0, True), (9.0, False), (None, True)], "p double, t boolean")
+    got = T.working_profiles(df, "p", F.col("t")).orderBy("p").collect()
+    assert got[0].profile_correct is None and got[0].profile_constant == 1.0
+    scale = {"profile_correct": 8.5 ** 0.5, "profile_flattened": 2.5 ** 0.5}
+    for r, p in zip(got[1:], (1.0, 4.0, 9.0)):
+        assert abs(r.profile_correct - p / scale["profile_correct"]) < 1e-12 and abs(r.profile_flattened - p ** 0.5 / scale["profile_flattened"]) < 1e-12
+
+
+def test_support_masks_by_region(spark):
+    cols = "region int, dist double, gap double, pr double"
+    catalog = spark.createDataFrame([(0, float(k), 1.0, 1.0) for k in range(1, 11)] + [(1, 100.0, 1.0, 1.0)], cols)
+    rows = [(0, 5.0, 1.0, 0.5), (0, 5.0, 1.0, 0.005), (0, 9.96, 1.0, 0.5), (0, 5.0, 1.6, 0.5), (1, 100.0, 1.5, 0.01), (2, 5.0, 1.0, 0.5), (None, 5.0, 1.0, 0.5), (0, 5.0, None, 0.5), (1, 90.0, 1.0, 0.0005)]
+    asked = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"id int, {cols}")
+    got = {r.id: (r.extended, r.strict, r.primary) for r in T.support_masks(asked, catalog, "region", "dist", "gap", "pr", 100.0, 5.0).collect()}
+    no = (False, False, False)
+    assert got == {0: (True, True, True), 1: (True, False, False), 2: no, 3: no, 4: (True, True, False), 5: no, 6: no, 7: no, 8: no}
+
+
+def test_simplex_stays_within_its_bounds():
+    bowl = lambda p: (p[0] - 3) ** 2 + 4 * (p[1] + 1) ** 2
+    point, value = T.bounded_simplex(bowl, (0.0, 0.0), ((-5.0, 5.0), (-5.0, 5.0)), 300)
+    assert np.allclose(point, [3, -1], atol=1e-4) and value < 1e-8
+    point, _ = T.bounded_simplex(bowl, (2.0, 2.0), ((-2.0, 2.0), (0.0, 2.0)), 300)
+    assert np.allclose(point, [2, 0], atol=1e-4)
+
+
+def test_luminosity_fit_takes_the_best_of_a_grid(spark):
+    rng = np.random.default_rng(8)
+    m = -24 + 8 * rng.random(400)
+    df = spark.createDataFrame([(float(v), float(min(v + g, -15.0))) for v, g in zip(m, rng.random(400) * 3)], "m double, lim double")
+    knee, slope, loss = T.fit_luminosity(df, "m", "lim", -24.0, -15.0)
+    assert -24 <= knee <= -18 and -2.5 <= slope <= 0.5
+    tried = [T.fit_luminosity(df, "m", "lim", -24.0, -15.0, start=s, rounds=0)[2] for s in ((-22.0, -1.0), (-20.0, -1.5), (-18.5, 0.0), (-23.5, -2.0))]
+    assert loss <= min(tried) + 1e-6
+
+
 def test_dispersion_about_the_local_mean(spark):
     edges = spark.createDataFrame([(1, 10, 0.0), (1, 11, 0.0)], "src long, dst long, dist double")
     values = spark.createDataFrame([(10, 1e6 + 1.0, 0.0, 1.0), (11, 1e6 + 5.0, 0.0, 3.0)], "id long, vx double, vy double, mass double")
