@@ -26,4 +26,21 @@ WARC = """with p as (select page_id, url, octet_length(encode(coalesce(html, '')
   max(page_id) over (partition by hex) top from p)
  select page_id, payload_bytes, payload_digest, case when page_id < top then 'revisit' else 'response' end record_type, case when page_id < top then top end refers_to, url from d"""
 
-SQL = {"op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}
+
+
+def exponion_clusters(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Lloyd's rounds one after the other, over rows of components."""
+    near = """a{i} as materialized (select vec_id, (d % 1000)::int c, d // 1000 d from (select vec_id, min(d * 1000 + c) d from (select x.vec_id, c.c, sum((x.v - c.v) * (x.v - c.v))::bigint d
+ from x join c{i} c using (i) group by all) group by 1))"""
+    move = """m{i} as materialized (select a.c, x.i, (sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) v from x join a{j} a using (vec_id) group by all),
+ c{i} as materialized (select o.c, o.i, coalesce(m.v, o.v)::bigint v from c{j} o left join m{i} m using (c, i))"""
+    steps = ["c0 as materialized (select r.c, x.i, x.v from (select vec_id, row_number() over (order by sha256('" + str(seed) + ":' || vec_id)) - 1 c from e) r join x using (vec_id) where r.c < " + str(k) + ")", near.format(i=0)]
+    for i in range(1, rounds + 1):
+        steps += [move.format(i=i, j=i - 1), near.format(i=i)]
+    return """with e as (select vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = 64),
+ x as materialized (select vec_id, unnest(range(64)) i, unnest(list_transform(embedding, lambda v: floor(v::double * 1024)::bigint)) v from e), """ + ",\n ".join(steps) + f""",
+ h as (select c, sha256(string_agg(v::varchar, ',' order by i)) centroid_sha256 from c{rounds} group by 1)
+ select vec_id, a.c as cluster, d distance, sum(d) over (partition by a.c)::bigint cluster_inertia, sum(d) over ()::bigint inertia, centroid_sha256 from a{rounds} a join h using (c)"""
+
+
+SQL = {"op13_exponion_clusters": exponion_clusters(), "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}
