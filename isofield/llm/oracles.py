@@ -43,4 +43,43 @@ def exponion_clusters(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
  select vec_id, a.c as cluster, d distance, sum(d) over (partition by a.c)::bigint cluster_inertia, sum(d) over ()::bigint inertia, centroid_sha256 from a{rounds} a join h using (c)"""
 
 
-SQL = {"op13_exponion_clusters": exponion_clusters(), "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}
+def conversation_repair() -> str:
+    """Damage by a table of crc32, then the cheapest edits from the last row on, one step of a recursive query a row."""
+    state = lambda c, a, r: f"{{'c': ({c})::bigint, 'a': {a}, 'r': {r}}}"
+    kept, to_user, to_assistant = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+    reads = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def row(q: int) -> str:
+        ways = [state(f"4 + v{q}.c", f"'D' || v{q}.a", f"v{q}.r")]
+        for x, to in reads[q].items():
+            ways.append(state(f"case when x = '{x}' and f not in (1, 2) then 0 else 1000000 end + case when f = 3 then 3 else 0 end + v{to}.c", f"'K' || v{to}.a", f"{kept} || v{to}.r"))
+        to, line = (3, to_assistant) if q == 2 else (2, to_user)
+        ways.append(state(f"case when f in (1, 2) then 1000000 when f = 3 then 6 else 3 end + v{to}.c", f"'R' || v{to}.a", f"{line} || v{to}.r"))
+        return f"list_min([{', '.join(ways)}]) w{q}"
+
+    def inserted(q: int) -> str:
+        u, a = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+        once, twice, one, two = (3, 2, a, a + " || " + u) if q == 2 else (2, 3, u, u + " || " + a)
+        return f"list_min([w{q}, {state(f'3 + w{once}.c', f"'I' || w{once}.a", f'{one} || w{once}.r')}, {state(f'6 + w{twice}.c', f"'II' || w{twice}.a", f'{two} || w{twice}.r')}]) v{q}"
+
+    end = ", ".join(f"{state(c, a, r)} v{q}" for q, c, a, r in ((0, "0", "''", "''"), (1, "6", "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'"), (2, "3", "'I'", "chr(10) || 'assistant:'"), (3, "0", "''", "''")))
+    return r"""with recursive tab as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i::bigint)) t),
+ d0 as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+ d1 as (select *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: ord(c)::bigint), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295::bigint), 4294967295) % 20 h from d0, tab),
+ d as (select conv_id, turn, case when h = 4 then 'user' else role end role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text
+  from d1, (select unnest([0, 1]) copy) where h <> 0 and (copy = 0 or h = 3)),
+ r as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, left(role, 1) x from d),
+ s as (select *, case when not regexp_matches(text, '[^ 	-
+]') then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][ 	-
+]*$') then 3 else 0 end f,
+  lag(x) over (partition by conv_id order by i) || x pair from r),
+ g as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count_if(f = 1) blank, count_if(f = 2) duplicate, count_if(f = 3) truncated,
+  count_if(pair is not null and pair not in ('su', 'ua', 'au')) illegal from s group by 1),
+ e as (select conv_id, n + 1 j, """ + end + """ from g union all select conv_id, j, """ + ", ".join(inserted(q) for q in range(4)) + """
+  from (select e.conv_id, e.j - 1 j, """ + ", ".join(row(q) for q in range(4)) + """ from e join s on s.conv_id is not distinct from e.conv_id and s.i = e.j - 1))
+ select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(v0.c, 0) as cost,
+  coalesce(v0.a, '') audit, sha256(substr(coalesce(v0.r, ''), 2)) repaired_sha256
+ from (select distinct conv_id from conversations) c left join g on g.conv_id is not distinct from c.conv_id left join (select * from e where j = 1) e on e.conv_id is not distinct from c.conv_id"""
+
+
+SQL = {"op12_conversation_repair": conversation_repair(), "op13_exponion_clusters": exponion_clusters(), "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}

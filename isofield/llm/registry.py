@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isofield.llm import ann, embed_dedup, exponion, html_text, line_dedup, mixing, ngram_join, oracles, packing, quality, toxicity, warc
+from isofield.llm import ann, embed_dedup, exponion, html_text, line_dedup, mixing, ngram_join, oracles, packing, quality, secret_spans, toxicity, turns, warc
 from isofield.llm.common import scratch, table
 
 
@@ -55,13 +55,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_ngram_jaccard_join, op2_nearest_neighbours, op3_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_html_main_text, op7_site_quality, op8_warc_round_trip, op9_line_dedup, op10_source_mixing,
-           op13_exponion_clusters]
+           op11_secret_spans, op12_conversation_repair, op13_exponion_clusters]
     return {f.__name__: f for f in own}
 
 
