@@ -86,6 +86,34 @@ def order_hash(id_: Column, seed: int) -> Column:
     return F.pmod(id_.cast("long") * F.lit(1103515245) + F.lit(seed).cast("long") * F.lit(12345), F.lit(2147483648))
 
 
+#: Multipliers of random_number().
+ID_FACTOR, DRAW_FACTOR, SEED_FACTOR, MIX_FACTORS = 374761393, 668265263, 1274126177, (739982445, 695872825)
+
+
+def _random_steps(seed: int | Column, id_: Column):
+    """The functions that random_number() applies to a draw, one after the other."""
+    part = lambda c, factor: (c if isinstance(c, Column) else F.lit(c)).cast("long") % (1 << 31) * F.lit(factor)
+    yield lambda draw: F.pmod(part(id_, ID_FACTOR) + part(draw, DRAW_FACTOR) + part(seed, SEED_FACTOR), F.lit(1 << 31))
+    mix = lambda shift, factor: lambda x: F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor), F.lit(1 << 31))
+    yield mix(15, MIX_FACTORS[0])
+    yield mix(12, MIX_FACTORS[1])
+    yield lambda x: x.bitwiseXOR(F.shiftright(x, 15))
+
+
+def random_number(seed: int | Column, draw: Column, id_: Column) -> Column:
+    """A number in [0, 2**31) that seed, draw and id fix, by integer arithmetic, shifts and xor that any SQL engine repeats."""
+    for step in _random_steps(seed, id_):
+        draw = step(draw)
+    return draw
+
+
+def random_numbers(seed: int | Column, draws: Column, id_: Column) -> Column:
+    """random_number() of each draw of an array; each step passes over the array, so that none is evaluated twice."""
+    for step in _random_steps(seed, id_):
+        draws = F.transform(draws, step)
+    return draws
+
+
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
     """Linear interpolation on a fixed grid, constant beyond its ends."""
     out = F.lit(float(ys[-1]))

@@ -6,59 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isofield.operators.neighbours import AXES, knn  # noqa: F401
 from isofield.operators.relational import quantiles
-from isofield.sources.shared import cut
-
-AXES = ("x", "y", "z")
-#: How many times the search radius may double before it must cover any finite set of points.
-MAX_DOUBLINGS = 64
-
-
-def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """(src, dst, dist, rank): the k nearest points(id, x, y, z) of each query(id, x, y, z), ties to the smaller id.
-
-    Space is cut into cells of side h. A query meets the points of its 27 cells by an equi-join; its answer is exact if
-    the k-th distance is at most h. The others go on with cells twice as wide. The first width is small against the mean
-    distance of neighbours, so that dense regions end in small cells.
-    """
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"lo_{a}") for a in AXES], *[F.max(a).alias(f"hi_{a}") for a in AXES]).first()
-    n = box["n"]
-    schema = "src long, dst long, dist double, rank int"
-    if not n:
-        return queries.sparkSession.createDataFrame([], schema)
-    sides = [max(box[f"hi_{a}"] - box[f"lo_{a}"], 1e-12) for a in AXES]
-    q_box = queries.agg(*[F.min(a).alias(f"lo_{a}") for a in AXES], *[F.max(a).alias(f"hi_{a}") for a in AXES]).first()
-    reach = max([max(box[f"hi_{a}"], q_box[f"hi_{a}"] or 0.0) - min(box[f"lo_{a}"], q_box[f"lo_{a}"] or 0.0) for a in AXES]) + 1e-9
-    h = (sides[0] * sides[1] * sides[2] * (k + 1) / n) ** (1 / 3) or reach
-    wanted = min(k, n - 1 if skip_self else n)
-    open_, done = queries.select("id", *AXES), None
-    for _ in range(MAX_DOUBLINGS):
-        cell = lambda a, width=h: F.floor(F.col(a) / F.lit(width))
-        shift = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        spread = points.select(F.col("id").alias("dst"), *[F.col(a).alias(f"p{a}") for a in AXES], *[cell(a).alias(f"c{a}") for a in AXES])
-        for a in AXES:
-            spread = spread.withColumn("d__", F.explode(shift)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("d__")).drop("d__")
-        asked = open_.select(F.col("id").alias("src"), *AXES, *[cell(a).alias(f"c{a}") for a in AXES])
-        gap = sum(((F.col(a) - F.col(f"p{a}")) ** 2 for a in AXES), F.lit(0.0))
-        pairs = asked.join(spread, ["cx", "cy", "cz"])
-        if skip_self:
-            pairs = pairs.where("src <> dst")
-        w = Window.partitionBy("src").orderBy("dist", "dst")
-        near = pairs.withColumn("dist", F.sqrt(gap)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "dist", F.col("rank").cast("int").alias("rank"))
-        near = cut(near)  # a round's answers are few, and later rounds start from them
-        if h >= reach:
-            return near if done is None else done.unionByName(near)
-        settled = near.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where((F.col("n") >= wanted) & (F.col("far") <= h)).select("src")
-        good = near.join(settled, "src", "left_semi")
-        done = good if done is None else done.unionByName(good)
-        open_ = cut(open_.join(settled, open_["id"] == settled["src"], "left_anti"))
-        if not open_.count():
-            return done
-        h *= 2
-    raise ValueError("points are too far apart for cells of any width tried")
 
 
 def bandwidth(edges: DataFrame, rank: int, factor: float = 1.0) -> DataFrame:
@@ -193,3 +147,31 @@ def nystrom(edges: DataFrame, rho_query: DataFrame, rho_node: DataFrame, mass: D
     m = mass.select(F.col("id").alias("dst"), F.col("w").alias("mass"))
     w = edges.join(rho_query, "src").join(r, "dst").join(m, "dst").select("src", "dst", (F.col("mass") * F.exp(-(F.col("dist") ** 2) / (F.col("rho") * F.col("rho_dst")))).alias("w"))
     return markov(w)
+
+
+def query_transition(edges: DataFrame, rho_query: DataFrame, rho_node: DataFrame, nodes: DataFrame, alpha: float) -> DataFrame:
+    """(src, dst, p, q, total): transition from new points to nodes(id, w, q) by the kernel of the operator of `alpha`.
+
+    edges are the neighbours of the new points among the nodes. q is a new point's own density (kernel times w, at least
+    the smallest positive step of a double at 1), the kernel over (q q_node) ** alpha times w is scaled to rows of one,
+    and total is what a row summed to before.
+    """
+    r = rho_node.select(F.col("src").alias("dst"), F.col("rho").alias("rho_dst"))
+    m = nodes.select(F.col("id").alias("dst"), F.col("w").alias("mass"), F.col("q").alias("density"))
+    k = edges.join(rho_query, "src").join(r, "dst").join(m, "dst").select("src", "dst", "mass", "density", F.exp(-(F.col("dist") ** 2) / (F.col("rho") * F.col("rho_dst"))).alias("k"))
+    own = Window.partitionBy("src")  # as many rows as a point has neighbours
+    k = k.withColumn("q", F.greatest(F.sum(F.col("k") * F.col("mass")).over(own), F.lit(2.220446049250313e-16)))
+    k = k.withColumn("row", F.col("k") * F.pow(F.col("q") * F.col("density"), F.lit(-alpha)) * F.col("mass")).withColumn("total", F.sum("row").over(own))
+    return k.select("src", "dst", F.try_divide("row", "total").alias("p"), "q", "total")
+
+
+def extend_modes(transition: DataFrame, modes: DataFrame, values: dict[int, list[float]], least: float = 1e-10) -> DataFrame:
+    """(src, block, v): modes of the nodes carried to new points, sum over p times v, over the mode's eigenvalue.
+
+    modes(id, block, v) come in blocks of columns, so that an edge carries one block at a time; values gives each block's
+    eigenvalues. Modes whose eigenvalue is at most `least` in size are null at every new point.
+    """
+    moved = transition.join(modes.withColumnRenamed("id", "dst"), "dst").groupBy("src", "block").agg(
+        Summarizer.mean(array_to_vector("v"), F.col("p")).alias("mean"), F.sum("p").alias("total"))
+    over = F.create_map(*[c for b, vs in values.items() for c in (F.lit(b), F.array(*[F.lit(float(x)) if abs(x) > least else F.lit(None).cast("double") for x in vs]))])
+    return moved.select("src", "block", F.zip_with(vector_to_array("mean"), over[F.col("block")], lambda x, value: x * F.col("total") / value).alias("v"))

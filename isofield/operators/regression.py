@@ -9,9 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isofield.operators.spectral import triangle, triangle_rows
+
 #: Columns of a block of the Gram matrix: what one task holds is a block's square.
 BLOCK = 512
 
@@ -122,6 +126,84 @@ def grid_scores(rows: DataFrame, design: str, target: str, grid: list[dict], wei
     return sums.groupBy("candidate").agg(F.sqrt(F.try_divide(F.sum("error"), F.sum("square"))).alias("nrmse")).join(F.broadcast(labels), "candidate")
 
 
+def vector_coefficients(rows: DataFrame, design: str, targets: list[str], generator: np.ndarray, sizes: list[int], strengths: list[float], powers: list[float], weight: Column | None = None, ridge: float = 1e-12) -> list[dict]:
+    """grid_coefficients() for several targets at once: one pass, and one factor for each strength and power serves all of them."""
+    g, _, _, right = _gram_of_many(rows, design, targets, weight)
+    out = []
+    for power in powers:
+        diagonal = penalty(generator[:len(g)], power, ridge)
+        for strength in strengths:
+            lower = factor(g + np.diag(strength * diagonal + ridge))
+            forward = np.linalg.solve(lower, right)
+            out += [{"n_basis": n, "strength": strength, "power": power, "theta": np.linalg.solve(lower[:n, :n].T, forward[:n])} for n in sizes]
+    return out
+
+
+def _gram_of_many(rows: DataFrame, design: str, targets: list[str], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(Gram matrix, squares of targets, sum of weights, right-hand sides), the matrices over the sum of weights."""
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weights = 0.0, 0.0
+        for batch in batches:
+            both = np.column_stack([np.array(batch["x"].tolist(), float), np.array(batch["y"].tolist(), float)])
+            w = batch["w"].to_numpy(float)
+            total = total + both.T @ (both * w[:, None])
+            weights += w.sum()
+        if not np.isscalar(total):
+            yield pd.DataFrame({"g": [np.concatenate([[weights], total.ravel()])]})
+
+    w = F.lit(1.0) if weight is None else weight
+    sums = rows.select(F.col(design).alias("x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"), w.cast("double").alias("w")).mapInPandas(partial, "g array<double>") \
+        .agg(Summarizer.sum(array_to_vector("g")).alias("g")).first()["g"]
+    if sums is None or not len(sums):
+        raise ValueError("no rows to fit")
+    weights, m = sums[0], round((len(sums) - 1) ** 0.5)
+    g = np.array(sums.toArray()[1:]).reshape(m, m) / weights
+    k = m - len(targets)
+    return g[:k, :k], np.diag(g)[k:], float(weights), g[:k, k:]
+
+
+def vector_scores(rows: DataFrame, design: str, targets: list[str], grid: list[dict], weight: Column | None = None) -> DataFrame:
+    """(candidate, n_basis, strength, power, nrmse) of candidates with a column of coefficients for each target, over whole vectors."""
+    width = max(len(c["theta"]) for c in grid)
+    theta = np.zeros((len(grid), width, len(targets)))
+    for k, c in enumerate(grid):
+        theta[k, :len(c["theta"])] = c["theta"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        error, square = np.zeros(len(grid)), 0.0
+        for batch in batches:
+            x, y, w = np.array(batch["x"].tolist(), float).reshape(len(batch), -1)[:, :width], np.array(batch["y"].tolist(), float).reshape(len(batch), -1), batch["w"].to_numpy(float)
+            for k in range(len(grid)):
+                error[k] += w @ ((x @ theta[k] - y) ** 2).sum(1)
+            square += w @ (y * y).sum(1)
+        yield pd.DataFrame({"candidate": np.arange(len(grid)), "error": error, "square": square})
+
+    w = F.lit(1.0) if weight is None else weight
+    sums = rows.select(F.col(design).alias("x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"), w.cast("double").alias("w")).mapInPandas(partial, "candidate long, error double, square double")
+    labels = rows.sparkSession.createDataFrame([(k, c["n_basis"], float(c["strength"]), float(c["power"])) for k, c in enumerate(grid)], "candidate long, n_basis int, strength double, power double")
+    return sums.groupBy("candidate").agg(F.sqrt(F.try_divide(F.sum("error"), F.sum("square"))).alias("nrmse")).join(F.broadcast(labels), "candidate")
+
+
+def least_squares(rows: DataFrame, design: str, targets: list[str], weight: Column | None = None, least: float = 1e-12) -> dict:
+    """Unpenalised least squares without a Gram matrix: {"theta" (columns for targets), "rank", "residual" (norms)}.
+
+    Each task reduces its rows of [design, targets] to a triangular factor, groups of tasks reduce those, and the driver the
+    few that are left, so the condition of the design is not squared. Directions whose singular value is at most `least`
+    of the largest are left out: of all best solutions the shortest is returned.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    both = F.concat(F.transform(design, lambda v: v.cast("double")), F.array(*[F.col(t).cast("double") for t in targets]))
+    block = rows.select(F.lit(0).cast("long").alias("id"), F.transform(both, lambda v: v * F.sqrt(w)).alias("v"))
+    r = triangle(triangle_rows(block).collect())
+    if not r.size:
+        raise ValueError("no rows to fit")
+    k = r.shape[1] - len(targets)
+    u, s, t = np.linalg.svd(r[:, :k], full_matrices=False)
+    keep = s > least * s[0] if len(s) else np.zeros(0, bool)
+    theta = (t[keep].T / s[keep]) @ (u[:, keep].T @ r[:, k:])
+    return {"theta": theta, "rank": int(keep.sum()), "residual": np.linalg.norm(r[:, :k] @ theta - r[:, k:], axis=0)}
+
+
 def best_of(scores: DataFrame) -> dict:
     """The candidate of the smallest score; ties go to the smaller basis, then strength, then power."""
     row = scores.orderBy(F.col("nrmse").asc_nulls_last(), "n_basis", "strength", "power").first()
@@ -155,7 +237,7 @@ def closure(rows: DataFrame, held_out: DataFrame, design: str, theta: np.ndarray
         return float(row["e"]) if row["e"] is not None else float("nan")
 
     errors = {"coefficient_error": float(np.linalg.norm(found - theta) / np.linalg.norm(theta)), "fit_error": error(rows), "held_out_error": error(held_out)}
-    return {"n_basis": len(theta), **errors, "status": "pass" if all(e <= tolerance for e in errors.values()) else "review"}
+    return {"n_basis": len(theta), **errors, "found": found, "status": "pass" if all(e <= tolerance for e in errors.values()) else "review"}
 
 
 def baselines(train: DataFrame, rows: DataFrame, target: list[str]) -> DataFrame:

@@ -98,13 +98,30 @@ def numbered(df: DataFrame, order: list[str], name: str = "candidate_id") -> Dat
     part = next(c for c in ("part__", "part___", "part____") if c not in names)
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
     counts = ranged.groupBy(F.col(part).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.p") < F.col("a.p"), "left") \
-        .groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # One window over a row for each partition.
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy(part).orderBy(*order)
     placed = ranged.withColumn(name, F.row_number().over(w) - 1).alias("r").join(F.broadcast(before.alias("o")), F.col(f"r.{part}") == F.col("o.p"))
     return placed.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col(f"r.`{name}`") + F.col("o.before")).alias(name))
 
 
+def ranked_within(df: DataFrame, groups: list[str], order: list[str], rank: str = "rank", size: str = "size") -> DataFrame:
+    """df with 0, 1, 2, ... over a total order inside each group, and the rows of the group; nulls are a group of their own.
+
+    Rows are sorted by range over groups and order and written once; what crosses partitions is a row for each partition
+    and group, so a group may be of any size. Rows that tie on all of order get ranks in any order.
+    """
+    ranged = cut(df.repartitionByRange(*groups, *order).withColumn("part__", F.spark_partition_id()))
+    over = Window.partitionBy(*groups)
+    blocks = ranged.groupBy(*groups, "part__").agg(F.count(F.lit(1)).alias("n__")).withColumns({
+        "start__": F.coalesce(F.sum("n__").over(over.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total__": F.sum("n__").over(over)})
+    local = ranged.withColumn("place__", F.row_number().over(Window.partitionBy(*groups, "part__").orderBy(*order)) - 1)
+    on = F.col("a.part__") == F.col("b.part__")
+    for g in groups:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return local.alias("a").join(blocks.alias("b"), on).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b.start__") + F.col("a.place__")).alias(rank), F.col("b.total__").alias(size))
+
+
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """The rows that have a value in every column; NaN and infinite numbers are no values."""
     numbers = {c for c, t in df.dtypes if t in ("double", "float")}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isofield.functions.columns import finite
+from isofield.functions.columns import dot, finite, norm, random_number, random_numbers
+from isofield.operators.relational import quantiles, ranked_within
 from isofield.operators.summaries import finite_summary
+from isofield.sources.shared import cut
 
 
 def relative_improvement(curve: DataFrame, groups: list[str], size: str, score: str, floor: float = 0.0) -> DataFrame:
@@ -113,57 +117,104 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.least(F.lit(1.0), 2 * tail["total"])
 
 
-def bootstrap_mean(df: DataFrame, groups: list[str], value: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean, and the share of draws below zero, for each group of finite values.
-
-    Resampling takes the values of a group (one for each seed of an experiment) into one task; the draws are seeded.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*groups).schema.fields) + ", n long, mean double, low double, high double, share_negative double"
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows[value].to_numpy(float))
-        x = x[np.isfinite(x)]
-        if not len(x):
-            return pd.DataFrame([[*key, 0, None, None, None, None]], columns=[*groups, "n", "mean", "low", "high", "share_negative"])
-        means = x[np.random.default_rng(seed).integers(0, len(x), (draws, len(x)))].mean(1)
-        low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*key, len(x), x.mean(), low, high, (means < 0).mean()]], columns=[*groups, "n", "mean", "low", "high", "share_negative"])
+def _draws(first: int, last: int) -> Column:
+    return F.explode(F.sequence(F.lit(first), F.lit(last)))
 
-    return df.select(*groups, value).groupBy(*groups).applyInPandas(run, schema)
 
+def _interval(means: DataFrame, groups: list[str], value: str, level: float) -> DataFrame:
+    """(groups, low, high, share_negative) of a column of draws."""
+    ends = quantiles(means, groups, value, [(1 - level) / 2, (1 + level) / 2], "ends__")
+    share = means.groupBy(*groups).agg(F.avg((F.col(value) < 0).cast("double")).alias("share_negative"))
+    at = lambda k: F.get("ends__", F.lit(k))
+    return _same(share, ends, groups).select(*[F.col(f"a.{g}") for g in groups], at(0).alias("low"), at(1).alias("high"), "a.share_negative")
 
-def hierarchical_bootstrap(df: DataFrame, groups: list[str], outer: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Interval of the mean of outer means: outer groups are drawn, then values within each drawn one; nulls without any value."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*groups).schema.fields) + ", mean double, low double, high double"
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        parts = [np.sort(g[value].to_numpy(float)) for _, g in rows.dropna(subset=[value]).groupby(outer, sort=True)]
-        if not parts:
-            return pd.DataFrame([[*key, None, None, None]], columns=[*groups, "mean", "low", "high"])
-        means = [np.mean([rng.choice(parts[i], len(parts[i])).mean() for i in rng.integers(0, len(parts), len(parts))]) for _ in range(draws)]
-        return pd.DataFrame([[*key, np.mean([p.mean() for p in parts]), *np.quantile(means, [0.025, 0.975])]], columns=[*groups, "mean", "low", "high"])
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join as a and b on keys that may be null."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.alias("a").join(b.alias("b"), on, how)
 
-    return df.select(*groups, outer, value).groupBy(*groups).applyInPandas(run, schema)
 
+def bootstrap_mean(df: DataFrame, groups: list[str], value: str, ties: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(groups, n, mean, low, high, share_negative): interval of the mean of each group's finite values, drawn with replacement.
 
-def point_bootstrap(df: DataFrame, id_col: str, truth: str, a: str, b: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Interval of the difference of two predictions' normalised errors when points are drawn anew.
-
-    A point's number of draws is Poisson with mean one, fixed by draw and id, which stands for resampling with
-    replacement where there are many points; every task adds up its own rows for all draws.
+    Draw b takes, for each place i below n, the value whose rank by (value, ties) is random_number(seed, b, i) modulo n. A
+    draw is the sum of n rows that meet their values by group and rank, so no group is one task's and any engine can
+    repeat it; it costs draws * n rows, as resampling does. Groups without a finite value have nulls and n = 0.
+    """
+    rows = df.select(*groups, finite(F.col(value).cast("double")).alias("value__"), *ties)
+    ranked = cut(ranked_within(rows.where("value__ is not null"), groups, ["value__", *ties], "rank__", "size__").select(*groups, "rank__", "size__", "value__"))
+    sizes = ranked.groupBy(*groups).agg(F.max("size__").alias("n"), F.avg("value__").alias("mean"))
+    drawn = sizes.select(*groups, "n", _draws(1, draws).alias("draw__")).select(*groups, "n", "draw__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("place__")) \
+        .select(*groups, "draw__", F.pmod(random_number(seed, F.col("draw__"), F.col("place__")), F.col("n")).alias("rank__"))
+    means = cut(_same(drawn.groupBy(*groups, "rank__", "draw__").agg(F.count(F.lit(1)).alias("times__")), ranked, [*groups, "rank__"])
+                .select(*[F.col(f"a.{g}") for g in groups], "a.draw__", "a.times__", "b.value__")
+                .groupBy(*groups, "draw__").agg((F.sum(F.col("times__") * F.col("value__")) / F.sum("times__")).alias("mean__")))
+    found = _same(sizes, _interval(means, groups, "mean__", level), groups).select(*[F.col(f"a.{g}") for g in groups], "a.n", "a.mean", "b.low", "b.high", "b.share_negative")
+    everyone = df.select(*groups).distinct()
+    return _same(everyone, found, groups, "left").select(*[F.col(f"a.{g}") for g in groups], F.coalesce("b.n", F.lit(0)).alias("n"), "b.mean", "b.low", "b.high", "b.share_negative")
+
+
+def hierarchical_bootstrap(df: DataFrame, groups: list[str], outer: str, value: str, ties: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(groups, mean, low, high): interval of the mean of outer means; outer groups are drawn, then values within each drawn one.
+
+    Draw b takes as its i-th outer group the one whose rank is random_number(seed, b, i) modulo their number, and as that
+    one's j-th value the one whose rank is random_number(seed + 1 + i, b, j) modulo its size. As in bootstrap_mean(), the
+    drawn rows meet their values by rank. Null and non-finite values are left out; a group without any has nulls.
+    """
+    rows = df.select(*groups, F.col(outer).alias("outer__"), finite(F.col(value).cast("double")).alias("value__"), *ties).where("value__ is not null and outer__ is not null")
+    inner = [*groups, "outer__"]
+    ranked = cut(ranked_within(rows, inner, ["value__", *ties], "rank__", "size__").select(*inner, "rank__", "size__", "value__"))
+    sizes = ranked.groupBy(*inner).agg(F.max("size__").alias("size__"), F.avg("value__").alias("own__"))
+    outers = cut(ranked_within(sizes, groups, ["outer__"], "turn__", "turns__"))
+    means = outers.groupBy(*groups).agg(F.avg("own__").alias("mean"), F.max("turns__").alias("turns__"))
+    chosen = means.select(*groups, "turns__", _draws(1, draws).alias("draw__")).select(*groups, "turns__", "draw__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns__") - 1)).alias("place__")) \
+        .select(*groups, "draw__", "place__", F.pmod(random_number(seed, F.col("draw__"), F.col("place__")), F.col("turns__")).alias("turn__"))
+    asked = _same(chosen, outers, [*groups, "turn__"]).select(*[F.col(f"a.{g}") for g in groups], "a.draw__", "a.place__", "b.outer__", "b.size__")
+    drawn = asked.select(*inner, "draw__", "place__", "size__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size__") - 1)).alias("spot__")) \
+        .select(*inner, "draw__", "place__", F.pmod(random_number(F.lit(seed + 1) + F.col("place__"), F.col("draw__"), F.col("spot__")), F.col("size__")).alias("rank__"))
+    values = _same(drawn, ranked, [*inner, "rank__"]).select(*[F.col(f"a.{g}") for g in groups], "a.draw__", "a.place__", "b.value__")
+    each = cut(values.groupBy(*groups, "draw__", "place__").agg(F.avg("value__").alias("m__")).groupBy(*groups, "draw__").agg(F.avg("m__").alias("mean__")))
+    found = _same(means, _interval(each, groups, "mean__", level), groups).select(*[F.col(f"a.{g}") for g in groups], "a.mean", "b.low", "b.high")
+    everyone = df.select(*groups).distinct() if groups else df.limit(1).select(F.lit(1).alias("one__")).drop("one__")
+    return _same(everyone, found, groups, "left").select(*[F.col(f"a.{g}") for g in groups], "b.mean", "b.low", "b.high")
+
+
+#: Edges of the Poisson distribution with mean one, as shares of 2**31: a number above k of them stands for k draws or more.
+POISSON = tuple(round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 31)) for k in range(9))
+
+
+def point_bootstrap(df: DataFrame, id_col: str, truth: list[str], a: list[str], b: list[str], sight: list[str], weight: Column | None = None, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """One row of intervals of nrmse(a) - nrmse(b), of whole vectors and of their parts along sight, when points are drawn anew.
+
+    Columns delta_<part>_mean, _low, _high and share_a_better_<part> for the parts 3d and radial. How often draw d takes a
+    point is Poisson with mean one, fixed by seed, d and id (random_number()), which stands for drawing with replacement
+    where there are many points. Each row carries its counts of all draws as one vector; what is summed over rows is one
+    vector of six sums for each draw, first in tasks, then over tasks. Null or non-finite entries leave a point out.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", id_col), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    steps, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    times = F.lit(0)
-    for edge in steps:
-        times = times + F.when(u > edge, 1).otherwise(0)
-    t = F.col(truth)
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", times)
-    sums = rows.groupBy("draw").agg(F.sum(F.col("k") * (F.col(a) - t) ** 2).alias("ea"), F.sum(F.col("k") * (F.col(b) - t) ** 2).alias("eb"), F.sum(F.col("k") * t * t).alias("tt"))
-    gap = sums.select((F.sqrt(F.try_divide(F.col("ea"), F.col("tt"))) - F.sqrt(F.try_divide(F.col("eb"), F.col("tt")))).alias("d"))
-    return gap.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") < 0).cast("double")).alias("share_negative"))
+    good = df
+    for c in [*truth, *a, *b, *sight]:
+        good = good.where(finite(F.col(c)).isNotNull())
+    w = F.lit(1.0) if weight is None else weight
+    length = norm([F.col(c) for c in sight])
+    along = lambda v: F.try_divide(dot([F.col(c) for c in v], [F.col(c) for c in sight]), length)
+    off = lambda p: sum(((F.col(x) - F.col(t)) ** 2 for x, t in zip(p, truth)), F.lit(0.0))
+    terms = [off(a), off(b), sum((F.col(t) ** 2 for t in truth), F.lit(0.0)), (along(a) - along(truth)) ** 2, (along(b) - along(truth)) ** 2, along(truth) ** 2]
+    stats = good.select(F.col(id_col).cast("long").alias("id__"), F.transform(F.array(*terms), lambda t: F.coalesce(t * w, F.lit(0.0))).alias("t__"))
+    times = lambda u: sum((F.when(u >= edge, 1.0).otherwise(0.0) for edge in POISSON), F.lit(0.0))
+    counts = F.transform(random_numbers(seed, F.sequence(F.lit(1), F.lit(draws)), F.col("id__")), times)
+    # One after the other: counts of all draws times the first term, times the second, ...
+    flat = F.flatten(F.transform("t__", lambda t: F.transform("k__", lambda k: k * t)))
+    counted = stats.select("t__", F.explode(F.array(counts)).alias("k__"))  # one row each: keeps the counts from being made again for each term
+    sums = counted.select(array_to_vector(flat).alias("v")).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("v")).where("n > 0").select(vector_to_array("v").alias("v"))
+    at = lambda k: F.get("v", F.lit(k * draws) + F.col("d"))
+    root = lambda k, t: F.sqrt(F.try_divide(at(k), at(t)))
+    gaps = cut(sums.select("v", _draws(0, draws - 1).alias("d")).select((root(0, 2) - root(1, 2)).alias("d3d"), (root(3, 5) - root(4, 5)).alias("radial")))
+    out = None
+    for name, column in (("3d", "d3d"), ("radial", "radial")):
+        found = _interval(gaps, [], column, level).crossJoin(gaps.agg(F.avg(column).alias("mean")))
+        found = found.select(F.col("mean").alias(f"delta_{name}_mean"), F.col("low").alias(f"delta_{name}_low"), F.col("high").alias(f"delta_{name}_high"), F.col("share_negative").alias(f"share_a_better_{name}"))
+        out = found if out is None else out.crossJoin(F.broadcast(found))
+    return out

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isofield.functions.columns import clip, interpolate, order_hash
-from isofield.operators.relational import numbered, quantiles
+from isofield.functions.columns import clip, finite, interpolate, order_hash
+from isofield.operators.relational import numbered, quantiles, ranked_within
 from isofield.operators.summaries import effective_size
 
 
@@ -60,17 +60,22 @@ def inverse_weights(df: DataFrame, probability: str, power: float = 1.0, floor:
 def split(df: DataFrame, id_col: str, seed: int, train: float, validation: float, groups: list[str] | None = None) -> DataFrame:
     """df with a split by hash order; sizes are rounded half to even, within each group where groups are named.
 
-    Without groups the cut is by rank over a range sort, so that no task sees all rows.
+    Ranks come from a range sort, so that no task sees all rows of the table or of a group. With groups, a group of fewer
+    than three rows is an error, and where training and validation would take all rows of a group, validation gives way
+    so that one row is left for the test (but keeps one row itself).
     """
     keyed = df.withColumn("order__", order_hash(F.col(id_col), seed))
     if groups:
-        w = Window.partitionBy(*groups)
-        ranked = keyed.withColumn("n__", F.count(F.lit(1)).over(w)).withColumn("rank__", F.row_number().over(w.orderBy("order__", id_col)) - 1)
+        if df.groupBy(*groups).count().where("count < 3").limit(1).count():
+            raise ValueError(f"a group of {groups} has fewer than three rows")
+        ranked = ranked_within(keyed, groups, ["order__", id_col], "rank__", "n__")
     else:
         total = df.agg(F.count(F.lit(1)).alias("n__"))
         ranked = numbered(keyed, ["order__", id_col], "rank__").crossJoin(F.broadcast(total))
     a = F.bround(F.lit(train) * F.col("n__")).cast("long")
     b = F.bround(F.lit(validation) * F.col("n__")).cast("long")
+    if groups:
+        b = F.when(a + b >= F.col("n__"), F.greatest(F.lit(1), F.col("n__") - a - 1)).otherwise(b)
     name = F.when(F.col("rank__") < a, "train").when(F.col("rank__") < a + b, "validation").otherwise("test")
     return ranked.withColumn("split", name).drop("order__", "n__", "rank__")
 
@@ -128,56 +133,100 @@ STARTS = ((-22.1, -1.1), (-21.5, -0.8), (-22.7, -1.4))
 BOUNDS = ((-24.0, -18.0), (-2.5, 0.5))
 
 
-def bounded_simplex(loss, start: tuple[float, ...], bounds: tuple[tuple[float, float], ...], rounds: int, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
-    """(point, loss) of a simplex search whose points are moved to the nearest one within the bounds."""
-    low, high = np.array(bounds).T
-    inside = lambda p: np.clip(p, low, high)
-    first = inside(np.array(start, float))
-    # A step away from the nearer bound, so that the simplex is not flat.
-    steps = np.where(first + 0.1 * (high - low) <= high, 0.1, -0.1) * (high - low)
-    points = [first, *[first + step for step in np.diag(steps)]]
-    values = [loss(p) for p in points]
+def bounded_newton(loss, start: tuple[float, ...], bounds: tuple[tuple[float, float], ...], rounds: int, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """(point, loss) of a quasi-Newton search within bounds; loss(p) gives a value and its gradient.
+
+    The inverse curvature is updated from steps and gradients (BFGS). Parameters that stand at a bound and would leave it
+    are held; steps are cut back to the bounds and halved until the value falls enough.
+    """
+    low, high = np.array(bounds, float).T
+    at = np.clip(np.array(start, float), low, high)
+    value, slope = loss(at)
+    curve, scale = np.eye(len(at)), True
     for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] <= tolerance * max(1.0, abs(values[0])):
+        held = ((at <= low) & (slope > 0)) | ((at >= high) & (slope < 0))
+        free = ~held
+        if not free.any() or np.abs(slope[free]).max() <= 1e-9 * max(1.0, abs(value)):
             break
-        centre = np.mean(points[:-1], axis=0)
-        tried = [inside(centre + f * (centre - points[-1])) for f in (1.0, 2.0, 0.5, -0.5)]
-        best, k = min((loss(p), k) for k, p in enumerate(tried))
-        if best < values[-1]:
-            points[-1], values[-1] = tried[k], best
+        way = np.zeros_like(at)
+        way[free] = -curve[np.ix_(free, free)] @ slope[free]
+        if way @ slope >= 0:
+            way = np.where(free, -slope, 0.0)
+        if scale:
+            way /= max(1.0, np.abs(way).max() / 0.1)
+        step, before = 1.0, value
+        while step > 1e-12:
+            to = np.clip(at + step * way, low, high)
+            new, turned = loss(to)
+            if np.isfinite(new) and new <= value + 1e-4 * (slope @ (to - at)):
+                break
+            step /= 2
         else:
-            points = [points[0], *[(points[0] + p) / 2 for p in points[1:]]]
-            values = [values[0], *[loss(p) for p in points[1:]]]
-    k = int(np.argmin(values))
-    return points[k], values[k]
+            break
+        moved, bent = to - at, turned - slope
+        at, value, slope, scale = to, new, turned, False
+        if moved @ bent > 1e-14 * np.linalg.norm(moved) * np.linalg.norm(bent):
+            r = 1 / (moved @ bent)
+            left = np.eye(len(at)) - r * np.outer(moved, bent)
+            curve = left @ curve @ left.T + r * np.outer(moved, moved)
+        if before - value <= tolerance * max(1.0, abs(value)):
+            break
+    return at, value
 
 
 def fit_luminosity(df: DataFrame, magnitude: str, limit: str, bright: float, faint: float, start: tuple[float, float] | None = None,
                    rounds: int = 200, points: int = 4096, bounds: tuple[tuple[float, float], ...] = BOUNDS) -> tuple[float, float, float]:
     """(knee, slope, negative log likelihood) of a truncated luminosity function; the best of three bounded searches.
 
-    Every row has its own limit, so the rows of several regions are fitted together. A likelihood is a small sum over two
-    histograms, of magnitudes and of limits on the grid that the normaliser is tabulated on, so a fit costs two passes
-    over the rows however long the searches. start names a single start in place of the three.
+    Every row has its own limit, the smaller of `limit` and faint, so the rows of several regions are fitted together. A
+    row brighter than bright (by over 1e-8) or fainter than its limit (by over 1e-7) is an error, as is a table without
+    rows; rows with a null or non-finite magnitude or limit are left out.
+
+    The normaliser is a trapezoid table of `points` magnitudes, read between its points by each row's own place. What the
+    likelihood and its gradient need of the rows is their number, two sums of magnitudes, and for each cell of the table
+    the number, mean and spread of the places in it, so a fit costs one pass however long the searches: the log of the
+    normaliser within a cell is taken about the mean place to second order. start names a single start in place of three.
     """
     grid = np.linspace(bright, faint, points)
-    sums = df.where(F.col(magnitude).between(bright, faint)).select(
-        F.col(magnitude).alias("m"), F.round((clip(F.col(limit), bright, faint) - bright) / (faint - bright) * (points - 1)).cast("int").alias("cell"))
-    cells = sums.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    bins = sums.groupBy(F.round((F.col("m") - bright) / (faint - bright) * (points - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("m")).toPandas()
-
-    def shape(m: np.ndarray, knee: float, slope: float) -> np.ndarray:
-        x = 0.4 * (knee - m)
-        return np.log(0.4 * np.log(10)) + (slope + 1) * x * np.log(10) - 10 ** x
-
-    def loss(p: np.ndarray) -> float:
-        density = np.exp(shape(grid, *p))
-        area = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(grid))])
-        norm = np.log(np.maximum(area[cells["cell"]], 1e-300)) @ cells["n"]
-        return float(norm - shape(bins["m"].to_numpy(), *p) @ bins["n"])
-
-    found = [bounded_simplex(loss, s, bounds, rounds) for s in ([start] if start else STARTS)]
+    width = (faint - bright) / (points - 1)
+    rows = df.select(finite(F.col(magnitude)).alias("m"), finite(F.col(limit)).alias("l")).where("m is not null and l is not null").withColumn("l", F.least("l", F.lit(float(faint))))
+    place = (F.col("l") - bright) / width
+    cell = F.greatest(F.lit(0), F.least(F.lit(points - 2), F.floor(place)))
+    cells = rows.select("m", "l", cell.cast("int").alias("cell"), (place - cell).alias("part")).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("part").alias("mean"), F.var_pop("part").alias("spread"), F.sum("m").alias("sum"), F.sum(F.pow(F.lit(10.0), F.lit(-0.4) * (F.col("m") - bright))).alias("flux"),
+        F.min("m").alias("least"), F.max(F.col("m") - F.col("l")).alias("over")).toPandas().sort_values("cell")
+    if not len(cells):
+        raise ValueError("no rows to fit")
+    if cells["least"].min() < bright - 1e-8:
+        raise ValueError(f"a magnitude is brighter than {bright}")
+    if cells["over"].max() > 1e-7:
+        raise ValueError("a magnitude is fainter than its limit")
+    at, n, part, spread = (cells[c].to_numpy() for c in ("cell", "n", "mean", "spread"))
+    total, sum_m, flux = n.sum(), cells["sum"].sum(), cells["flux"].sum()
+    log10 = np.log(10.0)
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        knee, slope = p
+        x = 0.4 * (knee - grid)
+        shape = (slope + 1) * x * log10 - 10 ** x
+        top = shape.max()
+        density = np.exp(shape - top)
+        by = np.stack([density, density * (0.4 * log10 * ((slope + 1) - 10 ** x)), density * x * log10])  # itself and its slopes in knee and slope
+        area = np.concatenate([np.zeros((3, 1)), np.cumsum((by[:, 1:] + by[:, :-1]) / 2 * width, axis=1)], axis=1)
+        base, step = area[:, at], area[:, at + 1] - area[:, at]
+        norm = base + part * step
+        if not (norm[0] > 0).all():
+            return 1e100, np.zeros(2)
+        bend = step[0] / norm[0]
+        log_norm = (n * (np.log(norm[0]) - bend ** 2 * spread / 2)).sum() + total * top
+        turned = np.array([(n * (norm[k] / norm[0] - spread * bend * (step[k] / norm[0] - bend * norm[k] / norm[0]))).sum() for k in (1, 2)])
+        # Sums over rows of the log of the shape and of its slopes, from their sums of magnitudes and fluxes.
+        sum_x = 0.4 * (total * knee - sum_m)
+        sum_power = flux * 10 ** (0.4 * (knee - bright))
+        own = (slope + 1) * log10 * sum_x - sum_power
+        lean = np.array([0.4 * log10 * ((slope + 1) * total - sum_power), log10 * sum_x])
+        return float(log_norm - own), turned - lean  # the constant factor of the shape cancels
+
+    found = [bounded_newton(loss, s, bounds, rounds) for s in ([start] if start else STARTS)]
     best, value = min(found, key=lambda f: f[1])
     return float(best[0]), float(best[1]), value

@@ -13,7 +13,8 @@ from isofield.operators import relational as R
 from isofield.operators import summaries as M
 from isofield.operators import weights as T
 from isofield.plans.registry import EDGES, GRID, PAIRS, POINTS, PROBABILITY, SURVEY, edges8, grid, pairs, points, probability, query, read, rounded, survey
-from isofield.sources.shared import cut
+from isofield.sources.shared import cut, fresh
+from isofield.sources.tables import resume
 
 
 def vectors(spark, d):
@@ -66,6 +67,35 @@ def candidates_at_chosen_basis(spark, d):
     return R.at_chosen(g, chosen, keys, "n_basis", "practical").select("seed", "loss_name", "n_basis", "lam", "pw", "score")
 
 
+@query(f"""with {GRID} select loss_name, seed, n_basis, lam, pw, score, row_number() over (order by seed, loss_name, n_basis, lam, pw) - 1 candidate_id from grid where seed <= 3""")
+def resumed_candidates(spark, d):
+    """Blocks of a grid built in two runs, the second finding one block of the first cut off, numbered over all blocks."""
+    g, place, keys = cut(grid(spark, d)), fresh(spark), ["seed", "loss_name"]
+    blocks = g.where("seed <= 3").select(*keys).distinct()
+    build = lambda missing: g.join(missing, keys)
+    resume(spark, place, blocks.where("seed <= 2"), keys, build)
+    half = g.where("seed = 2 and loss_name = 'N'").drop("seed", "loss_name").limit(1)
+    half.write.mode("append").parquet(f"{place}/data/seed=2/loss_name=N")
+    return resume(spark, place, blocks, keys, build, ["seed", "loss_name", "n_basis", "lam", "pw"]).select("loss_name", "seed", "n_basis", "lam", "pw", "score", "candidate_id")
+
+
+MAGNITUDES = """magnitudes as (select -23.5 + 6.5 * pow((id % 1000) / 1000.0, 0.4) m, -23.5 + 6.5 * pow((id % 1000) / 1000.0, 0.4) + 0.1 + (id % 17) / 8.0 l from survey)"""
+
+
+@query(f"""with {SURVEY}, {MAGNITUDES}, g as (select i, -24.0 + 9.0 * i / 4095 x from (select unnest(range(4096)) i)), p as (select unnest([-22.5, -21.0]) knee, unnest([-1.2, -0.7]) slope),
+ d as (select knee, slope, i, x, pow(10.0, (slope + 1) * 0.4 * (knee - x)) * exp(-pow(10.0, 0.4 * (knee - x))) f from g, p),
+ a as (select knee, slope, i, sum(step) over (partition by knee, slope order by i) area from (select knee, slope, i, coalesce((f + lag(f) over (partition by knee, slope order by i)) / 2 * (9.0 / 4095), 0) step from d)),
+ r as (select m, least(4094, floor((least(l, -15.0) + 24.0) / (9.0 / 4095))::bigint) c, (least(l, -15.0) + 24.0) / (9.0 / 4095) z from magnitudes)
+ select a.knee, round(sum(ln(a.area + (z - c) * (b.area - a.area)) - (a.slope + 1) * 0.4 * (a.knee - m) * ln(10.0) + pow(10.0, 0.4 * (a.knee - m))), 3) loss
+ from r join a on a.i = c join a b on b.i = c + 1 and b.knee = a.knee group by a.knee""")
+def luminosity_likelihood(spark, d):
+    """The truncated likelihood of magnitudes with limits of their own, at two points; the fit reads the same sums."""
+    u = F.pow((F.col("id") % 1000) / 1000.0, F.lit(0.4))
+    m = survey(spark, d).select((F.lit(-23.5) + 6.5 * u).alias("m"), "id").withColumn("l", F.col("m") + 0.1 + (F.col("id") % 17) / 8.0)
+    rows = [(k, round(T.fit_luminosity(m, "m", "l", -24.0, -15.0, (k, s), rounds=0)[2], 3)) for k, s in ((-22.5, -1.2), (-21.0, -0.7))]
+    return spark.createDataFrame(rows, "knee double, loss double")
+
+
 # Vector scores.
 
 def _read_off(steps: str, q: float) -> str:
@@ -176,16 +206,61 @@ def baseline_scores(spark, d):
     return rounded(L.baselines(p.where("id % 4 <> 0"), p.where("id % 4 = 0"), ["vx", "vy", "vz"]))
 
 
-@query("select 6 n_basis, unnest(['none', 'positive']) weighting, 'pass' status")
+@query(f"""with {POINTS}, r as (select id, x, y, 1.5 * x - 2.0 * y t, unnest([1.0, 0.5 + id % 3]) w, unnest(['none', 'positive']) weighting from points),
+ m as (select weighting, sum(w*x*x) a, sum(w*x*y) b, sum(w*y*y) d, sum(w*x*t) u, sum(w*y*t) v from r where id % 5 <> 0 group by 1),
+ c as (select weighting, (u*d - b*v) / (a*d - b*b) p, (a*v - b*u) / (a*d - b*b) q from m)
+ select c.weighting, 2 n_basis, round(any_value(p), 6) theta0, round(any_value(q), 6) theta1, round(sqrt(sum((p*x + q*y - t)**2) / sum(t*t)), 7) held_out_error, 'pass' status from c join r on r.weighting = c.weighting where id % 5 = 0 group by 1""")
 def closure_test(spark, d):
-    rows = points(spark, d).withColumn("design", F.array("x", "y", "z", F.col("x") * F.col("y"), F.col("y") * F.col("z"), F.col("x") * F.col("z")))
-    theta = np.array([1.0, -2.0, 0.5, 3.0, -1.5, 0.25])
-    found = [(w, L.closure(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), "design", theta, c)) for w, c in (("none", None), ("positive", 0.5 + F.col("id") % 3))]
-    return spark.createDataFrame([(r["n_basis"], w, r["status"]) for w, r in found], "n_basis int, weighting string, status string")
-
-
-@query()
+    rows = points(spark, d).withColumn("design", F.array("x", "y"))
+    found = []
+    for w, c in (("none", None), ("positive", 0.5 + F.col("id") % 3)):
+        r = L.closure(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), "design", np.array([1.5, -2.0]), c)
+        found.append((w, r["n_basis"], *[round(float(v), 6) for v in r["found"]], round(r["held_out_error"], 7), r["status"]))
+    return spark.createDataFrame(found, "weighting string, n_basis int, theta0 double, theta1 double, held_out_error double, status string")
+
+
+@query(f"""with {POINTS}, g as (select 1 k, 4.0::double s union all select 2, 4.0 union all select 1, 0.01 union all select 2, 0.01),
+ tr as (select * from points where id % 4 <> 0), va as (select * from points where id % 4 = 0),
+ m as (select count(*)::double n, sum(x*x)/count(*) a, sum(x*y)/count(*) b, sum(y*y)/count(*) d, sum(x*vx)/count(*) ux, sum(y*vx)/count(*) wx, sum(x*vy)/count(*) uy, sum(y*vy)/count(*) wy, sum(x*vz)/count(*) uz, sum(y*vz)/count(*) wz from tr),
+ th as (select k, s, t.axis, case when k = 1 then u / a else (u*(d+s) - b*w) / (a*(d+s) - b*b) end p, case when k = 1 then 0 else (a*w - b*u) / (a*(d+s) - b*b) end q from g, m, lateral (select unnest([1, 2, 3]) axis, unnest([ux, uy, uz]) u, unnest([wx, wy, wz]) w) t),
+ e as (select k, s, axis, sum((p*x + q*y - case axis when 1 then vx when 2 then vy else vz end)**2) e, sum(case axis when 1 then vx*vx when 2 then vy*vy else vz*vz end) t from th, va group by all)
+ select k n_basis, s strength, round(sqrt(sum(e) / sum(t)), 6) nrmse from e group by all""")
+def cartesian_grid(spark, d):
+    p = points(spark, d).withColumn("design", F.array("x", "y"))
+    return rounded(L.vector_scores(p.where("id % 4 = 0"), "design", ["vx", "vy", "vz"], L.vector_coefficients(p.where("id % 4 <> 0"), "design", ["vx", "vy", "vz"], np.array([0.0, 1.0]), [1, 2], [0.01, 4.0], [1.0], ridge=0.0))
+                   .select("n_basis", "strength", "nrmse"))
+
+
+@query(f"""with {POINTS}, m as (select count(*) n, sum(x*x) a, sum(x*y) b, sum(y*y) d, sum(x*vx) u, sum(y*vx) v from points where id % 4 <> 0), c as (select n, (u*d - b*v) / (a*d - b*b) p, (a*v - b*u) / (a*d - b*b) q from m)
+ select 2 "rank", round(any_value(p), 6) theta0, round(any_value(q), 6) theta1, 0.0::double twice, round(sqrt(sum((p*x + q*y - vx)**2)), 6) residual from c, points where id % 4 <> 0""")
+def unconstrained_fit(spark, d):
+    """Least squares without penalty on a design whose third column repeats the first, which the least of all solutions shares out."""
+    rows = points(spark, d).where("id % 4 <> 0").withColumn("design", F.array("x", "y", "x"))
+    fit = L.least_squares(rows, "design", ["vx"])
+    c = fit["theta"][:, 0]
+    return spark.createDataFrame([(fit["rank"], round(float(c[0] + c[2]), 6), round(float(c[1]), 6), round(abs(float(c[0] - c[2])), 6) + 0.0, round(float(fit["residual"][0]), 6))],
+                                 "rank int, theta0 double, theta1 double, twice double, residual double")
+
+
+@query(f"""with {POINTS}, o as (select *, row_number() over (order by (id * 1103515245 + 3 * 12345) % 2147483648, id) - 1 k, count(*) over () n from points),
+ sp as (select *, case when k < round_even(0.6 * n, 0) then 'train' when k < round_even(0.6 * n, 0) + round_even(0.2 * n, 0) then 'validation' else 'test' end s from o),
+ m as (select sum(x*x)/count(*) a, sum(x*y)/count(*) b, sum(y*y)/count(*) d, sum(x*vx)/count(*) u, sum(y*vx)/count(*) v from sp where s = 'train'),
+ g as (select n_basis, strength, power from (select unnest([1, 2]) n_basis), (select unnest([0.0001, 0.01, 1.0]::double[]) strength), (select unnest([1.0, 2.0]::double[]) power)),
+ th as (select n_basis, strength, power, case when n_basis = 1 then u / a else (u*(d + strength) - b*v) / (a*(d + strength) - b*b) end p, case when n_basis = 1 then 0 else (a*v - b*u) / (a*(d + strength) - b*b) end q from g, m)
+ select n_basis, strength, power, round(sqrt(sum((p*x + q*y - vx)**2) / sum(vx*vx)), 6) nrmse from th, sp where s = 'validation' group by all""")
+def ridge_grid_scores(spark, d):
+    rows = points(spark, d).withColumn("design", F.array("x", "y"))
+    part = cut(T.split(rows, "id", 3, 0.6, 0.2))
+    g, r, _ = L.gram(part.where("split = 'train'"), "design", "vx")
+    grid_ = L.grid_coefficients(g, r, np.array([0.0, 1.0]), [1, 2], [1e-4, 1e-2, 1.0], [1.0, 2.0])
+    return rounded(L.grid_scores(part.where("split = 'validation'"), "design", "vx", grid_).select("n_basis", "strength", "power", "nrmse"))
+
+
+@query(f"""with {POINTS}, d as (select id, unnest([x, y, z]) a, unnest([y, z, x]) b, unnest([vx, vy, vz]) t from points), m as (select sum(a*a)/count(*) a, sum(a*b)/count(*) b, sum(b*b)/count(*) d, sum(a*t)/count(*) u, sum(b*t)/count(*) v from d where id % 4 <> 0),
+ g as (select n_basis, strength from (select unnest([1, 2]) n_basis), (select unnest([0.01, 1.0]::double[]) strength)),
+ th as (select n_basis, strength, case when n_basis = 1 then u / a else (u*(d + strength) - b*v) / (a*(d + strength) - b*b) end p, case when n_basis = 1 then 0 else (a*v - b*u) / (a*(d + strength) - b*b) end q from g, m)
+ select n_basis, strength, round(sqrt(sum((p*d.a + q*d.b - t)**2) / sum(t*t)), 6) nrmse from th, d where id % 4 = 0 group by all""")
 def vector_grid(spark, d):
     s = lambda *c: F.struct(*[F.col(k).alias(a) for k, a in zip(c, "xyz")])
     p = points(spark, d).withColumn("g", F.array(s("x", "y", "z"), s("y", "z", "x")))
-    return P.vector_grid(p.where("id % 4 <> 0"), p.where("id % 4 = 0"), "id", "g", ["vx", "vy", "vz"], np.array([0.0, 1.0]), [1, 2], [0.01, 1.0], [1.0])
+    return rounded(P.vector_grid(p.where("id % 4 <> 0"), p.where("id % 4 = 0"), "id", "g", ["vx", "vy", "vz"], np.array([0.0, 1.0]), [1, 2], [0.01, 1.0], [1.0]).select("n_basis", "strength", "nrmse"))

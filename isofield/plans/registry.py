@@ -111,7 +111,7 @@ SURVEY = """survey as (select c_custkey id, cast(c_nationkey % 8 as int) region,
 
 def edges8(spark, d):
     p = points(spark, d)
-    return cut(G.knn(p, p, 8, True))
+    return G.knn(p, p, 8, True)
 
 
 # Selection of a basis size.
@@ -470,14 +470,36 @@ def sign_test(spark, d):
     return c.select("scale", F.round(S.sign_test(F.col("wins"), F.col("losses")), 6).alias("p_value"))
 
 
-@query()
+PAIRED = f"""{RUNS}, p as (select a.scale, a.seed, a.score - b.score d from runs a join runs b on a.seed = b.seed and a.scale = b.scale where a.model = 'A' and b.model = 'R')"""
+
+
+def random_sql(seed: str, draw: str, id_: str) -> str:
+    """columns.random_number() in SQL."""
+    x = f"(({id_})::bigint % 2147483648 * {C.ID_FACTOR} + ({draw})::bigint % 2147483648 * {C.DRAW_FACTOR} + ({seed})::bigint % 2147483648 * {C.SEED_FACTOR}) % 2147483648"
+    for shift, factor in zip((15, 12), C.MIX_FACTORS):
+        x = f"list_transform([{x}], lambda u: (xor(u, u >> {shift}) * {factor}) % 2147483648)[1]"
+    return f"list_transform([{x}], lambda u: xor(u, u >> 15))[1]"
+
+
+@query(f"""with {PAIRED}, r as (select scale, d, row_number() over (partition by scale order by d, seed) - 1 k, count(*) over (partition by scale) n from p),
+ s as (select scale, any_value(n) n, avg(d) mean from r group by 1), b as (select scale, n, unnest(range(1, 401)) draw from s), i as (select scale, n, draw, unnest(range(n)) place from b),
+ j as (select scale, draw, {random_sql('0', 'draw', 'place')} % n k from i), m as (select j.scale, draw, avg(d) v from j join r on j.scale = r.scale and j.k = r.k group by all)
+ select m.scale, any_value(n) n, round(any_value(mean), 6) mean, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high, round(avg(case when v < 0 then 1.0 else 0.0 end), 6) share_negative
+ from m join s on m.scale = s.scale group by 1""")
 def bootstrap_interval(spark, d):
-    return S.bootstrap_mean(S.paired(runs(spark, d), ["seed", "scale"], "model", "A", "R", ["score"]), ["scale"], "delta_score")
+    return rounded(S.bootstrap_mean(S.paired(runs(spark, d), ["seed", "scale"], "model", "A", "R", ["score"]), ["scale"], "delta_score", ["seed"], 400))
 
 
-@query()
+@query(f"""with {PAIRED}, r as (select seed % 3 g, seed, d, row_number() over (partition by seed order by d, scale) - 1 k, count(*) over (partition by seed) n from p),
+ o as (select g, seed, any_value(n) n, avg(d) own, row_number() over (partition by g order by seed) - 1 t, count(*) over (partition by g) turns from r group by g, seed),
+ s as (select g, avg(own) mean, any_value(turns) turns from o group by 1), b as (select g, turns, unnest(range(1, 201)) draw from s), c as (select g, turns, draw, unnest(range(turns)) place from b),
+ a as (select c.g, draw, place, o.seed, o.n from (select *, {random_sql('5', 'draw', 'place')} % turns t from c) c join o on c.g = o.g and c.t = o.t),
+ i as (select *, unnest(range(n)) spot from a), j as (select *, {random_sql('6 + place', 'draw', 'spot')} % n k from i),
+ m as (select g, draw, avg(v) v from (select j.g, draw, place, avg(d) v from j join r on j.seed = r.seed and j.k = r.k group by all) group by all)
+ select m.g, round(any_value(mean), 6) mean, round(quantile_cont(v, 0.025), 6) low, round(quantile_cont(v, 0.975), 6) high from m join s on m.g = s.g group by 1""")
 def hierarchical_bootstrap(spark, d):
-    return S.hierarchical_bootstrap(S.paired(runs(spark, d), ["seed", "scale"], "model", "A", "R", ["score"]).withColumn("g", F.lit("all")), ["g"], "seed", "delta_score")
+    deltas = S.paired(runs(spark, d), ["seed", "scale"], "model", "A", "R", ["score"]).withColumn("g", F.col("seed") % 3)
+    return rounded(S.hierarchical_bootstrap(deltas, ["g"], "seed", "delta_score", ["scale"], 200, 5))
 
 
 # Graphs over points.
@@ -641,12 +663,32 @@ def every_seventh(spark, d):
     return P.thin(points(spark, d).select("id", "x"), ["x", "id"], 7).select("id")
 
 
-@query()
+_TIMES = " + ".join(f"case when u >= {edge} then 1 else 0 end" for edge in S.POISSON)
+_ALONG = "(({0}x*x + {0}y*y + {0}z*z) / sqrt(x*x + y*y + z*z))"
+
+
+@query(f"""with {POINTS}, t as (select id, x, y, z, vx, vy, vz, vy ax, vz ay, vx az, 0.5 * vx bx, 0.5 * vy "by", 0.5 * vz bz, 1.0 + id % 3 w from points), e as (select *, unnest(range(1, 61)) draw from t),
+ k as (select *, {_TIMES} k from (select *, {random_sql('9', 'draw', 'id')} u from e)),
+ g as (select draw, sqrt(sum(k*w*((ax-vx)**2 + (ay-vy)**2 + (az-vz)**2)) / sum(k*w*(vx*vx + vy*vy + vz*vz))) - sqrt(sum(k*w*((bx-vx)**2 + ("by"-vy)**2 + (bz-vz)**2)) / sum(k*w*(vx*vx + vy*vy + vz*vz))) g3,
+  sqrt(sum(k*w*({_ALONG.format('a')} - {_ALONG.format('v')})**2) / sum(k*w*{_ALONG.format('v')}**2)) - sqrt(sum(k*w*({_ALONG.format('b').replace('by', '"by"')} - {_ALONG.format('v')})**2) / sum(k*w*{_ALONG.format('v')}**2)) gr from k group by 1)
+ select round(avg(g3), 6) delta_3d_mean, round(quantile_cont(g3, 0.025), 6) delta_3d_low, round(quantile_cont(g3, 0.975), 6) delta_3d_high, round(avg(case when g3 < 0 then 1.0 else 0.0 end), 6) share_a_better_3d,
+  round(avg(gr), 6) delta_radial_mean, round(quantile_cont(gr, 0.025), 6) delta_radial_low, round(quantile_cont(gr, 0.975), 6) delta_radial_high, round(avg(case when gr < 0 then 1.0 else 0.0 end), 6) share_a_better_radial from g""")
 def point_bootstrap(spark, d):
-    return S.point_bootstrap(points(spark, d), "id", "vx", "vy", "vz")
+    p = points(spark, d).withColumns({"ax": F.col("vy"), "ay": F.col("vz"), "az": F.col("vx"), **{f"b{a}": 0.5 * F.col(f"v{a}") for a in "xyz"}})
+    v = lambda k: [f"{k}x", f"{k}y", f"{k}z"]
+    return rounded(S.point_bootstrap(p, "id", v("v"), v("a"), v("b"), ["x", "y", "z"], 1.0 + F.col("id") % 3, 60, 9))
+
+
+@query("""with c as (select c_custkey id, c_nationkey g from customer where c_custkey % 10 < 4), n as (select g, count(*) n from c group by 1), r as (select c.*, n, row_number() over (partition by c.g order by (id * 1103515245 + 11 * 12345) % 2147483648, id) - 1 k from c join n on c.g = n.g where n >= 3),
+ a as (select *, round_even(0.8 * n, 0)::bigint t, round_even(0.2 * n, 0)::bigint v from r)
+ select g, id, case when k < t then 'train' when k < t + case when t + v >= n then greatest(1, n - t - 1) else v end then 'validation' else 'test' end split from a""")
+def small_group_split(spark, d):
+    c = read(spark, d, "customer").where("c_custkey % 10 < 4").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("g"))
+    large = c.groupBy("g").count().where("count >= 3").select("g")
+    return T.split(c.join(large, "g"), "id", 11, 0.8, 0.2, ["g"]).select("g", "id", "split")
 
 
-from isofield.plans import evaluation  # noqa: E402, F401  (registers more queries over the adapters above)
+from isofield.plans import evaluation, modes  # noqa: E402, F401  (register more queries over the adapters above)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,19 +103,57 @@ def read_npz(spark: SparkSession, places: str | list[str], arrays: dict[str, str
     return files.mapInPandas(load, ", ".join(f"`{c}` {'long' if c == 'id' else 'double'}" for c in columns))
 
 
-def resume(spark: SparkSession, place: str, expected: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resume(spark: SparkSession, place: str, expected: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> DataFrame:
     """All blocks of a grid: those that place lacks are built from their keys in one job and added, a folder for each block.
 
-    build gets the missing blocks and returns their rows with the keys. A block that was cut off has no committed folder
-    and is built again.
+    build gets the missing blocks and returns their rows with the keys. Each block has a manifest of its number of rows and
+    a digest of them, written after the data: a block without one, or whose rows no longer fit it, counts as missing, and
+    what a dead job left of it is overwritten. Blocks of which build gives no rows are remembered as empty. order names
+    columns of a canonical order; rows are then numbered over all blocks as candidate_id, whatever run built them.
     """
-    from isofield.operators.relational import missing_blocks
-
-    existing = spark.read.parquet(place) if exists(spark, place) else None
-    missing = missing_blocks(expected, existing, keys) if existing is not None else expected
-    if existing is None or missing.limit(1).count():
-        build(missing).write.partitionBy(*keys).mode("append").parquet(place)
-    return spark.read.schema(existing.schema).parquet(place) if existing is not None else spark.read.parquet(place)
+    from isofield.operators.relational import missing_blocks, numbered
+    from isofield.sources.shared import cut
+
+    data, manifest = f"{place}/data", f"{place}/manifest"
+    spread = [k for k, t in expected.dtypes if k in keys]
+    kinds = ", ".join(f"`{k}` {t}" for k, t in expected.select(*keys).dtypes)
+
+    def state(df: DataFrame) -> DataFrame:
+        rest = sorted(c for c in df.columns if c not in keys)
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows__"), F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).cast("string").alias("digest__"))
+
+    def read() -> DataFrame | None:
+        if not exists(spark, data):
+            return None
+        try:
+            df = spark.read.parquet(data)
+        except AnalysisException as error:  # no block has any row
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return None
+        return df.withColumns({k: F.col(k).cast(t) for k, t in expected.select(*keys).dtypes})
+
+    def good() -> DataFrame:
+        said = spark.read.schema(f"{kinds}, rows__ long, digest__ string, made__ long").parquet(manifest) if exists(spark, f"{manifest}/_SUCCESS") else spark.createDataFrame([], f"{kinds}, rows__ long, digest__ string, made__ long")
+        last = said.groupBy(*keys).agg(F.max_by(F.struct("rows__", "digest__"), "made__").alias("said"))
+        held = read()
+        if held is None:
+            return last.where("said.rows__ = 0").select(*keys)
+        both = last.join(state(held), keys, "left")
+        return both.where((F.col("said.rows__") == F.coalesce("rows__", F.lit(0))) & F.col("said.digest__").eqNullSafe(F.col("digest__"))).select(*keys)
+
+    missing = cut(missing_blocks(expected.select(*keys).distinct(), good(), keys))
+    if missing.count():
+        build(missing).write.partitionBy(*spread).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(data)
+        held = read()
+        built = missing.join(state(held), keys, "left") if held is not None else missing.withColumns({"rows__": F.lit(0), "digest__": F.lit(None)})
+        made = spark.read.parquet(manifest).agg(F.max("made__")).first()[0] + 1 if exists(spark, f"{manifest}/_SUCCESS") else 0
+        built.select(*keys, F.coalesce("rows__", F.lit(0)).cast("long").alias("rows__"), F.col("digest__").cast("string").alias("digest__"), F.lit(made).cast("long").alias("made__")).write.mode("append").parquet(manifest)
+    found = read()
+    if found is None:
+        return spark.createDataFrame([], kinds)
+    found = found.join(expected.select(*keys).distinct(), keys, "left_semi")
+    return numbered(found, order) if order else found
 
 
 def synthetic_points(spark: SparkSession, n: int, case: int, seed: int = 260922) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from isofield.operators import graph as G
 from isofield.operators import regression as L
 from isofield.operators import spectral as E
-from isofield.sources.shared import cut
+from isofield.sources.blocks import BlockStore
+from isofield.sources.shared import Tables, cut
 from isofield.sources.tables import catalog_from_arrays, synthetic_points
 
 
@@ -54,22 +55,125 @@ def test_affine_gradients_are_exact(case):
     assert np.abs(g - [3, -2, 1]).max() < 1e-6
 
 
-def test_eigenpairs_of_the_symmetric_operator(spark, case, request):
-    if request.node.callspec.params["case"] != 2:
-        pytest.skip("one geometry is enough for the slow iteration")
-    points, _, _, weights, x = case
-    mass = points.select("id", F.lit(1.0).alias("w"))
-    s, nodes = G.alpha_operator(weights, mass, 1.0)
-    s = cut(s)
-    matrix = dense(s, len(x), "s")
-    assert np.allclose(matrix, matrix.T) and abs(nodes.agg(F.sum("pi")).first()[0] - 1) < 1e-9
-    values, vectors = E.eigenpairs(s, mass, 4, cut, rounds=14, extra=10, tolerance=1e-6)
-    want = np.sort(np.linalg.eigvalsh(matrix))[::-1][:4]
-    assert np.allclose(values, want, atol=2e-3)
-    v = np.array([r.v for r in vectors.orderBy("id").collect()])
-    assert np.allclose(v.T @ v, np.eye(4), atol=1e-6)
-    assert np.abs(matrix @ v[:, :1] - v[:, :1] * values[0]).max() < 1e-2
-    assert (v[np.abs(v).argmax(0), range(4)] > 0).all()
+@pytest.fixture(scope="module")
+def spectrum(spark):
+    """A symmetric operator of 120 points and its dense eigenpairs."""
+    rng = np.random.default_rng(0)
+    x = rng.uniform(size=(120, 3))
+    a = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 0.02)
+    a[a < 1e-3] = 0
+    total = a.sum(1)
+    s = a / np.sqrt(total[:, None] * total[None])
+    i, j = np.nonzero(s)
+    edges = cut(spark.createDataFrame(list(zip(i.tolist(), j.tolist(), s[i, j].tolist())), "src long, dst long, s double").repartition(3))
+    return edges, spark.range(120), s, np.sort(np.linalg.eigvalsh(s))[::-1]
+
+
+def as_matrix(modes, n):
+    v = np.zeros((n, len(modes.values)))
+    for r in modes.table().collect():
+        v[r.id, r["mode"]] = r.value
+    return v
+
+
+def test_continued_modes_are_those_of_a_direct_solve(spark, spectrum, tmp_path, monkeypatch):
+    edges, nodes, s, want = spectrum
+    store = BlockStore(spark, str(tmp_path), {"of": "points"})
+    first = E.continued(edges, nodes, 8, store, 8, 24)
+    more = E.continued(edges, nodes, 16, store, 8, 24)
+    assert np.allclose(first.values, want[:8], atol=1e-12) and np.allclose(more.values, want[:16], atol=1e-12) and more.converged.all()
+    v = as_matrix(more, 120)
+    assert np.abs(v.T @ v - np.eye(16)).max() < 1e-10
+    assert np.abs(s @ v - v * more.values).max() < 1e-8 and (more.residuals < 1e-8).all()
+    assert np.array_equal(as_matrix(first, 120), v[:, :8])  # locked modes stay as they were
+    assert (v[np.abs(v).argmax(0), range(16)] > 0).all()
+    # A run that was killed goes on after its last block: the second block has lost its manifest, the first is not solved again.
+    import shutil
+
+    shutil.rmtree(store.manifest(1))
+    solved, block = [], E._block
+    monkeypatch.setattr(E, "_block", lambda *a: solved.append(a[5]) or block(*a))
+    again = E.continued(edges, nodes, 16, store, 8, 24)
+    assert solved == [1] and np.allclose(again.values, more.values, atol=1e-12)
+    # Fewer modes than the store holds are read, not solved; a part of a block is cut off.
+    few = E.continued(edges, nodes, 11, store, 8, 24)
+    assert solved == [1] and np.allclose(few.values, want[:11], atol=1e-12) and as_matrix(few, 120).shape == (120, 11)
+
+
+def test_more_modes_than_nodes_and_nodes_without_edges(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 2.0), (2, 2, 0.5)], "src long, dst long, s double")
+    modes = E.continued(edges, spark.range(4), 9, BlockStore(spark, str(tmp_path), {}), 3)
+    assert np.allclose(modes.values, [3.0, 1.0, 0.5, 0.0], atol=1e-10)
+    assert np.allclose(as_matrix(modes, 4).T @ as_matrix(modes, 4), np.eye(4), atol=1e-10)
+
+
+def test_unconverged_blocks_are_told(spark, spectrum, tmp_path):
+    edges, nodes, _, _ = spectrum
+    with pytest.raises(E.Unconverged):
+        E.continued(edges, nodes, 4, BlockStore(spark, str(tmp_path / "a"), {}), 4, 0, depth=2, restarts=0)
+    loose = E.continued(edges, nodes, 4, BlockStore(spark, str(tmp_path / "b"), {}), 4, 0, depth=2, restarts=0, strict=False)
+    assert not loose.converged.all()
+
+
+def test_sources_with_many_edges_are_spread(spark):
+    edges = spark.createDataFrame([(0, k, 1.0 + k) for k in range(90)] + [(k, 0, 1.0) for k in range(1, 20)], "src long, dst long, s double")
+    with Tables(spark) as tables:
+        operator = E.Operator(edges, tables, 20)
+        assert max(r["count"] for r in operator.edges.groupBy("part").count().collect()) < 90
+        block = spark.range(90).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+        got = {r.id: r.v for r in operator.times(block).collect()}
+    assert got[0] == [sum(1.0 + k for k in range(90)), sum((1.0 + k) * k for k in range(90))] and got[5] == [1.0, 0.0]
+
+
+def test_modes_are_matched_whatever_mixed_them(spark):
+    rng = np.random.default_rng(3)
+    old = np.linalg.qr(rng.normal(size=(50, 6)))[0]
+    turn = np.eye(6)
+    turn[1:4, 1:4] = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    new = old @ turn
+    new[:, [0, 5]] *= -1
+    frame = lambda x: cut(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>"))
+    back, groups = E.matched(frame(new), frame(old), spark.range(50).select("id", F.lit(1.0).alias("w")), np.array([1.0, 0.8, 0.8, 0.8, 0.5, 0.4]))
+    got = np.array([r.v for r in back.orderBy("id").collect()])
+    assert np.allclose(got, old, atol=1e-12)
+    assert [(g["first"], g["last"]) for g in groups] == [(0, 0), (1, 3), (4, 4), (5, 5)] and groups[0]["signs"] == [-1] and groups[3]["signs"] == [-1] and groups[2]["signs"] == [1]
+    assert all(abs(g["least_cosine"] - 1) < 1e-12 and g["largest_deviation"] < 1e-12 for g in groups)
+
+
+def brute_neighbours(queries, points, k, skip):
+    out = set()
+    for i, *x in queries:
+        d = sorted((np.sqrt(sum((a - b) ** 2 for a, b in zip(x, y))), j) for j, *y in points if not (skip and i == j))[:k]
+        out |= {(i, j, round(float(e), 9), r + 1) for r, (e, j) in enumerate(d)}
+    return out
+
+
+def test_neighbours_of_uneven_points(spark, monkeypatch):
+    """Clusters, coinciding points, a lattice full of ties, queries far away: leaves, boxes and groups of every size."""
+    from isofield.operators import neighbours as N
+
+    monkeypatch.setattr(N, "LEAF", 16)
+    monkeypatch.setattr(N, "FAN", 4)
+    monkeypatch.setattr(N, "ASKED", 50)
+    rng = np.random.default_rng(1)
+    p = [(i, *rng.normal(size=3)) for i in range(200)] + [(500 + i, *(0.001 * rng.normal(size=3) + 5)) for i in range(150)]
+    p += [(900 + i, 1.0, 1.0, 1.0) for i in range(60)] + [(1000 + i, float(i % 5), float(i // 20), -0.0 if i % 2 else 0.0) for i in range(60)]
+    q = [(i, *(rng.normal(size=3) * 3)) for i in range(5000, 5060)] + [(6000, 50.0, 50.0, 50.0)]
+    frame = lambda rows: spark.createDataFrame([(int(i), *map(float, x)) for i, *x in rows], "id long, x double, y double, z double")
+    for a, b, k, skip in ((p, p, 4, True), (q, p, 7, False), (p[:3], p[:3], 5, True)):
+        got = [(r.src, r.dst, round(r.dist, 9), r["rank"]) for r in G.knn(frame(a), frame(b), k, skip).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_neighbours(a, b, k, skip)
+
+
+def test_coinciding_points_make_few_pairs_and_bad_coordinates_take_no_part(spark):
+    from isofield.operators import neighbours as N
+
+    rows = [(i, 1.0, 2.0, 3.0) for i in range(3000)] + [(5000, None, 1.0, 1.0), (5001, float("nan"), 1.0, 1.0), (5002, 0.0, float("inf"), 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = G.knn(df, df, 3, True)
+    assert got.count() == 9000 and got.agg(F.max("dist")).first()[0] == 0.0
+    assert {r.dst for r in got.where("src = 2999").collect()} == {0, 1, 2} and {r.dst for r in got.where("src = 1").collect()} == {0, 2, 3}
+    assert N.knn(df, df.limit(0), 3, True).count() == 0
 
 
 def test_ridge_closure_and_grid(spark):

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from isofield.functions import columns as C
 from isofield.operators import relational as R
 from isofield.operators import selectors as S
 from isofield.operators import summaries as M
@@ -114,12 +115,55 @@ def test_sign_test_is_exact(spark):
         assert abs(r.p - min(1.0, 2 * sum(comb(n, j) for j in range(min(r.w, r.l) + 1)) / 2 ** n)) < 1e-12
 
 
-def test_bootstrap_is_seeded(spark):
-    df = spark.createDataFrame([("a", float(v)) for v in range(10)] + [("b", NAN)], "g string, v double")
-    a, b = ({r.g: r for r in S.bootstrap_mean(d, ["g"], "v", seed=4).collect()} for d in (df, df.repartition(5)))
-    assert a == b and a["a"].low < 4.5 < a["a"].high and a["b"].n == 0
-    want = np.quantile(np.arange(10.0)[np.random.default_rng(4).integers(0, 10, (2000, 10))].mean(1), [0.025, 0.975])
-    assert np.allclose([a["a"].low, a["a"].high], want)
+def number(seed, draw, id_):
+    """columns.random_number() by hand."""
+    x = (id_ * C.ID_FACTOR + draw * C.DRAW_FACTOR + seed * C.SEED_FACTOR) % 2 ** 31
+    for shift, factor in zip((15, 12), C.MIX_FACTORS):
+        x = (x ^ (x >> shift)) * factor % 2 ** 31
+    return x ^ (x >> 15)
+
+
+def test_random_numbers_are_even_and_apart(spark):
+    got = np.array([[r.a, r.b] for r in spark.range(4000).select(C.random_number(3, F.col("id") % 40, (F.col("id") / 40).cast("long")).alias("a"), C.random_number(4, F.col("id") % 40, (F.col("id") / 40).cast("long")).alias("b")).collect()]) / 2.0 ** 31
+    assert abs(got.mean() - 0.5) < 0.02 and abs(got.std() - 12 ** -0.5) < 0.01 and abs(np.corrcoef(got.T)[0, 1]) < 0.05
+    grid = got[:, 0].reshape(100, 40)
+    assert np.abs(np.corrcoef(grid[:, :10].T) - np.eye(10)).max() < 0.4 and grid.ravel()[0] * 2 ** 31 == number(3, 0, 0)
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    values = [3.0, 1.0, 4.0, 1.5, 9.0, 2.0]
+    df = spark.createDataFrame([("a", v, k) for k, v in enumerate(values)] + [("b", NAN, 0), ("b", None, 1), (None, 5.0, 0)], "g string, v double, k int")
+    a, b = ({r.g: r for r in S.bootstrap_mean(d, ["g"], "v", ["k"], 300, 4).collect()} for d in (df, df.repartition(5)))
+    assert a == b and a["b"].n == 0 and a["b"].mean is None and a[None].low == a[None].high == 5.0
+    x = sorted(values)
+    means = [np.mean([x[number(4, d, i) % 6] for i in range(6)]) for d in range(1, 301)]
+    assert np.allclose([a["a"].low, a["a"].high, a["a"].mean], [*np.quantile(means, [0.025, 0.975]), np.mean(x)]) and 0.5 < np.std(means) / (np.std(x) / 6 ** 0.5) < 1.5
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rows = [(None if k % 7 == 0 else k % 3 if k % 2 else 0, (k * 37) % 101, k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g int, v int, k int").repartition(7)
+    got = {r.k: (r["rank"], r.size) for r in R.ranked_within(df, ["g"], ["v", "k"]).collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((v, k) for h, v, k in rows if h == g)
+        assert all(got[k] == (i, len(own)) for i, (_, k) in enumerate(own))
+
+
+def test_split_rules_of_small_groups(spark):
+    df = spark.createDataFrame([(k, 3) for k in range(3)] + [(k, 10) for k in range(10, 20)], "id long, g int")
+    got = {(r.g, r.split): r["count"] for r in T.split(df, "id", 1, 0.9, 0.4, ["g"]).groupBy("g", "split").count().collect()}
+    # Three rows: training rounds to all of them, validation keeps one of its own; ten: 9 and 4 would leave none for the test.
+    assert got == {(3, "train"): 3, (10, "train"): 9, (10, "validation"): 1}
+    assert {r.split: r["count"] for r in T.split(df.where("g = 10"), "id", 1, 0.7, 0.4, ["g"]).groupBy("split").count().collect()} == {"train": 7, "validation": 2, "test": 1}
+    with pytest.raises(ValueError):
+        T.split(df.where("id <> 0"), "id", 1, 0.5, 0.2, ["g"])
+
+
+def test_point_bootstrap_leaves_out_bad_rows(spark):
+    rows = [(k, 1.0 + k % 5, 0.5 * k % 3, 1.0) for k in range(300)]
+    df = spark.createDataFrame([*rows, (900, NAN, 1.0, 1.0), (901, None, 1.0, 1.0)], "id long, x double, y double, z double").withColumns({"p": F.col("x") * 0.9, "q": F.col("x") * 0.5})
+    a, b = (S.point_bootstrap(d, "id", ["x", "y", "z"], ["p", "y", "z"], ["q", "y", "z"], ["x", "y", "z"], draws=50).first() for d in (df, df.where("id < 900").repartition(4)))
+    assert np.allclose(list(a), list(b)) and a.share_a_better_3d == 1.0 and a.delta_3d_low <= a.delta_3d_mean <= a.delta_3d_high < 0
 
 
 def test_unique_keys_and_exact_pivots(spark):
