@@ -273,7 +273,7 @@ def pivot_roles(spark, d):
  union all select 'inside_q90', count(*) from survey, (select quantile_cont(dist, 0.9) q from survey) where dist <= q""")
 def unpivot_support_counts(spark, d):
     s = survey(spark, d)
-    q = s.agg(F.percentile("dist", F.lit(0.9)).alias("q"))
+    q = R.quantiles(s.select("dist"), [], "dist", [0.9]).select(F.get("quantiles", F.lit(0)).alias("q"))
     masks = {"all": F.lit(True), "near": F.col("dist") < 30, "far_region_0": (F.col("dist") >= 30) & (F.col("region") == 0), "inside_q90": F.col("dist") <= F.col("q")}
     return R.subset_counts(s.crossJoin(F.broadcast(q)), masks)
 
@@ -320,9 +320,10 @@ def candidate_numbers(spark, d):
     return R.numbered(grid(spark, d).drop("score"), ["seed", "loss_name", "n_basis", "lam", "pw"])
 
 
-@query()
+@query("""select count(*) n, cast(sum(cast('0x' || substr(md5(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus, cast(round(o_totalprice * 100) as bigint)::varchar, o_orderpriority)), 1, 15) as bigint)::hugeint) as varchar) digest from orders""")
 def table_digest(spark, d):
-    return R.digest(read(spark, d, "orders"))
+    o = read(spark, d, "orders")
+    return R.text_digest(o, [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderpriority")]).select("n", F.col("digest").cast("string").alias("digest"))
 
 
 @query("select r, coalesce(n, 0) n from (select unnest(range(0, 30)) r) left join (select s_nationkey r, count(*) n from supplier group by 1) using (r)")
@@ -396,7 +397,10 @@ def subset_scores(spark, d):
 
 @query(f"with {SURVEY} select region, count(*) n, round(max(m_lim), 6) m_lim, round(min(dist), 6) dist_min, round(quantile_cont(dist, 0.5), 6) dist_median, round(max(dist), 6) dist_max from survey group by 1")
 def selection_audit(spark, d):
-    return rounded(survey(spark, d).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("m_lim").alias("m_lim"), F.min("dist").alias("dist_min"), F.percentile("dist", F.lit(0.5)).alias("dist_median"), F.max("dist").alias("dist_max")))
+    s = survey(spark, d)
+    sums = s.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("m_lim").alias("m_lim"), F.min("dist").alias("dist_min"), F.max("dist").alias("dist_max"))
+    medians = R.quantiles(s.select("region", "dist"), ["region"], "dist", [0.5]).select("region", F.get("quantiles", F.lit(0)).alias("dist_median"))
+    return rounded(sums.join(medians, "region"))
 
 
 # Weights and splits.

@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isofield.functions.columns import finite
+
 CATALOG = T.StructType([T.StructField("id", T.LongType(), False), *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "z", "vx", "vy", "vz")]])
 
 
@@ -169,12 +171,29 @@ def synthetic_points(spark: SparkSession, n: int, case: int, seed: int = 260922)
     return df.select("id", *[a.alias(n) for a, n in zip(axes, "xyz")])
 
 
+def _json_ready(c: Column, kind: T.DataType) -> Column:
+    """c with null for numbers that JSON has no form for."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: _json_ready(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _json_ready(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_json_ready(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def write_new(df: DataFrame, place: str, kind: str = "parquet") -> None:
-    """Write a table as CSV, JSON or Parquet; an existing place is an error. Jobs commit all files or none."""
+    """Write a table as CSV, JSON or Parquet; an existing place is an error. Jobs commit all files or none.
+
+    In JSON, NaN and infinite numbers become null, those in arrays, structs and map values too.
+    """
     if kind == "csv":
         df.write.mode("errorifexists").csv(place, header=True)
     elif kind == "json":
-        df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(place)
+        known = [_json_ready(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+        df.select(F.to_json(F.struct(*known), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(place)
     else:
         df.write.mode("errorifexists").parquet(place)
 

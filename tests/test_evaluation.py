@@ -272,6 +272,15 @@ def test_blocks_are_read_alone_and_broken_ones_are_absent(spark, tmp_path):
     assert len(store.completed()) == 2 and BlockStore(spark, str(tmp_path), {"a": 2}).completed() == []
 
 
+def test_json_has_null_for_what_is_no_number(spark, tmp_path):
+    import json
+
+    df = spark.sql("select 1 k, double('NaN') a, array(1.0D, double('Infinity'), null) b, named_struct('x', float('-Infinity'), 'y', 'NaN') c, map('m', double('NaN'), 'n', 2.0D) d")
+    IO.write_new(df, str(tmp_path / "j"), "json")
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "j")).collect())
+    assert json.loads(text, parse_constant=lambda c: pytest.fail(c)) == {"k": 1, "a": None, "b": [1.0, None, None], "c": {"x": None, "y": "NaN"}, "d": {"m": None, "n": 2.0}}
+
+
 def test_npz_files(spark, tmp_path):
     np.savez(tmp_path / "a.npz", pos=np.arange(6.0).reshape(2, 3), ids=np.array([7, 2 ** 60]), m=np.array([1.0, np.nan]))
     np.savez(tmp_path / "b.npz", pos=np.ones((1, 3)), ids=np.array([9]), m=np.array([3.0]))
