@@ -31,70 +31,91 @@ ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that are followed from their start to their end tag.
 FOLLOWED = PARTS | ARTICLE | frozenset(("div", "section", "ul", "ol", "dl", "table", "figure", "fieldset", "p", "span", "center", "details"))
-#: Words of class, id and role that tell of other things than the article, and of the article.
-OTHER = frozenset((
-    "ad", "ads", "adbox", "adsense", "advert", "advertisement", "adverts", "alert", "author", "banner", "bottombar",
-    "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "complementary", "consent",
-    "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "footer", "form", "gdpr",
-    "legal", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
-    "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended",
-    "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
-    "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "tracking", "warning", "widget"))
-#: Of these, words of what may hold articles of its own: an article in it is not the page's.
+#: Words of class, id and role. What these stand on is no text of an article, though an article may stand in it;
+HARD = frozenset((
+    "ad", "ads", "adbox", "adsense", "advert", "advertisement", "adverts", "banner", "bottombar", "breadcrumb", "breadcrumbs", "byline", "complementary", "consent", "contentinfo", "cookie", "cookies",
+    "copyright", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "paywall", "popup", "promo",
+    "promotion", "share", "sharing", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar"))
+#: these are doubtful, and a block's own words, links and neighbours decide;
+SOFT = frozenset((
+    "alert", "author", "dialog", "form", "legal", "notification", "search", "tags", "toc", "tracking", "warning", "widget"))
+#: in these, articles are others' articles.
 NEVER_ARTICLE = frozenset((
-    "comment", "comments", "commentlist", "discussion", "disqus", "recommended", "related", "replies", "reply", "respond", "sidebar"))
+    "comment", "comments", "commentlist", "discussion", "disqus", "recommended", "related", "remark", "remarks", "replies", "reply", "respond", "sidebar", "thread"))
 OTHER_OUTSIDE = frozenset(("header", "masthead", "sitename", "logo"))
-OWN = frozenset(("article", "articlebody", "content", "entry", "main", "post", "story"))
+OWN = frozenset(("article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"))
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "in part", "heading", "named")
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "in part", "heading", "named", "beside an article")
 #: The labelled table: a row for each block, with FEATURES and whether it is main text. named is 1 where a paragraph's own
-#: class, id or role has a telling word, 2 where that of an element around it has.
+#: class, id or role has a doubtful word, 2 where that of an element around it has, 3 where either has a hard one; the last
+#: feature is 1 for blocks outside the article of a page that has one.
 LABELLED = (
-    (120, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 0, 1), (45, 0.05, 120, 0.00, 30, 0.00, 1, 0, 0, 0, 1),
-    (12, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 0, 1), (3, 0.00, 80, 0.00, 1, 0.00, 1, 0, 0, 0, 1),
-    (1, 0.00, 3, 0.00, 60, 0.00, 1, 0, 0, 0, 1), (1, 0.00, 4, 1.00, 2, 0.00, 1, 0, 1, 0, 1),
-    (2, 0.00, 9, 0.00, 9, 0.20, 1, 0, 0, 0, 1), (20, 0.60, 90, 0.00, 70, 0.00, 1, 0, 0, 0, 1),
-    (6, 1.00, 40, 0.00, 50, 0.00, 1, 0, 0, 0, 1), (4, 1.00, 70, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
-    (200, 0.02, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 1), (8, 0.00, 2, 1.00, 15, 0.00, 1, 0, 1, 0, 1),
-    (5, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 0, 1), (2, 0.00, 20, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
-    (18, 0.10, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 1), (1, 0.00, 2, 1.00, 1, 1.00, 1, 0, 0, 0, 1),
-    (4, 0.50, 1, 1.00, 3, 1.00, 1, 0, 0, 0, 1), (9, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 0, 1),
-    (60, 0.00, 50, 0.00, 1, 1.00, 1, 0, 0, 0, 1), (7, 0.80, 3, 1.00, 4, 0.90, 1, 0, 0, 0, 1),
-    (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0, 1), (33, 0.00, 5, 1.00, 0, 0.00, 1, 0, 0, 0, 1),
-    (3, 0.00, 4, 0.00, 5, 0.60, 1, 0, 1, 0, 1), (1, 0.00, 0, 0.00, 6, 1.00, 1, 0, 0, 0, 1),
-    (80, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0, 1), (60, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
-    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0, 0),
-    (1, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0, 0), (9, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0, 0),
-    (40, 0.00, 90, 0.00, 35, 0.00, 0, 1, 0, 0, 0), (65, 0.02, 30, 0.00, 80, 0.00, 0, 1, 0, 0, 0),
-    (14, 0.00, 50, 0.00, 0, 0.00, 0, 1, 0, 0, 0), (5, 0.00, 0, 0.00, 60, 0.00, 0, 1, 1, 0, 0),
-    (30, 0.10, 60, 0.00, 25, 0.00, 1, 1, 0, 0, 0), (7, 0.00, 40, 0.00, 30, 0.00, 1, 1, 0, 0, 0),
-    (3, 1.00, 80, 0.00, 2, 1.00, 1, 1, 0, 0, 0), (4, 0.00, 30, 0.00, 6, 0.50, 1, 1, 1, 0, 0),
-    (110, 0.00, 30, 0.00, 70, 0.00, 0, 0, 0, 0, 1), (60, 0.04, 8, 0.00, 45, 0.00, 0, 0, 0, 0, 1),
-    (35, 0.10, 90, 0.00, 55, 0.02, 0, 0, 0, 0, 1), (25, 0.20, 3, 1.00, 60, 0.00, 0, 0, 0, 0, 1),
-    (22, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 0, 1), (18, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 0, 1),
-    (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 0, 1), (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 0, 1),
-    (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 0, 1), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 0, 1),
-    (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 0, 1), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 0, 1),
-    (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 0, 1), (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 0, 1),
-    (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 0, 1), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1),
-    (30, 0.20, 2, 1.00, 1, 1.00, 0, 0, 0, 0, 1), (19, 0.00, 1, 0.00, 4, 1.00, 0, 0, 0, 0, 1),
-    (3, 0.00, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 1), (2, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 0, 1),
-    (3, 0.00, 0, 0.00, 21, 0.05, 0, 0, 1, 0, 1), (5, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1, 0, 1),
-    (25, 0.60, 20, 0.00, 20, 0.00, 0, 0, 0, 0, 0), (20, 0.50, 2, 1.00, 30, 0.00, 0, 0, 0, 0, 0),
-    (4, 0.00, 20, 0.00, 2, 1.00, 0, 0, 0, 0, 0), (8, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0),
-    (3, 0.90, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 0), (6, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0, 0),
-    (7, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 0), (9, 0.10, 5, 0.50, 4, 0.00, 0, 0, 0, 0, 0),
-    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 0), (2, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0, 0),
-    (3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0, 0), (30, 0.90, 5, 1.00, 20, 0.80, 0, 0, 0, 0, 0),
-    (45, 0.85, 60, 0.00, 3, 0.00, 0, 0, 0, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0),
-    (6, 0.00, 1, 1.00, 4, 0.50, 0, 0, 0, 0, 0), (8, 0.40, 70, 0.00, 0, 0.00, 0, 0, 0, 0, 0),
-    (5, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 0, 0), (3, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0),
-    (2, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1, 0, 0), (3, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1, 0, 0),
-    (19, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 2, 0), (60, 0.02, 30, 0.00, 70, 0.00, 1, 0, 0, 2, 0), (3, 1.00, 40, 0.00, 2, 1.00, 1, 0, 0, 2, 0), (150, 0.00, 9, 0.00, 20, 0.00, 1, 0, 0, 2, 0),
-    (12, 0.00, 0, 0.00, 40, 0.00, 0, 0, 0, 2, 0), (80, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 2, 0), (5, 0.40, 3, 1.00, 3, 1.00, 0, 0, 0, 2, 0), (4, 0.00, 90, 0.00, 6, 0.00, 0, 0, 1, 2, 0),
-    (24, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 1), (70, 0.05, 12, 0.00, 30, 0.00, 1, 0, 0, 1, 1), (35, 0.10, 3, 1.00, 50, 0.00, 0, 0, 0, 1, 1), (18, 0.00, 40, 0.00, 40, 0.00, 1, 0, 0, 1, 1),
-    (4, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0), (9, 0.00, 20, 0.00, 70, 0.00, 1, 0, 0, 1, 0), (12, 0.00, 50, 0.00, 30, 0.00, 1, 0, 0, 1, 0), (30, 0.80, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0),
-    (20, 0.60, 60, 0.00, 30, 0.00, 1, 0, 0, 1, 0), (6, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0, 1, 0), (25, 0.50, 3, 1.00, 2, 1.00, 0, 0, 0, 1, 0), (2, 1.00, 40, 0.00, 9, 0.00, 1, 0, 0, 1, 0),
+    (120, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 0, 0, 1), (45, 0.05, 120, 0.00, 30, 0.00, 1, 0, 0, 0, 0, 1), (12, 0.00, 0, 0.00, 90, 0.00, 1, 0, 1, 0, 0, 1),
+    (3, 0.00, 80, 0.00, 1, 0.00, 1, 0, 0, 0, 0, 1), (1, 0.00, 3, 0.00, 60, 0.00, 1, 0, 0, 0, 0, 1), (1, 0.00, 4, 1.00, 2, 0.00, 1, 0, 1, 0, 0, 1),
+    (2, 0.00, 9, 0.00, 9, 0.20, 1, 0, 0, 0, 0, 1), (20, 0.60, 90, 0.00, 70, 0.00, 1, 0, 0, 0, 0, 1), (6, 1.00, 40, 0.00, 50, 0.00, 1, 0, 0, 0, 0, 1),
+    (4, 1.00, 70, 0.00, 0, 0.00, 1, 0, 0, 0, 0, 1), (200, 0.02, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 0, 1), (8, 0.00, 2, 1.00, 15, 0.00, 1, 0, 1, 0, 0, 1),
+    (5, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 0, 0, 1), (2, 0.00, 20, 0.00, 0, 0.00, 1, 0, 0, 0, 0, 1), (18, 0.10, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 0, 1),
+    (1, 0.00, 2, 1.00, 1, 1.00, 1, 0, 0, 0, 0, 1), (4, 0.50, 1, 1.00, 3, 1.00, 1, 0, 0, 0, 0, 1), (9, 0.00, 0, 0.00, 0, 0.00, 1, 0, 1, 0, 0, 1),
+    (60, 0.00, 50, 0.00, 1, 1.00, 1, 0, 0, 0, 0, 1), (7, 0.80, 3, 1.00, 4, 0.90, 1, 0, 0, 0, 0, 1), (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0, 0, 0),
+    (33, 0.00, 5, 1.00, 0, 0.00, 1, 0, 0, 0, 0, 1), (3, 0.00, 4, 0.00, 5, 0.60, 1, 0, 1, 0, 0, 1), (1, 0.00, 0, 0.00, 6, 1.00, 1, 0, 0, 0, 0, 1),
+    (80, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0, 0, 1), (60, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1), (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 0, 0),
+    (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0, 0, 0), (1, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0, 0, 0), (9, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0, 0, 0),
+    (40, 0.00, 90, 0.00, 35, 0.00, 0, 1, 0, 0, 0, 0), (65, 0.02, 30, 0.00, 80, 0.00, 0, 1, 0, 0, 0, 0), (14, 0.00, 50, 0.00, 0, 0.00, 0, 1, 0, 0, 0, 0),
+    (5, 0.00, 0, 0.00, 60, 0.00, 0, 1, 1, 0, 0, 0), (30, 0.10, 60, 0.00, 25, 0.00, 1, 1, 0, 0, 0, 0), (7, 0.00, 40, 0.00, 30, 0.00, 1, 1, 0, 0, 0, 0),
+    (3, 1.00, 80, 0.00, 2, 1.00, 1, 1, 0, 0, 0, 0), (4, 0.00, 30, 0.00, 6, 0.50, 1, 1, 1, 0, 0, 0), (110, 0.00, 30, 0.00, 70, 0.00, 0, 0, 0, 0, 0, 1),
+    (60, 0.04, 8, 0.00, 45, 0.00, 0, 0, 0, 0, 0, 1), (35, 0.10, 90, 0.00, 55, 0.02, 0, 0, 0, 0, 0, 1), (25, 0.20, 3, 1.00, 60, 0.00, 0, 0, 0, 0, 0, 1),
+    (22, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 0, 0, 1), (18, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 0, 0, 1), (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 0, 0, 1),
+    (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 0, 0, 1), (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 0, 0, 1), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 0, 0, 1),
+    (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 0, 0, 1), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 0, 0, 1), (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 0, 0, 1),
+    (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 0, 0, 1), (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 0, 0, 1), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1),
+    (30, 0.20, 2, 1.00, 1, 1.00, 0, 0, 0, 0, 0, 1), (19, 0.00, 1, 0.00, 4, 1.00, 0, 0, 0, 0, 0, 1), (3, 0.00, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 0, 1),
+    (2, 0.00, 25, 0.00, 18, 0.00, 0, 0, 0, 0, 0, 1), (3, 0.00, 0, 0.00, 21, 0.05, 0, 0, 1, 0, 0, 1), (5, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1, 0, 0, 1),
+    (25, 0.60, 20, 0.00, 20, 0.00, 0, 0, 0, 0, 0, 0), (20, 0.50, 2, 1.00, 30, 0.00, 0, 0, 0, 0, 0, 0), (4, 0.00, 20, 0.00, 2, 1.00, 0, 0, 0, 0, 0, 0),
+    (8, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0, 0), (3, 0.90, 21, 0.00, 22, 0.00, 0, 0, 0, 0, 0, 0), (6, 0.00, 4, 0.00, 3, 0.00, 0, 0, 0, 0, 0, 1),
+    (7, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1), (9, 0.10, 5, 0.50, 4, 0.00, 0, 0, 0, 0, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0, 0, 0),
+    (2, 1.00, 60, 0.00, 2, 1.00, 0, 0, 0, 0, 0, 0), (3, 1.00, 2, 1.00, 40, 0.00, 0, 0, 0, 0, 0, 0), (30, 0.90, 5, 1.00, 20, 0.80, 0, 0, 0, 0, 0, 0),
+    (45, 0.85, 60, 0.00, 3, 0.00, 0, 0, 0, 0, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0, 0, 0, 0), (6, 0.00, 1, 1.00, 4, 0.50, 0, 0, 0, 0, 0, 0),
+    (8, 0.40, 70, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 0), (5, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1), (3, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0, 0),
+    (2, 0.00, 1, 1.00, 2, 1.00, 0, 0, 1, 0, 0, 0), (3, 0.00, 2, 0.00, 1, 1.00, 0, 0, 1, 0, 0, 0), (19, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 2, 0, 1),
+    (60, 0.02, 30, 0.00, 70, 0.00, 1, 0, 0, 2, 0, 1), (3, 1.00, 40, 0.00, 2, 1.00, 1, 0, 0, 2, 0, 0), (150, 0.00, 9, 0.00, 20, 0.00, 1, 0, 0, 2, 0, 1),
+    (12, 0.00, 0, 0.00, 40, 0.00, 0, 0, 0, 2, 0, 1), (80, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 2, 0, 1), (5, 0.40, 3, 1.00, 3, 1.00, 0, 0, 0, 2, 0, 0),
+    (4, 0.00, 90, 0.00, 6, 0.00, 0, 0, 1, 2, 0, 0), (24, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0, 1), (70, 0.05, 12, 0.00, 30, 0.00, 1, 0, 0, 1, 0, 1),
+    (35, 0.10, 3, 1.00, 50, 0.00, 0, 0, 0, 1, 0, 1), (18, 0.00, 40, 0.00, 40, 0.00, 1, 0, 0, 1, 0, 1), (4, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0, 0),
+    (9, 0.00, 20, 0.00, 70, 0.00, 1, 0, 0, 1, 0, 0), (12, 0.00, 50, 0.00, 30, 0.00, 1, 0, 0, 1, 0, 1), (30, 0.80, 60, 0.00, 45, 0.00, 1, 0, 0, 1, 0, 0),
+    (20, 0.60, 60, 0.00, 30, 0.00, 1, 0, 0, 1, 0, 0), (6, 0.00, 30, 0.00, 3, 1.00, 0, 0, 0, 1, 0, 0), (25, 0.50, 3, 1.00, 2, 1.00, 0, 0, 0, 1, 0, 0),
+    (2, 1.00, 40, 0.00, 9, 0.00, 1, 0, 0, 1, 0, 0), (80, 0.00, 1, 1.00, 0, 0.00, 0, 0, 0, 0, 1, 0), (60, 0.00, 40, 0.00, 0, 0.00, 0, 0, 0, 0, 1, 0),
+    (1, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 1, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0, 1, 0, 0, 1, 0), (1, 1.00, 1, 1.00, 12, 0.00, 0, 1, 0, 0, 1, 0),
+    (9, 0.00, 1, 1.00, 10, 0.00, 0, 1, 0, 0, 1, 0), (40, 0.00, 90, 0.00, 35, 0.00, 0, 1, 0, 0, 1, 0), (65, 0.02, 30, 0.00, 80, 0.00, 0, 1, 0, 0, 1, 0),
+    (14, 0.00, 50, 0.00, 0, 0.00, 0, 1, 0, 0, 1, 0), (5, 0.00, 0, 0.00, 60, 0.00, 0, 1, 1, 0, 1, 0), (110, 0.00, 30, 0.00, 70, 0.00, 0, 0, 0, 0, 1, 0),
+    (60, 0.04, 8, 0.00, 45, 0.00, 0, 0, 0, 0, 1, 0), (35, 0.10, 90, 0.00, 55, 0.02, 0, 0, 0, 0, 1, 0), (25, 0.20, 3, 1.00, 60, 0.00, 0, 0, 0, 0, 1, 0),
+    (22, 0.00, 40, 0.00, 3, 1.00, 0, 0, 0, 0, 1, 0), (18, 0.00, 50, 0.00, 60, 0.00, 0, 0, 0, 0, 1, 0), (9, 0.00, 40, 0.00, 70, 0.00, 0, 0, 0, 0, 1, 0),
+    (5, 0.00, 60, 0.00, 40, 0.00, 0, 0, 0, 0, 1, 0), (7, 0.00, 2, 1.00, 80, 0.00, 0, 0, 1, 0, 1, 0), (10, 0.00, 1, 1.00, 45, 0.00, 0, 0, 1, 0, 1, 0),
+    (4, 0.00, 55, 0.00, 65, 0.00, 0, 0, 1, 0, 1, 0), (2, 0.00, 30, 0.00, 90, 0.00, 0, 0, 1, 0, 1, 0), (21, 0.05, 3, 0.00, 2, 0.00, 0, 0, 0, 0, 1, 0),
+    (14, 0.00, 3, 1.00, 5, 0.00, 0, 0, 0, 0, 1, 0), (16, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 0, 1, 0), (13, 0.10, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 1, 0),
+    (60, 0.00, 40, 0.00, 30, 0.00, 0, 0, 0, 3, 0, 0), (60, 0.00, 40, 0.00, 30, 0.00, 1, 0, 0, 3, 0, 0), (12, 0.00, 5, 0.00, 80, 0.00, 0, 0, 0, 3, 0, 0),
+    (12, 0.00, 5, 0.00, 80, 0.00, 1, 0, 0, 3, 0, 0), (90, 0.02, 0, 0.00, 20, 0.00, 0, 0, 0, 3, 0, 0), (90, 0.02, 0, 0.00, 20, 0.00, 1, 0, 0, 3, 0, 0),
+    (3, 1.00, 2, 1.00, 60, 0.00, 0, 0, 0, 3, 0, 0), (3, 1.00, 2, 1.00, 60, 0.00, 1, 0, 0, 3, 0, 0), (25, 0.00, 60, 0.00, 45, 0.00, 0, 0, 0, 3, 0, 0),
+    (25, 0.00, 60, 0.00, 45, 0.00, 1, 0, 0, 3, 0, 0), (5, 0.00, 40, 0.00, 9, 0.00, 0, 0, 0, 3, 0, 0), (5, 0.00, 40, 0.00, 9, 0.00, 1, 0, 0, 3, 0, 0),
+    (3, 1.00, 3, 1.00, 4, 1.00, 1, 0, 0, 0, 0, 0), (2, 1.00, 50, 0.00, 3, 1.00, 1, 0, 0, 0, 0, 0), (4, 0.95, 3, 1.00, 60, 0.00, 1, 0, 0, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 2, 1.00, 1, 0, 0, 0, 0, 0), (5, 1.00, 4, 1.00, 0, 0.00, 1, 0, 0, 0, 0, 0), (6, 0.92, 2, 1.00, 7, 0.90, 1, 0, 0, 0, 0, 0),
+    (3, 1.00, 60, 0.00, 40, 0.00, 1, 0, 0, 0, 0, 1), (5, 1.00, 20, 0.10, 70, 0.00, 1, 0, 0, 0, 0, 1), (9, 0.50, 3, 0.40, 30, 0.00, 1, 0, 0, 0, 0, 1),
+    (20, 0.95, 70, 0.00, 60, 0.00, 1, 0, 0, 0, 0, 1), (15, 0.93, 22, 0.95, 18, 0.90, 1, 0, 0, 0, 0, 1), (7, 0.60, 30, 0.00, 6, 0.60, 1, 0, 0, 0, 0, 1),
+    (5, 0.00, 6, 0.00, 7, 0.00, 0, 0, 0, 0, 0, 1), (4, 0.00, 0, 0.00, 6, 0.00, 0, 0, 0, 0, 0, 1), (7, 0.00, 5, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1),
+    (3, 0.00, 8, 0.00, 2, 0.00, 0, 0, 0, 0, 0, 1), (6, 0.00, 6, 0.10, 5, 0.00, 0, 0, 0, 0, 0, 1), (2, 0.00, 3, 0.00, 9, 0.00, 0, 0, 0, 0, 0, 1),
+    (10, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 1), (30, 0.00, 40, 0.00, 30, 0.00, 0, 0, 0, 1, 0, 1), (30, 0.00, 40, 0.00, 30, 0.00, 1, 0, 0, 1, 0, 1),
+    (30, 0.00, 40, 0.00, 30, 0.00, 0, 0, 0, 2, 0, 1), (30, 0.00, 40, 0.00, 30, 0.00, 1, 0, 0, 2, 0, 1), (14, 0.10, 3, 1.00, 50, 0.00, 0, 0, 0, 1, 0, 1),
+    (14, 0.10, 3, 1.00, 50, 0.00, 1, 0, 0, 1, 0, 1), (14, 0.10, 3, 1.00, 50, 0.00, 0, 0, 0, 2, 0, 1), (14, 0.10, 3, 1.00, 50, 0.00, 1, 0, 0, 2, 0, 1),
+    (22, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 1, 0, 1), (22, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1, 0, 1), (22, 0.00, 0, 0.00, 0, 0.00, 0, 0, 0, 2, 0, 1),
+    (22, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 2, 0, 1), (60, 0.05, 9, 0.00, 12, 0.00, 0, 0, 0, 1, 0, 1), (60, 0.05, 9, 0.00, 12, 0.00, 1, 0, 0, 1, 0, 1),
+    (60, 0.05, 9, 0.00, 12, 0.00, 0, 0, 0, 2, 0, 1), (60, 0.05, 9, 0.00, 12, 0.00, 1, 0, 0, 2, 0, 1), (11, 0.00, 30, 0.00, 25, 0.00, 0, 0, 0, 1, 0, 1),
+    (11, 0.00, 30, 0.00, 25, 0.00, 1, 0, 0, 1, 0, 1), (11, 0.00, 30, 0.00, 25, 0.00, 0, 0, 0, 2, 0, 1), (11, 0.00, 30, 0.00, 25, 0.00, 1, 0, 0, 2, 0, 1),
+    (3, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 1, 0, 0), (3, 0.00, 40, 0.00, 60, 0.00, 1, 0, 0, 1, 0, 0), (3, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 2, 0, 0),
+    (3, 0.00, 40, 0.00, 60, 0.00, 1, 0, 0, 2, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0, 1, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 1, 0, 0, 1, 0, 0),
+    (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0, 2, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 1, 0, 0, 2, 0, 0), (6, 0.50, 30, 0.00, 3, 1.00, 0, 0, 0, 1, 0, 0),
+    (6, 0.50, 30, 0.00, 3, 1.00, 1, 0, 0, 1, 0, 0), (6, 0.50, 30, 0.00, 3, 1.00, 0, 0, 0, 2, 0, 0), (6, 0.50, 30, 0.00, 3, 1.00, 1, 0, 0, 2, 0, 0),
+    (8, 0.00, 70, 0.00, 5, 0.00, 0, 0, 0, 1, 0, 0), (8, 0.00, 70, 0.00, 5, 0.00, 1, 0, 0, 1, 0, 0), (8, 0.00, 70, 0.00, 5, 0.00, 0, 0, 0, 2, 0, 0),
+    (8, 0.00, 70, 0.00, 5, 0.00, 1, 0, 0, 2, 0, 0), (15, 0.80, 20, 0.00, 30, 0.00, 0, 0, 0, 1, 0, 0), (15, 0.80, 20, 0.00, 30, 0.00, 1, 0, 0, 1, 0, 0),
+    (15, 0.80, 20, 0.00, 30, 0.00, 0, 0, 0, 2, 0, 0), (15, 0.80, 20, 0.00, 30, 0.00, 1, 0, 0, 2, 0, 0),
 )
 
 TOKEN = re.compile(
@@ -103,30 +124,45 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PLAIN = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @lru_cache(maxsize=100_000)
 def _said(attributes: str) -> tuple[int, bool]:
     """(how surely it tells of other things, does so outside an article only) by class, id, role and hiding.
 
-    0 not at all, 1 by a word, 2 by a word of what may hold articles of its own, or by hiding.
+    0 not at all, 1 by a doubtful word, 2 by a hard one, 3 by a word of what may hold articles of its own, or by hiding. A
+    name of several words is what its last word says ("main-nav" is a nav, "entry-content" is content), or else what its
+    others say; names that begin with has, with, no or is tell of the page. Of several names on one element, one that tells
+    of the article itself by its last word outweighs doubtful ones alone.
     """
     if not attributes or attributes.isspace():
         return 0, False
     if HIDDEN.search(attributes):
-        return 2, False
-    names = {x for m in NAMED.finditer(attributes) for x in PLAIN.findall(m[1].lower())}
-    if names & OWN and not names & {"comment", "comments", "ad", "ads", "related", "sidebar"}:
-        return 0, False
-    return 2 if names & NEVER_ARTICLE else int(bool(names & OTHER)), bool(names & OTHER_OUTSIDE)
+        return 3, False
+    level, own, outside = 0, False, False
+    for m in NAMED.finditer(attributes):
+        for name in m[1].strip("\"'").split():
+            parts = PLAIN.findall(CAMEL.sub(" ", name).lower())
+            if not parts or len(parts) > 1 and parts[0] in ("has", "with", "no", "is"):
+                continue
+            kinds = [3 if p in NEVER_ARTICLE else 2 if p in HARD else 1 if p in SOFT else 0 for p in parts]
+            outside |= bool(OTHER_OUTSIDE.intersection(parts))
+            if parts[-1] in OWN:
+                # "comment-text" is no text of the article, "legal-text" may be.
+                said = 3 if 3 in kinds else int(1 in kinds)
+                level, own = max(level, said), own or not said
+            else:
+                level = max(level, kinds[-1] or max(kinds))
+    return (0 if own and level == 1 else level), outside and not own
 
 
 def flat_blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
     """(text, link density, in article, in another part, heading, named) of each text block in page order."""
     out: list[tuple[str, float, int, int, int, int]] = []
-    # Of open elements: name, and what it adds to the counts of articles, parts, telling words around, and on a paragraph.
-    stack: list[tuple[str, int, int, int, int]] = []
-    article = part = named = own = 0
+    # Of open elements: name, and what it adds to the counts of articles, parts, doubtful words around and on a paragraph, and hard words.
+    stack: list[tuple[str, int, int, int, int, int]] = []
+    article = part = named = own = hard = 0
     heading = in_link = False
     texts: list[str] = []
     links: list[str] = []
@@ -135,14 +171,14 @@ def flat_blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
             inside = " ".join(html.unescape(" ".join(links)).split())
-            out.append((text, min(1.0, len(inside) / len(text)), int(article > 0), int(part > 0), int(heading), 2 if named else int(own > 0)))
+            out.append((text, min(1.0, len(inside) / len(text)), int(article > 0), int(part > 0), int(heading), 3 if hard else 2 if named else int(own > 0)))
         texts.clear()
         links.clear()
 
     def close(k: int) -> None:
-        nonlocal article, part, named, own
-        for _, a, p, c, o in stack[k:]:
-            article, part, named, own = article - a, part - p, named - c, own - o
+        nonlocal article, part, named, own, hard
+        for _, a, p, c, o, h in stack[k:]:
+            article, part, named, own, hard = article - a, part - p, named - c, own - o, hard - h
         del stack[k:]
 
     at = 0
@@ -186,20 +222,22 @@ def flat_blocks(page: str) -> list[tuple[str, float, int, int, int, int]]:
                 while stack and stack[-1][0] in ("p", "span"):
                     close(len(stack) - 1)
             other, outside = _said(m[4])
-            a, p, c, o = int(name in ARTICLE), 0, 0, 0
+            a, p, c, o, h = int(name in ARTICLE), 0, 0, 0, 0
             if name in ARTICLE:
                 # Words on what wraps the page's article say nothing of the article.
-                if other < 2 and not article and not part:
-                    c = -named
+                if other < 3 and not article and not part:
+                    c, h = -named, -hard
             else:
-                p = int(other == 2 or name in PARTS and not (name == "header" and article))
-                if not p and (other or outside and not article):
+                p = int(other == 3 or name in PARTS and not (name == "header" and article))
+                if not p and (other == 2 or outside and not article):
+                    h = 1
+                elif not p and other:
                     c, o = (0, 1) if name == "p" else (1, 0)
-            if name == "span" and (p or c):
+            if name == "span" and (p or c or h):
                 end()
-            if name not in ("p", "span") or p or c or o:
-                stack.append((name, a, p, c, o))
-                article, part, named, own = article + a, part + p, named + c, own + o
+            if name not in ("p", "span") or p or c or o or h:
+                stack.append((name, a, p, c, o, h))
+                article, part, named, own, hard = article + a, part + p, named + c, own + o, hard + h
     if at < len(page):
         texts.append(page[at:])
     end()
@@ -212,7 +250,8 @@ def block_features(blocks: list[tuple[str, float, int, int, int, int]]) -> np.nd
     links, article, part, heading, named = (np.array([b[k] for b in blocks], float) for k in (1, 2, 3, 4, 5))
     before = lambda x: np.concatenate([[0.0], x[:-1]]) if n else x
     after = lambda x: np.concatenate([x[1:], [0.0]]) if n else x
-    return np.column_stack([words, links, before(words), before(links), after(words), after(links), article, part, heading, named])
+    beside = (article == 0) & bool(((article == 1) & (part == 0)).any())
+    return np.column_stack([words, links, before(words), before(links), after(words), after(links), article, part, heading, named, beside])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):

@@ -38,6 +38,91 @@ def test_class_words_quotes_and_wrappers():
     assert html_text.main_text(f"<article><p>{LONG}</p><div class='ad'>{LONG}</div><p class=ad>Buy now</p></article>") == LONG
 
 
+def test_names_of_several_words():
+    for name in "main-nav main-menu post-navigation postShare entry-footer content-notice story-promo article_ads reader-remark comment-text main-header".split():
+        page = f"<div class='{name}'><p>{LONG}</p></div><div class='page-content has-sidebar'><p>{LONG} So.</p></div>"
+        assert html_text.main_text(page) == f"{LONG} So.", name
+        if name != "main-header":  # an article's own header is its own
+            assert html_text.main_text(f"<article><p>One.</p><section id='{name}'><p>{LONG}</p></section></article>") == "One.", name
+    for name in ("entry-content", "articleBody", "story", "post legal"):
+        assert html_text.main_text(f"<div class='{name}'><p>{LONG}</p></div>") == LONG, name
+
+
+def test_doubtful_names_are_decided_by_words_links_and_neighbours():
+    for name in ("warning", "search-results", "section tags", "legal-text", "author"):
+        assert html_text.main_text(f"<article><p>One two three.</p><div class='{name}'><p>{LONG}</p></div></article>") == f"One two three.\n{LONG}", name
+        assert html_text.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Short bit.</p></div></article>") == LONG, name
+        assert html_text.main_text(f"<article><p>{LONG}</p><div class='{name}'><p><a href=x>{LONG}</a></p></div></article>") == LONG, name
+    assert html_text.main_text(f"<div class='legal-text'><p>{LONG}</p></div>") == LONG
+    assert html_text.main_text("<p>The moon is up</p><p>and low the sea</p><p>lies</p>") == "The moon is up\nand low the sea\nlies"
+
+
+def test_features_of_blocks_decide():
+    menu = "<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul>"
+    assert html_text.main_text(f"<article><p>{LONG}</p>{menu}</article>") == LONG  # the same list without links is text
+    assert html_text.main_text(f"<article><p>{LONG}</p>{menu.replace('<a>', '').replace('</a>', '')}</article>") == f"{LONG}\nOne\nTwo\nThree"
+    assert html_text.main_text(f"<article><p>{LONG}</p><p><a>A link alone</a></p><p>{LONG}</p></article>") == f"{LONG}\nA link alone\n{LONG}"
+    assert html_text.main_text(f"<article><p>{LONG}</p></article><div><p>{LONG} More.</p></div>") == LONG
+    blocks = html_text.flat_blocks(f"<article><p>{LONG}</p>{menu}<p>Two words</p></article><div><p>Other</p></div>")
+    x = html_text.block_features(blocks)
+    base = html_text.decide(html_text.tree(), x) >= 0.5
+    x[:, [1, 3, 5]] = 0
+    assert ((html_text.decide(html_text.tree(), x) >= 0.5) != base).any()
+
+
+def test_blocks_are_those_of_a_plain_parser():
+    """Texts of blocks against the parser of the standard library, over random trees of elements."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.text = [], ""
+
+        def end(self):
+            if self.text.split():
+                self.blocks.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text += " "
+            elif tag not in ("b", "a", "em", "code"):
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "em", "code", "br"):
+                self.end()
+
+        def handle_data(self, data):
+            self.text += data
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["word ", "two words", " a &amp; b", "&lt;p&gt;", " ", "é\n\tx", "<br>"])
+        name = rng.choice(["div", "p", "ul", "li", "section", "b", "a", "em", "code", "h2", "table", "td", "blockquote"])
+        return f"<{name} title='x>y'>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{name}>"
+
+    for _ in range(300):
+        page = "".join(tree(5) for _ in range(3))
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.end()
+        assert [b[0] for b in html_text.flat_blocks(page)] == plain.blocks, page
+
+
+def test_long_pages_and_repeated_rows(spark):
+    body = "".join(f"<p>{LONG} {k}</p>" for k in range(20_000))
+    want = "\n".join(f"{LONG} {k}" for k in range(20_000))
+    rows = [(None, None, f"<nav><a>x</a></nav><article>{body}</article>")] * 2 + [(7, "u", None)] * 2
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, len(want), len(want)] and all(r.text in ("", want) for r in got)
+
+
 def test_varied_pages_with_known_articles():
     """Wrappers, chrome and articles in every combination; what the article says is known."""
     wrappers = [("<article>", "</article>"), ("<main role=main>", "</main>"), ("<div class='wrap social'><article>", "</article></div>"), ("<div id=content class='post'>", "</div>")]
