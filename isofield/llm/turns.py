@@ -279,8 +279,8 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repair(rows: DataFrame, everyone: DataFrame, parts: int | None = None) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) for each conv_id of everyone.
 
-    rows(conv_id, turn, role, text) are put in order by turn, nulls first, ties by role and text; role and text are not
-    null. Each row's first fault counts: blank, duplicate (role and text seen earlier), truncated. The cheapest edits that
+    rows(conv_id, turn, role, text) are put in order by turn, nulls first, ties by role, the text's first 64 characters and
+    then a hash of it; role and text are not null. Each row's first fault counts: blank, duplicate (role and text seen earlier), truncated. The cheapest edits that
     give the role initials `(s?(ua)+)?` are found by an Earley chart with error productions; of equally cheap ones the
     audit that comes first as ASCII. A role that begins with none of s, u, a can be given a new role or deleted. Equal
     rows, also of a null conv_id, are rows of their own; a conversation without rows gives zeros, an empty audit and the
@@ -291,10 +291,10 @@ def repair(rows: DataFrame, everyone: DataFrame, parts: int | None = None) -> Da
     the results are put together as a product of small tables. Duplicates come from one aggregate by digest. Only
     the hash of the repaired text, which is sequential by nature, reads a conversation's rows in one task, one at a time.
     """
-    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", F.xxhash64("text")]
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", F.substring("text", 1, 64), F.xxhash64("text")]
     # Equal rows may be dealt to several parts: their place in the input breaks the tie.
     placed = rows.withColumn("tie", F.monotonically_increasing_id())
-    ranged = placed.repartitionByRange(*([parts] if parts else []), *order, "tie").sortWithinPartitions(*order, "text", "tie").drop("tie")
+    ranged = placed.repartitionByRange(*([parts] if parts else []), *order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
     with Scratch(rows.sparkSession) as scratch:
         sorted_ = scratch.cut(ranged.withColumn("pos", F.monotonically_increasing_id()), "turns")
         conv = sorted_.schema["conv_id"].dataType.simpleString()
