@@ -23,8 +23,8 @@ def cyclic_weights(sources: DataFrame) -> DataFrame:
                  .withColumn("part", F.spark_partition_id()), "sources")
     w = Window.partitionBy("part").orderBy("is_null", "source")
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.part") < F.col("a.part"), "left") \
-        .groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # One window over a row for each partition.
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(w) - 1 + F.col("before")
     return ranged.join(F.broadcast(before), "part").select(
         "source", "is_null", "source_size", (F.pmod(place, F.lit(3)) + 1).cast("double").alias("weight"))

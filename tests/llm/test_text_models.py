@@ -55,6 +55,35 @@ def test_reject_keeps_columns_and_a_model_without_labels_is_constant(spark):
     assert toxicity.score(df.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
+def by_hand(model, text):
+    """A text's score from its words and word beginnings, one by one."""
+    import re
+    from collections import Counter
+
+    seen = Counter()
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        for k in (None, *[n for n in toxicity.STEM_BYTES if len(word) > n]):
+            _, values = stems(np.frombuffer(word, np.uint8), np.array([0, len(word)]), () if k is None else (k,))
+            seen[int(values[-1])] += 1
+    at = {int(f): w for f, w in zip(model.features, model.weights)}
+    return 1 / (1 + np.exp(-(model.bias + sum(np.log1p(n) * at[f] for f, n in seen.items() if f in at))))
+
+
+def test_scores_by_hand_and_the_penalty(spark, monkeypatch):
+    """Scores are those of the model taken word by word; the gap between a text and its swap falls with the penalty."""
+    docs, labels = corpus()
+    df, lab = spark.createDataFrame(docs + [docs[5], (None, docs[6][1], "en", None, 0.0)], DOCS), spark.createDataFrame(labels + labels[:3], LABELS)
+    texts = [f"the muslim word{k}, word{k + 3} met catholic friends" for k in range(30)]
+    gaps = []
+    for weight in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL_WEIGHT", weight)
+        model = toxicity.fit(df, lab)
+        got = {(r.doc_id, r.text): r.s for r in toxicity.with_scores(df.select("doc_id", "text"), model, "text", "s").collect()}
+        assert all(abs(s - by_hand(model, t)) < 1e-9 for (_, t), s in list(got.items())[:60])
+        gaps.append(np.mean([abs(by_hand(model, t) - by_hand(model, toxicity.swapped(t))) for t in texts]))
+    assert gaps[0] > 0.02 and gaps[1] < gaps[0] / 5
+
+
 def test_swaps():
     assert toxicity.swapped("A Muslim, two Women") == "A atheist, two men"
     group = {t: g for g in toxicity.IDENTITY_GROUPS for t in g}
@@ -82,6 +111,53 @@ def test_quality_uses_text_and_site(spark):
     assert quality.classify(df.limit(0), lab, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_posteriors_by_hand(spark):
+    """Host and path scores and the whole score from text scores and labels, in plain numpy; repeated rows, null sites, ties."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(400):
+        good = rng.random() < (0.9 if i % 3 else 0.4)
+        w = [rng.choice(["river", "stone", "paper", "of"]) for _ in range(60)] if good else ["BUY!!", "NOW$$"] * 30
+        docs.append((i, " ".join(w), "en" if i % 2 else None, None if i % 11 == 0 else f"s{i % 3}", 0.0))
+        labels.append((i, 0, int(good)))
+    docs += [docs[0], docs[0], docs[7], (900, docs[7][1], "en", "lonely", 0.0), (901, "", None, None, 0.0)]
+    labels += [(3, 0, 0), (3, 0, 1)]  # good only if all are
+    df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    rows = quality.classify(df, lab, F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("?")), "lang")).collect()
+    assert len(rows) == len(docs)
+    known = {}
+    for i, _, q in labels:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = min(known.get(i, 1), q)
+    site = {i: (s, "/".join(x for x in (s or "?", lang) if x)) for i, _, lang, s, _ in docs}
+    data = [(*site[r.doc_id], known.get(r.doc_id, r.text_score), r) for r in rows]
+
+    def sums(key):
+        out = {}
+        for d in data:
+            n, g = out.get(key(d), (0, 0.0))
+            out[key(d)] = (n + 1, g + d[2])
+        return out
+
+    hosts, paths = sums(lambda d: d[0]), sums(lambda d: d[:2])
+    prior = sum(d[2] for d in data) / len(data)
+
+    def strength(groups):
+        rows_ = [(n, g / n, c) for n, g, c in groups if n >= 2]
+        spread, chance, full = sum(n * (m - c) ** 2 for n, m, c in rows_), sum(c * (1 - c) for _, _, c in rows_), sum(n * c * (1 - c) for n, _, c in rows_)
+        return 1e6 if full <= chance or spread <= chance else min(max((full - spread) / (spread - chance), 0.1), 1e6)
+
+    a = strength([(n, g, prior) for n, g in hosts.values()])
+    b = strength([(n, g, (hosts[h][1] + a * prior) / (hosts[h][0] + a)) for (h, _), (n, g) in paths.items()])
+    inside = lambda c: min(max(c, 1e-6), 1 - 1e-6)
+    logit = lambda c: np.log(c / (1 - c))
+    for h, t, q, r in data:
+        host = (hosts[h][1] - q + a * prior) / (hosts[h][0] - 1 + a)
+        path = (paths[h, t][1] - q + b * host) / (paths[h, t][0] - 1 + b)
+        score = 1 / (1 + np.exp(-(logit(inside(r.text_score)) + logit(inside(path)) - logit(prior))))
+        assert abs(r.host_score - inside(host)) < 1e-9 and abs(r.path_score - inside(path)) < 1e-9 and abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)
+
+
 def test_words_and_stems_follow_their_definitions():
     texts = ["Ab c\tdé\x0bE", None, "", "  ", "one\x1ctwo three", "ab", "É" * 3000]
     got = []
