@@ -119,14 +119,17 @@ def vector_metrics(df: DataFrame, groups: list[str], truth: list[str], predicted
     """Errors of predicted vectors: size, by component, in direction, in speed, and the mean residual."""
     t, p = [F.col(c) for c in truth], [F.col(c) for c in predicted]
     gap = [b - a for a, b in zip(t, p)]
-    angle = direction_error(t, p)
     mean = [F.avg(g) for g in gap]
-    return df.groupBy(*groups).agg(
+    sums = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(dot(gap, gap))).alias("rmse_3d"), F.sqrt(F.try_divide(F.sum(dot(gap, gap)), F.sum(dot(t, t)))).alias("nrmse"),
         *[F.sqrt(F.avg(g * g)).alias(f"rmse_{k}") for g, k in zip(gap, "xyz")], *[F.corr(a, b).alias(f"corr_{k}") for a, b, k in zip(t, p, "xyz")],
-        F.percentile(angle, F.lit(0.5)).alias("angle_median"), F.percentile(angle, F.lit(0.9)).alias("angle_p90"),
-        F.percentile(F.abs(F.try_divide(norm(p) - norm(t), norm(t))), F.lit(0.5)).alias("speed_error_median"),
         F.sqrt(dot(mean, mean)).alias("mean_residual"))
+    # Quantiles from a range sort, as a group may be all points.
+    angles = quantiles(df.select(*groups, direction_error(t, p).alias("angle__")), groups, "angle__", [0.5, 0.9], "angles__")
+    speeds = quantiles(df.select(*groups, F.abs(F.try_divide(norm(p) - norm(t), norm(t))).alias("speed__")), groups, "speed__", [0.5], "speeds__")
+    both = beside([sums, angles, speeds], groups).withColumns({"angle_median": F.get("angles__", F.lit(0)), "angle_p90": F.get("angles__", F.lit(1)), "speed_error_median": F.get("speeds__", F.lit(0))})
+    names = [c for c in sums.columns if c != "mean_residual"]
+    return both.select(*names, "angle_median", "angle_p90", "speed_error_median", "mean_residual")
 
 
 def radial_metrics(df: DataFrame, groups: list[str], position: list[str], truth: list[str], predicted: list[str]) -> DataFrame:

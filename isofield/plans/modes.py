@@ -44,14 +44,14 @@ def operator_modes(spark, d):
 
 
 @query(f"""with {EDGES}, q as (select src id, sum(w) q from weights group by 1), k as (select src, dst, w / (a.q * b.q) w from weights join q a on src = a.id join q b on dst = b.id),
- d as (select src id, sum(w) d from k group by 1), f as (select count(*) n from d) select id, round(d / (select sum(d) from d), 8) square, (select 2 from f) as modes, 0.0::double residual, 1.0::double largest from d""")
+ d as (select src id, sum(w) d from k group by 1), f as (select count(*) n from d) select id, round(d / (select sum(d) from d), 6) square, (select 2 from f) as modes, 0.0::double residual, 1.0::double largest from d""")
 def leading_modes(spark, d):
     """Two modes of the points' operator: the square of the first is the stationary measure, its value is 1, residual norms are nil."""
     mass = points(spark, d).select("id", F.lit(1.0).alias("w"))
     edges, _ = G.alpha_operator(weights8(spark, d)[2], mass, 1.0)
-    modes = E.continued(cut(edges), mass.select("id"), 2, BlockStore(spark, fresh(spark), {"table": "points"}), 2, 30, tolerance=1e-6)
+    modes = E.continued(cut(edges), mass.select("id"), 2, BlockStore(spark, fresh(spark), {"table": "points"}), 2, 30, tolerance=1e-7)
     first = modes.table().where("mode = 0").select("id", (F.col("value") ** 2).alias("square"))
-    return rounded(first.select("id", F.round("square", 8).alias("square"), F.lit(len(modes.values)).alias("modes"), F.lit(round(float(modes.residuals.max()), 5)).alias("residual"),
+    return rounded(first.select("id", F.round("square", 6).alias("square"), F.lit(len(modes.values)).alias("modes"), F.lit(round(float(modes.residuals.max()), 5)).alias("residual"),
                                 F.lit(round(float(modes.values[0]), 8)).alias("largest")), 8)
 
 

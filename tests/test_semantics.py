@@ -149,6 +149,50 @@ def test_ranks_within_groups_of_any_size(spark):
         assert all(got[k] == (i, len(own)) for i, (_, k) in enumerate(own))
 
 
+def test_variants_that_are_easily_mixed_up(spark):
+    from isofield.operators import regression as L
+    from isofield.operators import spectral as E
+
+    # Octants: population or sample deviation, and least rows of a region.
+    df = spark.createDataFrame([("m", k % 4, float(k % 4)) for k in range(24)] + [("m", 5, 9.0)], "m string, r int, v double")
+    a, b = (M.octant_summary(df, ["m"], "r", F.avg("v"), least, whole).first() for least, whole in ((1, True), (5, False)))
+    assert abs(a["std"] - np.std([0, 1, 2, 3, 9])) < 1e-12 and a.missing == "4,6,7" and abs(b["std"] - np.std([0, 1, 2, 3], ddof=1)) < 1e-12 and b.missing == "4,5,6,7" and b.worst == 3.0
+    # Penalties: zero modes go free under a power, or are penalised by the ridge constant without one.
+    g = np.array([0.0, 0.25, 4.0])
+    assert L.penalty(g, 0.5, 1e-6).tolist() == [0.0, 0.5, 2.0] and L.penalty(g, 0.5, 1e-6, False).tolist() == [1e-6, 0.25, 4.0]
+    # Generators: over their own median without zero modes, or over a fixed scale.
+    values = np.array([1.0, 0.9, 0.6, 0.2])
+    assert np.allclose(E.generator(values), np.array([0, 0.1, 0.4, 0.8]) / 0.4) and np.allclose(E.generator(values, 0.2), [0, 0.5, 2.0, 4.0])
+    # Gram matrices are over the sum of weights, so weights of another scale change nothing.
+    rows = spark.createDataFrame([([1.0, float(k)], 2.0 * k, 1.0 + k % 3) for k in range(9)], "x array<double>, y double, w double")
+    one, two = (L.gram(rows, "x", "y", c) for c in (F.col("w"), 10 * F.col("w")))
+    assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1]) and one[0][0, 0] == 1.0 and abs(two[2] - 10 * one[2]) < 1e-9
+    # Calibration lines have a free intercept, or none.
+    c = M.calibration(spark.createDataFrame([(1, 1.0, 3.0), (1, 2.0, 5.0)], "g int, t double, p double"), ["g"], "t", "p").first()
+    assert (round(c.slope, 12), round(c.intercept, 12), round(c.origin_slope, 12)) == (2.0, 1.0, 2.6)
+
+
+def test_several_targets_share_a_factor_and_least_squares_need_no_gram(spark):
+    from isofield.operators import regression as L
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3)) * [1.0, 1e-4, 1.0]
+    y, w = x @ rng.normal(size=(3, 2)) * [1.0, 100.0] + 0.01 * rng.normal(size=(200, 2)), rng.uniform(0.5, 2, 200)
+    rows = spark.createDataFrame([(a.tolist(), *map(float, b), float(c)) for a, b, c in zip(x, y, w)], "x array<double>, a double, b double, w double").repartition(6)
+    got = L.least_squares(rows, "x", ["a", "b"], F.col("w"))
+    want = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w)[:, None], rcond=None)[0]
+    assert got["rank"] == 3 and np.allclose(got["theta"], want, rtol=1e-8)
+    same = L.least_squares(rows.withColumn("x", F.concat("x", F.slice("x", 1, 1))), "x", ["a"], F.col("w"))
+    assert same["rank"] == 3 and abs(same["theta"][0, 0] - same["theta"][3, 0]) < 1e-10 and abs(same["theta"][0, 0] * 2 - want[0, 0]) < 1e-8
+    grid = L.vector_coefficients(rows, "x", ["a", "b"], np.array([0.0, 1.0, 2.0]), [1, 3], [0.1], [1.0], F.col("w"), 0.0)
+    gram = x.T @ (x * w[:, None]) / w.sum()
+    assert np.allclose(grid[1]["theta"], np.linalg.solve(gram + 0.1 * np.diag([0.0, 1.0, 2.0]), x.T @ (y * w[:, None]) / w.sum()))
+    scores = {r.n_basis: r.nrmse for r in L.vector_scores(rows, "x", ["a", "b"], grid, F.col("w")).collect()}
+    assert abs(scores[3] - np.sqrt((w[:, None] * (x @ grid[1]["theta"] - y) ** 2).sum() / (w[:, None] * y ** 2).sum())) < 1e-10
+    with pytest.raises(ValueError):
+        L.least_squares(rows.limit(0), "x", ["a"])
+
+
 def test_split_rules_of_small_groups(spark):
     df = spark.createDataFrame([(k, 3) for k in range(3)] + [(k, 10) for k in range(10, 20)], "id long, g int")
     got = {(r.g, r.split): r["count"] for r in T.split(df, "id", 1, 0.9, 0.4, ["g"]).groupBy("g", "split").count().collect()}
