@@ -23,7 +23,7 @@ END_ID = 0
 #: Pieces that one task packs; more pieces make more tasks, each with at most a few open bins for each gap.
 SHARD = 100_000
 #: Words whose ids a worker remembers, and slots of its table (a power of two, over twice as many).
-REMEMBER, SLOTS = 1_600_000, 1 << 22
+REMEMBER, SLOTS = 800_000, 1 << 21
 
 
 class WordIds:
