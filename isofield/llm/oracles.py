@@ -1,9 +1,12 @@
 """SQL of another engine for the queries that SQL can express.
 
-The others have none: trained scores (toxicity, quality), tokenizer ids and packing, an approximate search, a block tree
-over HTML and seeded sampling are held against brute force, round trips or held-out labels in the tests.
+The others have none: trained scores (toxicity, quality), tokenizer ids and packing, an approximate search and a block
+tree over HTML are held against brute force, round trips or held-out labels in the tests.
 """
 
+from isofield.llm.mixing import SEED
+from isofield.plans.registry import random_sql
+
 REACH = """reach as (select a, b from both_ways union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)"""
 
 NGRAM_JOIN = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
@@ -82,4 +85,20 @@ def conversation_repair() -> str:
  from (select distinct conv_id from conversations) c left join g on g.conv_id is not distinct from c.conv_id left join (select * from e where j = 1) e on e.conv_id is not distinct from c.conv_id"""
 
 
-SQL = {"op12_conversation_repair": conversation_repair(), "op13_exponion_clusters": exponion_clusters(), "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}
+def source_mixing(epochs: int = 3) -> str:
+    """Water-filling over sources in order of cap by weight; then each source's documents in the order of their draws."""
+    return r"""with t as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+ s as (select source, sum(size)::bigint source_size from t group by 1),
+ w as (select *, """ + str(epochs) + """::double * source_size cap, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double weight, sum(source_size) over ()::double total from s),
+ f as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lev from w),
+ l as (select lev from f where weight * lev <= cap order by cap / weight, source nulls last limit 1),
+ g as (select source, source_size, least(cap, weight * l.lev) target from f, l),
+ p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end whole from g),
+ d as (select *, """ + random_sql(str(SEED), "size", "coalesce(doc_id, 0)") + """ draw from t),
+ o as (select *, sum(size) over (partition by source order by draw, doc_id nulls first, size rows unbounded preceding) upto from d)
+ select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, round(target - whole * source_size)::bigint - upto + size)))::bigint taken
+ from o join p on p.source is not distinct from o.source"""
+
+
+SQL = {"op10_source_mixing": source_mixing(), "op12_conversation_repair": conversation_repair(), "op13_exponion_clusters": exponion_clusters(), "op1_ngram_jaccard_join": NGRAM_JOIN, "op3_embedding_near_dedup": NEAR_VECTORS, "op8_warc_round_trip": WARC}

@@ -2,11 +2,13 @@ import bisect
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
-from isofield.llm import mixing, packing
+from isofield.llm import mixing, oracles, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -92,6 +94,20 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_equals_its_sql(spark):
+    rng = random.Random(5)
+    docs = [(k, "w " * rng.randint(0, 40), rng.choice(["hot", "hot", "b", "é", "Z", None])) for k in range(1200)]
+    docs += [(None, "n w", "hot"), (None, None, "b"), (7, "w w w", "hot"), (7, "w w w", "hot"), (3000, "", "void"), (3001, "one", "tiny"), (3002, "x\x0by\u00a0z", "Z")]
+    schema = "doc_id long, text string, source string"
+    want = duckdb.connect()
+    documents = pd.DataFrame(docs, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841, read by the SQL
+    rows = want.execute(oracles.SQL["op10_source_mixing"]).fetchall()
+    names = [c[0] for c in want.description]
+    got = mixing.mix(spark.createDataFrame(docs, schema)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+    assert sum(r.taken > r["size"] for r in got) and sum(0 < r.taken < r["size"] for r in got)
+
+
 def test_repeated_documents_carry_the_words_taken(spark):
     docs = [(k, f"w{k} x y z", "abc"[k % 3], 5) for k in range(90)] + [(100, None, "a", 0), (101, "\n", "b", 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, size int")
