@@ -14,8 +14,9 @@ from isofield.llm.common import cut
 
 #: Share of true neighbours that the number of probed lists must reach among sampled vectors.
 TARGET = 0.98
-#: Rows of a list, and queries, that one task holds against each other; larger lists are split.
-BLOCK, QUERIES = 20_000, 2_000
+#: Rows of a list, and queries, that one task holds against each other; larger lists are split. A list's vectors travel
+#: once for each block of its queries, a query's once for each block of its lists' rows, so blocks are as large as a task holds.
+BLOCK, QUERIES = 50_000, 20_000
 #: Rows of a block that are ranked again by their exact cosine, for each neighbour wanted.
 RERANK = 40
 
@@ -73,12 +74,12 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
 
     def scan(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
         rows = rows.sort_values("id", kind="stable")
         ids, codes, number = rows["id"].to_numpy(), ivfpq.code_matrix(rows["codes"]), int(rows["list"].iloc[0])
         vectors = ivfpq.scaled(np.array(rows["vector"].tolist(), float))
         lengths = np.linalg.norm(vectors, axis=1)
-        found = []
+        asked_by, hit, scores = [], [], []
         for query, v in zip(queries["id"].to_numpy(), ivfpq.scaled(np.array(queries["vector"].tolist(), float))):
             far = q.distances(v / np.linalg.norm(v), number, codes)
             far[ids == query] = np.inf
@@ -86,8 +87,10 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
             take = take[far[take] < np.inf]
             cos = (vectors[take] @ v) / (lengths[take] * np.linalg.norm(v))
             best = np.lexsort((ids[take], -cos))[:k]
-            found.append(pd.DataFrame({"query_id": query, "id": ids[take][best], "score": cos[best]}))
-        return pd.concat(found)
+            asked_by.append(np.full(len(best), query))
+            hit.append(ids[take][best])
+            scores.append(cos[best])
+        return pd.DataFrame({"query_id": np.concatenate(asked_by), "id": np.concatenate(hit), "score": np.concatenate(scores)})
 
     hits = left.groupBy("list", "r", "s").cogroup(right.groupBy("list", "r", "s")).applyInPandas(scan, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -28,12 +28,13 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     ids of the class and the ids of linked classes. Rows of one id with different vectors are vectors of their own.
     Null, zero and non-finite vectors link with nothing, as do null ids; vectors of another length link with their like
     alone. A vector goes to its nearest list and asks every list whose border lies within the reach of a link, whatever
-    the link's direction; in a list the code distance less the code error rules most rows out, and the exact cosine
+    the link's direction, unless the list is too narrow to reach that far; in a list the code distance less the code error rules most rows out, and the exact cosine
     decides. Vectors that are not of the commonest length are a list of their own, compared exactly. An empty table
     gives an empty result.
     """
     hashes = {"h1": F.xxhash64("label", "vector"), "h2": F.xxhash64(F.lit(1), "label", "vector")}
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "array<float>" if dict(rows.dtypes)[vector_col] == "array<float>" else "array<double>"  # half as wide to ship, and doubles take the same values
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     base = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ivfpq.valid(F.col("vector"))).withColumns(hashes)
     # A class is named by one of its hashes; its label also holds the length of its vectors.
     every = cut(base.groupBy("label", "h1", "h2").agg(F.min("id").alias("least"), F.countDistinct("id").alias("weight"), F.first("vector").alias("vector"))
@@ -42,13 +43,16 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     if not usual:
         return own.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     classes = every.where(F.col("d") == usual["d"]).select("id", "vector", "label", "weight")
-    odd = every.where(F.col("d") != usual["d"]).select("id", "vector", "label", "weight", F.lit(-1).alias("list"), F.lit(b"").alias("codes"), F.lit(0.0).alias("left_out"))
+    odd = every.where(F.col("d") != usual["d"]).select("id", "vector", "label", "weight", F.lit(-1).alias("list"), F.lit(b"").alias("codes"), F.lit(0.0).alias("left_out"), F.lit(0.0).alias("away"))
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     x = ivfpq.sample(classes, max_train)
     q = ivfpq.fit(x, -(-stats["n"] // (LIST_ROWS * max(1, stats["labels"]))))
     reach = float(np.sqrt(2 - 2 * threshold))
     between = np.sqrt(ivfpq.squares(q.centres, q.centres))
     indexed = cut(ivfpq.index(classes, q, ", label string, weight long"), "index")
+    # The width of each list, at most MAX_LISTS numbers.
+    widths = {r["list"]: r["width"] for r in indexed.groupBy("list").agg(F.max("away").alias("width")).collect()}
+    width = np.array([widths.get(k, -np.inf) for k in range(len(q.centres))])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,11 +60,12 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 d = ivfpq.squares(ivfpq.unit(np.array(batch["vector"].tolist(), float)), q.centres)
                 home = batch["list"].to_numpy()
                 # A row of list j is no nearer to this vector's own centre than to c_j, so by Cauchy-Schwarz a linked one gives
-                # d_j^2 - d_home^2 <= 2 * reach * |c_j - c_home|.
-                at, number = np.nonzero(d - d[np.arange(len(d)), home][:, None] <= 2 * reach * between[home] + 1e-9)
+                # d_j^2 - d_home^2 <= 2 * reach * |c_j - c_home|; and no row of list j is further from c_j than the list is wide.
+                border = d - d[np.arange(len(d)), home][:, None] <= 2 * reach * between[home] + 1e-9
+                at, number = np.nonzero(border & (np.sqrt(d) <= width + reach + 1e-9))
                 yield batch[["id", "vector", "label"]].iloc[at].assign(list=number.astype(np.int32))
 
-    asked = cut(indexed.select("id", "vector", "label", "list").mapInPandas(ask, "id long, vector array<double>, label string, list int")
+    asked = cut(indexed.select("id", "vector", "label", "list").mapInPandas(ask, f"id long, vector {kind}, label string, list int")
                 .unionByName(odd.select("id", "vector", "label", "list")), "asked")
     indexed = indexed.unionByName(odd)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")

@@ -110,17 +110,19 @@ def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODE
 
 
 def index(rows: DataFrame, quantiser: Quantiser, more: str = "") -> DataFrame:
-    """rows(id, vector[, more columns]) with their list, codes and code error."""
+    """rows(id, vector[, more columns]) with their list, codes, code error and distance to the list's centroid."""
     names = [c for c in rows.columns if c not in ("id", "vector")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                number, codes, left = quantiser.encode(unit(np.array(batch["vector"].tolist(), float)))
-                yield batch.assign(list=number.astype(np.int32), codes=[c.tobytes() for c in codes], left_out=left)[
-                    ["id", "vector", *names, "list", "codes", "left_out"]]
+                x = unit(np.array(batch["vector"].tolist(), float))
+                number, codes, left = quantiser.encode(x)
+                away = np.linalg.norm(x - quantiser.centres[number], axis=1)
+                yield batch.assign(list=number.astype(np.int32), codes=[c.tobytes() for c in codes], left_out=left, away=away)[
+                    ["id", "vector", *names, "list", "codes", "left_out", "away"]]
 
-    return rows.mapInPandas(run, f"id long, vector {dict(rows.dtypes)['vector']}{more}, list int, codes binary, left_out double")
+    return rows.mapInPandas(run, f"id long, vector {dict(rows.dtypes)['vector']}{more}, list int, codes binary, left_out double, away double")
 
 
 def code_matrix(codes: "pd.Series") -> np.ndarray:
