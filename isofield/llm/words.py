@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-BLOCK = 2_000_000
+#: Bytes of text whose words are held at once; a longer text is held alone.
+BLOCK = 1_000_000
+#: Bytes that are hashed at once: parts of a block, or of a text of any length, that end between words.
+PART = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -56,8 +58,37 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
         row = end
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first byte, first row, bytes, offsets) of parts of about PART bytes that end before white space or with a row.
+
+    A word longer than that makes its part longer. Rows are numbered from the first row of a part.
+    """
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + PART, n)
+        bound, step = int(offsets[np.searchsorted(offsets, end)]), 1024
+        while end < bound:
+            piece = data[end:min(end + step, bound)]
+            gap = np.flatnonzero((piece == 0x20) | ((piece >= 9) & (piece <= 13)))
+            if len(gap):
+                end += int(gap[0])
+                break
+            end, step = end + len(piece), 2 * step
+        low, high = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, end)
+        yield at, int(low), data[at:end], np.clip(offsets[low:high + 1], at, end) - at
+        at = end
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of each word: a run of bytes other than 0x20 and 0x09-0x0D; lower folds A-Z alone."""
+    found = []
+    for at, low, piece, own in parts(data, offsets):
+        row, start, end, value = _words(piece, own, lower)
+        found.append((row + low, start + at, end + at, value))
+    return tuple(map(np.concatenate, zip(*found))) if found else _words(data, offsets, lower)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -78,7 +109,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     if lower:
         table = table.copy()
         table[65:91] = table[97:123]
-    up, down = _powers(max(BLOCK, 1 << (n - 1).bit_length()))
+    up, down = _powers(max(2 * PART, 1 << (n - 1).bit_length()))
     total = np.zeros(n + 1, U)
     np.cumsum(table[data] * up[:n], out=total[1:])
     value = (total[end] - total[start]) * down[start]
@@ -93,6 +124,14 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 def stems(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of letters, A-Z folded, and of its first bytes of each of the lengths that it exceeds."""
+    found = []
+    for _, low, piece, own in parts(data, offsets):
+        row, value = _stems(piece, own, lengths)
+        found.append((row + low, value))
+    return tuple(map(np.concatenate, zip(*found))) if found else _stems(data, offsets, lengths)
+
+
+def _stems(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     inside = np.zeros(n + 2, bool)
     inside[1:n + 1] = LETTER[data]
@@ -102,7 +141,7 @@ def stems(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tu
     end = np.flatnonzero(inside[1:n + 1] & (~inside[2:] | edge[1:])) + 1
     table = _byte_values().copy()
     table[65:91] = table[97:123]
-    up, down = _powers(max(BLOCK, 1 << max(n - 1, 1).bit_length()))
+    up, down = _powers(max(2 * PART, 1 << max(n - 1, 1).bit_length()))
     total = np.zeros(n + 1, U)
     np.cumsum(table[data] * up[:n], out=total[1:])
     row = np.searchsorted(offsets, start, "right") - 1

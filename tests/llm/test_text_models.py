@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from isofield.llm import quality, toxicity
+from isofield.llm import quality, toxicity, words as word_module
 from isofield.llm.words import blocks, stems, words
 from pyspark.sql import functions as F
 
@@ -168,3 +168,17 @@ def test_words_and_stems_follow_their_definitions():
     _, _, data, offsets = next(blocks(pa.array(["Trash, trash TRASHY a-b"], pa.string())))
     row, value = stems(data, offsets, (4, 5))
     assert len(row) == 5 + 3 + 1 and len(set(value.tolist())) == 2 + 2 + 2
+
+
+def test_words_of_parts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abAB é\t\n.\x1c"), rng.integers(0, 40))) for _ in range(300)] + ["", "x" * 500, "", "é" * 70 + " y", ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole, heads = word_module._words(data, offsets, True), word_module._stems(data, offsets, (2, 5))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(word_module, "PART", size)
+        pieces = list(word_module.parts(data, offsets))
+        assert b"".join(p.tobytes() for _, _, p, _ in pieces) == data.tobytes()
+        assert all((x == y).all() for x, y in zip(word_module.words(data, offsets, True), whole))
+        assert sorted(zip(*map(np.ndarray.tolist, word_module.stems(data, offsets, (2, 5))))) == sorted(zip(*map(np.ndarray.tolist, heads)))
