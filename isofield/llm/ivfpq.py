@@ -23,13 +23,13 @@ def valid(vector) -> "F.Column":
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usable(rows: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
-    """(id, vector, ...) of the rows that take part. Of several lengths of vector the commonest takes part, of equally common ones the longest."""
+def usable(rows: DataFrame, id_col: str, vector_col: str, *more: str) -> tuple[DataFrame, int]:
+    """(id, vector, ...) of the rows that take part, and the commonest length of their vectors, of equally common ones the longest."""
     single = dict(rows.dtypes)[vector_col] == "array<float>"  # half as wide to ship, and doubles take the same values
     rows = rows.select(F.col(id_col).cast("long").alias("id"), (F.col(vector_col) if single else F.col(vector_col).cast("array<double>")).alias("vector"), *more) \
         .where(F.col("id").isNotNull() & valid(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("vector") == F.lit(sizes["d"] if sizes else 0))
+    return rows, sizes["d"] if sizes else 0
 
 
 def sample(rows: DataFrame, bound: int) -> np.ndarray:
@@ -93,13 +93,13 @@ class Quantiser:
             left += ((rest[:, c] - book[codes[:, k]]) ** 2).sum(1)
         return own, codes, np.sqrt(left)
 
-    def distances(self, query: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate squared distances of one unit vector to the coded rows of a list, by table look-up."""
-        rest = query - self.centres[number]
-        out = np.zeros(len(codes))
+    def distances(self, queries: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
+        """Approximate squared distances of unit vectors, or of one, to the coded rows of a list, by table look-up."""
+        rest = np.atleast_2d(queries) - self.centres[number]
+        out = np.zeros((len(rest), len(codes)))
         for k, (c, book) in enumerate(zip(self.columns, self.books)):
-            out += ((rest[c] - book) ** 2).sum(1)[codes[:, k]]
-        return out
+            out += np.take(squares(rest[:, c], book), codes[:, k], axis=1)
+        return out if queries.ndim == 2 else out[0]
 
 
 def fit(x: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = 7) -> Quantiser:
@@ -125,5 +125,10 @@ def index(rows: DataFrame, quantiser: Quantiser, more: str = "") -> DataFrame:
     return rows.mapInPandas(run, f"id long, vector {dict(rows.dtypes)['vector']}{more}, list int, codes binary, left_out double, away double")
 
 
+def cosines(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Cosines of rows with as many others; the same two vectors give the same last bit, wherever they stand and whichever comes first."""
+    return (rows * others).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((others * others).sum(1)))
+
+
 def code_matrix(codes: "pd.Series") -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)

@@ -46,6 +46,30 @@ def test_search_finds_neighbours_with_exact_scores(spark):
     assert hit / (5 * len(found)) >= 0.9
 
 
+def recall(spark, x):
+    rows = [(i, [float(t) for t in v], 0) for i, v in enumerate(np.float32(x))]
+    s, ids = cosines(rows), np.arange(len(rows))
+    np.fill_diagonal(s, -2)
+    found = {}
+    for r in ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(v) == 5 for v in found.values()) and len(found) == -(-len(rows) // 50)
+    return np.mean([len(v & set(np.lexsort((ids, -s[q]))[:5].tolist())) / 5 for q, v in found.items()])
+
+
+def test_search_finds_neighbours_of_queries_unlike_the_other_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    x[::50] = rng.normal(size=(80, 32))
+    assert recall(spark, x) >= 0.95
+
+
+def test_search_compares_vectors_of_a_rarer_length_among_themselves(spark):
+    rows = [(i, [1.0, float(i)], 0) for i in range(1, 9)] + [(50, [1.0, 0.0, 0.0], 0), (51, [1.0, 0.5, 0.0], 0), (52, [1.0, 0.1, 0.0], 0)]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 52), (2, 51)]
+
+
 def test_search_ties_few_candidates_and_empty(spark):
     rows = [(i, [1.0, 0.0], 0) for i in (7, 3, 5)]
     got = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 5, k=5).collect()
