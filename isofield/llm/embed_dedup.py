@@ -17,6 +17,8 @@ THRESHOLD = 0.93
 #: Rows of a list that one task holds against as many others.
 BLOCK = 4096
 LIST_ROWS = 2048
+#: Code distances, and queries, that are held at once.
+CELLS, TOGETHER = 1_000_000, 512
 
 
 def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -83,25 +85,35 @@ def near(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         if not len(rows_) or not len(queries):
             return none
         ids, weights, number = rows_["id"].to_numpy(), rows_["weight"].to_numpy(), int(rows_["list"].iloc[0])
-        codes, left_out = ivfpq.code_matrix(rows_["codes"]), rows_["left_out"].to_numpy()
-        vectors = ivfpq.scaled(np.array(rows_["vector"].tolist(), float))
-        lengths = np.linalg.norm(vectors, axis=1)
-        out_id, out_links, edges = [], [], []
-        for query, v in zip(queries["id"].to_numpy(), ivfpq.scaled(np.array(queries["vector"].tolist(), float))):
-            length = np.linalg.norm(v)
-            maybe = np.flatnonzero(np.sqrt(q.distances(v / length, number, codes)) - left_out <= reach + 1e-9) if number >= 0 else np.arange(len(ids))
-            hit = maybe[(vectors[maybe] @ v) / (lengths[maybe] * length) >= threshold]
-            hit = hit[ids[hit] != query]
-            if len(hit):
-                out_id.append(query)
-                out_links.append(int(weights[hit].sum()))
-                edges.append(ids[hit])
-        if not out_id:
+        codes, left_out, by = ivfpq.code_matrix(rows_["codes"]), rows_["left_out"].to_numpy(), queries["id"].to_numpy()
+        vectors, asked = (ivfpq.scaled(np.array(t["vector"].tolist(), float)) for t in (rows_, queries))
+        units = ivfpq.unit(vectors)
+        out, trees, step = [], [], max(1, min(TOGETHER, CELLS // len(ids)))
+        for first in range(0, len(by), step):
+            own, v = by[first:first + step], asked[first:first + step]
+            u = ivfpq.unit(v)
+            maybe = own[:, None] != ids[None, :]
+            if number >= 0:
+                maybe &= np.sqrt(q.distances(u, number, codes)) - left_out <= reach + 1e-9
+            some = np.flatnonzero(maybe.any(0))
+            like = u @ units[some].T
+            query, row = np.nonzero(maybe[:, some] & (like >= threshold - 1e-12))
+            # Within rounding of the threshold the cosine pair by pair decides, the same from either side.
+            close = np.flatnonzero(like[query, row] <= threshold + 1e-12)
+            row = some[row]
+            fine = np.ones(len(query), bool)
+            fine[close] = ivfpq.cosines(vectors[row[close]], v[query[close]]) >= threshold
+            query, row = query[fine], row[fine]
+            if len(query):
+                links = np.zeros(len(own), np.int64)
+                np.add.at(links, query, weights[row])
+                out.append(pd.DataFrame({"id": own[links > 0], "links": links[links > 0], "other": -1}))
+                trees.append(forest(own[query], ids[row]))
+        if not out:
             return none
-        a = np.repeat(np.array(out_id), [len(e) for e in edges])
-        tree = forest(a, np.concatenate(edges))
-        return pd.concat([pd.DataFrame({"id": out_id, "links": out_links, "other": -1}),
-                          pd.DataFrame({"id": tree[:, 0], "links": 0, "other": tree[:, 1]})]).astype("int64")
+        pairs = np.concatenate(trees)
+        tree = forest(pairs[:, 0], pairs[:, 1])
+        return pd.concat([*out, pd.DataFrame({"id": tree[:, 0], "links": 0, "other": tree[:, 1]})]).astype("int64")
 
     found = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "id long, links long, other long"), "found")
     counts = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))

@@ -133,6 +133,16 @@ def test_odd_lengths_and_repeated_ids(spark):
         (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 3, False)]
 
 
+def test_code_distances_of_many_queries_at_once():
+    x = ivfpq.unit(np.random.default_rng(9).normal(size=(300, 24)))
+    q = ivfpq.fit(x, 5)
+    number, codes, _ = q.encode(x)
+    own = codes[number == 1]
+    many = q.distances(x[:40], 1, own)
+    assert many.shape == (40, len(own))
+    assert np.allclose(many, [q.distances(v, 1, own) for v in x[:40]], atol=1e-12)
+
+
 def test_forest_keeps_connections():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
