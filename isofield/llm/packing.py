@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isofield.llm.common import cut
-from isofield.llm.words import blocks, words
+from isofield.llm.words import blocks, tidy, words
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs; more pieces make more tasks, each with at most a few open bins for each gap.
 SHARD = 100_000
-#: Words whose ids a worker remembers, and slots of its table (a power of two, over twice as many).
+#: Words whose ids a task remembers, and slots of its table (a power of two, over twice as many).
 REMEMBER, SLOTS = 800_000, 1 << 21
 
 
@@ -53,11 +53,16 @@ class WordIds:
         self.keys = np.zeros(SLOTS, np.uint64)
         self.slot = np.zeros(SLOTS, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int32)
+        self.length = np.zeros(1 << 12, np.int32)
         self.used = self.count = 0
         self.known.clear()
 
+    def drop(self) -> None:
+        """Forget all and hold no table until the next text."""
+        self.forget()
+        self.keys, self.slot, self.flat, self.start, self.length = (x[:0].copy() for x in (self.keys, self.slot, self.flat, self.start, self.length))
+
     def piece(self, text: str) -> list[int]:
         signs = text if text.isascii() else "".join(self.byte_signs[b] for b in text.encode())
         return [t.id for t in self.model.tokenize(signs)]
@@ -115,20 +120,22 @@ class WordIds:
             if self.count + len(new) > REMEMBER and self.count:
                 self.forget()
                 new, where = np.unique(keys, return_index=True)
-            if len(new) > REMEMBER:  # more distinct words than a worker remembers at once: run by run
+            if len(new) > REMEMBER:  # more distinct words than a task remembers at once: run by run
                 half = len(keys) // 2
                 runs = [self.numbers(raw, start[s], end[s], keys[s]) for s in (slice(None, half), slice(half, None))]
                 return tuple(np.concatenate(x) for x in zip(*runs))
             self.learn(new, [self.word(raw[i:j].decode()) for i, j in zip(start[where].tolist(), end[where].tolist())])
             at, _ = self.look(keys)
         which = self.slot[at]
-        n = self.length[which]
+        n = self.length[which].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.arange(total) + np.repeat(self.start[which] - ends + n, n)], n
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, where each text's ids begin and the last end)."""
+        if not len(self.keys):
+            self.forget()
         row, start, end, keys = words(data, offsets, lower=False)
         keys[keys == 0] = 1
         ids, n = self.numbers(data.tobytes(), start, end, keys)
@@ -165,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(out))
 
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run, lambda: word_ids(tokenizer_path).drop()), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

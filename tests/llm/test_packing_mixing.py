@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 
 from isofield.llm import mixing, oracles, packing
+from isofield.llm.words import tidy
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -118,3 +119,19 @@ def test_repeated_documents_carry_the_words_taken(spark):
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
     assert words == {k: v for k, v in taken.items() if v}
     assert rows[0].__fields__ == ["doc_id", "text", "source", "size"]
+
+
+def test_word_ids_are_the_same_after_a_drop():
+    known = packing.WordIds(PATH)
+    data, offsets = np.frombuffer(b"one two 33 one", np.uint8), np.array([0, 7, 14])
+    before = known(data, offsets)
+    known.drop()
+    assert known.keys.nbytes + known.slot.nbytes + known.flat.nbytes + known.start.nbytes + known.length.nbytes == 0
+    assert all((a == b).all() for a, b in zip(before, known(data, offsets)))
+
+
+def test_a_finished_task_holds_no_words():
+    known = packing.WordIds(PATH)
+    data, offsets = np.frombuffer(b"one two", np.uint8), np.array([0, 7])
+    seen = list(tidy(lambda batches: (known(data, offsets)[0].size for _ in batches), known.drop)(iter([0, 1])))
+    assert len(seen) == 2 and known.count == 0 and not known.keys.nbytes
