@@ -17,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of texts on its way to Python; Spark's own bounds are 10,000 rows and 64 MB.
+BATCH = "4m"
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """texts, whose session sends tables to Python in batches of about BATCH from now on, unless it has a bound of its own.
+
+    A batch is held several times over by each task: as vectors and as a stream in the JVM, in Python, and on its way back.
+    The bound holds for tables sent row by row, not for groups.
+    """
+    conf, bound = texts.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, BATCH)
+    return texts
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/isofield-{what}-{uuid.uuid4().hex}"

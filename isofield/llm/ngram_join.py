@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isofield.llm.common import Scratch, named, unnamed
+from isofield.llm.common import Scratch, in_small_batches, named, unnamed
 from isofield.llm.components import components
 from isofield.llm.words import U, blocks, mixed, tidy, words
 
@@ -91,7 +91,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for first, n, _, _, size, key in shingle_sets(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(size), pa.array(key)], names=["id", "n", "key"])
 
-    return docs.mapInArrow(tidy(run), "id long, n long, key long")
+    return in_small_batches(docs).mapInArrow(tidy(run), "id long, n long, key long")
 
 
 def _pack5(x: np.ndarray) -> bytes:
@@ -145,7 +145,7 @@ def hot_grams(docs: DataFrame, n_sets: int, width: int) -> tuple[np.ndarray, np.
             for _, _, rows, grams, _, key in shingle_sets(batch.column(0), width):
                 yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(grams.view(np.int64))], names=["key", "gram"])
 
-    counts = docs.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("text").mapInArrow(tidy(run), "key long, gram long").distinct() \
+    counts = in_small_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("text")).mapInArrow(tidy(run), "key long, gram long").distinct() \
         .groupBy("gram").agg((F.count(F.lit(1)) * rate).alias("sets")).where(F.col("sets") >= HOT_SETS).toPandas()
     grams = counts["gram"].to_numpy(np.int64).view(U)
     order = np.argsort(grams)
@@ -214,7 +214,7 @@ def frequencies(docs: DataFrame, parts: int, width: int, hot: tuple[np.ndarray,
                for p, k, m, c, t, d in _dealt(home, sets[at], sizes[at], token_of(grams << U(24), np.int64(part)), frequency_class(df))]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
 
-    return docs.select("text").mapInArrow(tidy(deal), "part int, k binary, n binary, c binary, g binary, d binary") \
+    return in_small_batches(docs.select("text")).mapInArrow(tidy(deal), "part int, k binary, n binary, c binary, g binary, d binary") \
         .groupBy("part").applyInArrow(count, "home int, k binary, n binary, c binary, t binary, d binary")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isofield.llm.common import cut
+from isofield.llm.common import cut, in_small_batches
 from isofield.llm.words import blocks, tidy, words
 
 CAPACITY = 2048
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], names=list(out))
 
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run, lambda: word_ids(tokenizer_path).drop()), schema)
+    return in_small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(tidy(run, lambda: word_ids(tokenizer_path).drop()), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

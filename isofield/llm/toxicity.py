@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isofield.llm.common import cut
+from isofield.llm.common import cut, in_small_batches
 from isofield.llm.words import blocks, stems, tidy
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
@@ -89,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                         pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))],
                         names=["id", "label", "swap", "features", "counts"])
 
-    return rows.mapInArrow(tidy(run), "id long, label int, swap int, features array<long>, counts array<int>")
+    return in_small_batches(rows).mapInArrow(tidy(run), "id long, label int, swap int, features array<long>, counts array<int>")
 
 
 def only(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
@@ -195,7 +195,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(at), model, mask))], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return in_small_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

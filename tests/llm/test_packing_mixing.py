@@ -135,3 +135,35 @@ def test_a_finished_task_holds_no_words():
     data, offsets = np.frombuffer(b"one two", np.uint8), np.array([0, 7])
     seen = list(tidy(lambda batches: (known(data, offsets)[0].size for _ in batches), known.drop)(iter([0, 1])))
     assert len(seen) == 2 and known.count == 0 and not known.keys.nbytes
+
+
+def test_texts_reach_python_in_small_batches_and_a_bound_of_ones_own_stays(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from isofield.llm import ngram_join, toxicity
+
+    def spied(place):
+        def tidy_(run, *_):
+            def noted(batches):
+                def seen():
+                    for k, batch in enumerate(batches):
+                        (place / f"{k}").write_text(str(batch.nbytes))
+                        yield batch
+                yield from run(seen())
+            return noted
+        return tidy_
+
+    def most(session, name, module, run):
+        place = tmp_path / name
+        place.mkdir()
+        monkeypatch.setattr(module, "tidy", spied(place))
+        rows = run(session.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20_000).alias("text"))).count()
+        return rows, max(int(p.read_text()) for p in place.iterdir())
+
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    for name, module, run in (("packing", packing, lambda d: packing.pieces(d, PATH)), ("toxicity", toxicity, lambda d: toxicity.with_scores(d, model)), ("sets", ngram_join, ngram_join.set_table)):
+        own = spark.newSession()
+        rows, size = most(own, name, module, run)
+        assert rows >= 100 and size < 5_000_000, name
+        own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+        assert most(own, f"{name}-own", module, run)[1] < 2_000_000, name
