@@ -23,6 +23,8 @@ SEED = 11
 BLOCK = 64
 #: Edges of a part of the operator, and doubles of a file of vectors.
 PART, FILE = 100_000, 2_000_000
+#: Products of a filter at most, products of one job, and how far a filter may raise one mode over another.
+DEGREE, CHAIN, RAISE = 40, 8, 1e8
 VECTOR = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
 
@@ -50,33 +52,93 @@ class Operator:
 
     def __init__(self, edges: DataFrame, tables: Tables, part: int = PART):
         n = edges.count()
-        parts = max(1, math.ceil(n / part))
+        parts = self.parts = max(1, math.ceil(n / part))
         degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part // 10)
         spread = F.pmod(F.xxhash64("dst"), F.coalesce(F.ceil(F.col("n") / (part // 10)), F.lit(1)))
         self.edges = tables.cut(edges.select("src", "dst", "s").join(degree, "src", "left").select(
             "src", "dst", "s", F.pmod(F.xxhash64("src", spread), F.lit(parts)).cast("int").alias("part")), parts)
         self.needs = tables.cut(self.edges.select("part", "dst").distinct(), parts)
+        self.homes: DataFrame | None = None
 
     def times(self, block: DataFrame) -> DataFrame:
         """(id, v): the operator times block(id, v); nodes without edges are absent."""
         def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
             if not len(vectors):
                 return VECTOR.empty_table()
-            ids, v = vectors["dst"].to_numpy(), _wide(vectors["v"])
-            order = np.argsort(ids)
-            ids, v = ids[order], v[order]
-            src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
-            at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
-            weight = np.where(ids[at] == dst, edges["s"].to_numpy(), 0.0)
-            by = np.argsort(src, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], src[by][1:] != src[by][:-1]]))
-            total = np.add.reduceat(weight[by, None] * v[at[by]], starts, axis=0)
-            return pa.Table.from_arrays([pa.array(src[by][starts]), _lists(total)], schema=VECTOR)
+            src, total = _product(edges, vectors)
+            return pa.Table.from_arrays([pa.array(src), _lists(total)], schema=VECTOR)
 
         sent = self.needs.join(block.select(F.col("id").alias("dst"), "v"), "dst")
         found = self.edges.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(run, "id long, v array<double>")
         return _summed(found)
 
+    def settle(self, ids: DataFrame, tables: Tables) -> None:
+        """Give every node of ids one part that is its home, for advance()."""
+        if self.homes is None:
+            home = ids.select(F.pmod(F.xxhash64("id"), F.lit(self.parts)).cast("int").alias("part"), F.col("id").alias("dst"), F.lit(True).alias("home"))
+            both = self.needs.withColumn("home", F.lit(False)).unionByName(home)
+            self.homes = tables.cut(both.groupBy("part", "dst").agg(F.max("home").alias("home")), self.parts)
+
+    def advance(self, state: DataFrame, a: float, b: float, c: float) -> DataFrame:
+        """(id, v, w) to (id, a S v + b v + c w, v), reading state once, so that steps may follow each other in one job.
+
+        A null w counts as zero. Only a node's home sends its old vectors on.
+        """
+        schema = pa.schema([*VECTOR, ("w", pa.list_(pa.float64()))])
+
+        def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+            out = []
+            own = vectors.filter(vectors["home"]) if len(vectors) else vectors
+            if len(own):
+                v = _wide(own["v"])
+                total = b * v + c * _wide(own["w"]) if not own["w"].null_count else b * v
+                out.append(pa.Table.from_arrays([own["dst"], _lists(total), _lists(v)], schema=schema))
+            if len(vectors) and len(edges):
+                src, total = _product(edges, vectors)
+                out.append(pa.Table.from_arrays([pa.array(src), _lists(a * total), pa.nulls(len(src), pa.list_(pa.float64()))], schema=schema))
+            return pa.concat_tables(out) if out else schema.empty_table()
+
+        sent = self.homes.join(state.withColumnRenamed("id", "dst"), "dst").select("part", "dst", "home", "v", F.when(F.col("home"), F.col("w")).alias("w"))
+        found = self.edges.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(run, "id long, v array<double>, w array<double>")
+        return found.groupBy("id").agg(Summarizer.sum(array_to_vector("v")).alias("v"), F.first("w", True).alias("w")).select("id", vector_to_array("v").alias("v"), "w")
+
+
+def filtered(operator: Operator, start: DataFrame, ids: DataFrame, degree: int, low: float, cut: float, high: float, tables: Tables, files: int) -> DataFrame:
+    """(id, v): start(id, v) through a Chebyshev polynomial of S that damps values from low to cut and is about 1 at high."""
+    operator.settle(ids, tables)
+    half, centre = (cut - low) / 2, (cut + low) / 2
+    first = sigma = half / (high - centre)
+    state = start.select("id", "v", F.lit(None).cast("array<double>").alias("w"))
+    for k in range(degree):
+        if not k:
+            state = operator.advance(state, sigma / half, -centre * sigma / half, 0.0)
+        else:
+            following = 1 / (2 / first - sigma)
+            state = operator.advance(state, 2 * following / half, -2 * centre * following / half, -sigma * following)
+            sigma = following
+        if (k + 1) % CHAIN == 0 or k + 1 == degree:
+            state = tables.cut(state, files)
+    return state.select("id", "v")
+
+
+def _degree(low: float, cut: float, high: float, last: float, wanted: float) -> int:
+    """Products that raise a mode of value high at most RAISE times over one at the cut, or that of value last as often as wanted."""
+    growth = lambda value: math.acosh(max((2 * value - cut - low) / (cut - low), 1 + 1e-9))
+    return max(1, min(DEGREE, int(math.acosh(RAISE) / growth(high)), math.ceil(math.acosh(max(wanted, 2.0)) / growth(last))))
+
+
+def _product(edges: pa.Table, vectors: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(src, sums) of a part's edges times the vectors (dst, v) it was sent."""
+    ids, v = vectors["dst"].to_numpy(), _wide(vectors["v"])
+    order = np.argsort(ids)
+    ids, v = ids[order], v[order]
+    src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
+    at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+    weight = np.where(ids[at] == dst, edges["s"].to_numpy(), 0.0)
+    by = np.argsort(src, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], src[by][1:] != src[by][:-1]]))
+    return src[by][starts], np.add.reduceat(weight[by, None] * v[at[by]], starts, axis=0)
+
 
 def _mapped(rows: DataFrame, turn: dict[int, np.ndarray] | np.ndarray) -> DataFrame:
     """(id, v @ turn) of rows(id, v), or of rows(id, block, v) with a matrix for each block."""
@@ -192,7 +254,8 @@ def continued(edges: DataFrame, nodes: DataFrame, total: int, store: BlockStore,
     wider) is grown, every
     product is freed of the locked modes and of the space in two passes and made orthonormal by a tree of QR factors, and
     Rayleigh-Ritz on the small projected operator gives values and residual norms at every step. A space of `depth`
-    blocks starts anew from its best vectors. The accepted block is audited with a product of its own, its signs are
+    blocks starts anew from its best vectors. Where such a space could not come to hold every node, it stays short, and
+    its best vectors first pass a Chebyshev polynomial that damps values below theirs, several products in one job. The accepted block is audited with a product of its own, its signs are
     fixed (the largest component is positive, ties by the smaller id) and it is written with values and residuals in its
     manifest; a run that was killed goes on after its last block. Only matrices of the size of a block, or of the
     Krylov space, reach the driver.
@@ -214,7 +277,7 @@ def continued(edges: DataFrame, nodes: DataFrame, total: int, store: BlockStore,
             m = min(block, total - len(values))
             files = max(1, n * m // FILE)
             locked = store.read(0, k - 1).select("id", "block", "v") if k else None
-            own, found, left = _block(operator, ids, locked, m, n - len(values), k, spare, depth, restarts, tolerance, tables, files)
+            own, found, left = _block(operator, ids, locked, m, n - len(values), k, spare, depth, restarts, tolerance, tables, files, max(values, default=-math.inf))
             if strict and left.max() > tolerance:
                 raise Unconverged(f"block {k}: residual norm {left.max():.3e} exceeds {tolerance:.1e}")
             store.write(k, own.coalesce(files), values=found.tolist(), residuals=left.tolist())
@@ -233,9 +296,10 @@ def continued(edges: DataFrame, nodes: DataFrame, total: int, store: BlockStore,
 
 
 def _block(operator: Operator, ids: DataFrame, locked: DataFrame | None, m: int, room: int, number: int, spare: int, depth: int, restarts: int, tolerance: float, tables: Tables,
-           files: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(vectors, values, residuals) of the m largest modes beside the locked ones."""
+           files: int, highest: float = -math.inf) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(vectors, values, residuals) of the m largest modes beside the locked ones, of which the largest has the value highest."""
     width = min(room, m + spare)
+    short, low = room > depth * width, math.inf
     save = lambda df: tables.cut(df, files)
     random = F.array(*[(F.pmod(F.xxhash64(F.lit(SEED + number), F.lit(c), "id"), F.lit(1 << 40)).cast("double") / float(1 << 40) - 0.5) for c in range(width)])
     start = save(ids.select("id", random.alias("v")))
@@ -273,7 +337,7 @@ def _block(operator: Operator, ids: DataFrame, locked: DataFrame | None, m: int,
             estimate = np.linalg.norm(back @ ritz[edges_[k]:, :good], axis=0) if back.size else np.zeros(good)
             whole = not back.size or edges_[-1] >= room
             passed = len(theta) >= m and estimate.max() <= tolerance / 4
-            if passed or whole or len(sizes) == depth:
+            if passed or whole or len(sizes) == (depth if not short else min(depth, 1 if restart else 2)):
                 break
             # The second pass and the turn to an orthonormal block in one step.
             next_ = _mapped(without(rest, both, second), turn)
@@ -282,6 +346,14 @@ def _block(operator: Operator, ids: DataFrame, locked: DataFrame | None, m: int,
         start = save(_summed(_mapped(basis, {j: ritz[edges_[j]:edges_[j + 1], :kept] for j in range(len(sizes))})))
         if passed or whole or restart == restarts:
             break
+        if short:
+            # No value lies far beyond those of the space and what its last block leaves over.
+            left = float(np.linalg.norm(back, 2))
+            low, high = min(low, float(theta[-1]) - left), max(highest, float(theta[0]) + left)
+            edge = float(theta[kept - 1])
+            if low < edge < theta[0]:
+                degree = _degree(low, edge, high, float(theta[good - 1]), 10 * float(estimate.max()) / (tolerance / 4))
+                start = filtered(operator, start, ids, degree, low, edge, float(theta[0]), tables, files)
     m = min(m, kept)
     vectors = save(_signed(_mapped(start, np.eye(kept)[:, :m]), m))
     product = operator.times(vectors)

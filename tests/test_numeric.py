@@ -100,6 +100,32 @@ def test_continued_modes_are_those_of_a_direct_solve(spark, spectrum, tmp_path,
     assert solved == [1] and np.allclose(few.values, want[:11], atol=1e-12) and as_matrix(few, 120).shape == (120, 11)
 
 
+def test_values_close_to_each_other_are_told_apart_by_short_spaces(spark, tmp_path):
+    n = 100  # a ring: values cos(2 pi k / n), dense near 1, which five spaces of four blocks alone do not separate
+    edges = spark.createDataFrame([(k, (k + e) % n, 0.5) for k in range(n) for e in (1, n - 1)], "src long, dst long, s double").repartition(3)
+    modes = E.continued(cut(edges), spark.range(n), 3, BlockStore(spark, str(tmp_path), {}), 3, 5, depth=4, restarts=4)
+    assert np.allclose(modes.values, np.cos(2 * np.pi * np.array([0, 1, 1]) / n), atol=1e-12) and modes.converged.all()
+    v = as_matrix(modes, n)
+    assert np.abs(v.T @ v - np.eye(3)).max() < 1e-10 and np.abs(v[:, 0] - 0.1).max() < 1e-7
+
+
+def test_a_filter_is_its_polynomial_and_keeps_nodes_without_edges(spark, spectrum):
+    edges, nodes, s, _ = spectrum
+    x = np.random.default_rng(1).normal(size=(121, 2))
+    ids = spark.range(121)
+    with Tables(spark) as tables:
+        start = cut(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>"))
+        rows = E.filtered(E.Operator(edges, tables, 300), start, ids, 11, -0.5, 0.4, 1.0, tables, 1).collect()
+    got = np.array([r.v for r in sorted(rows)])
+    whole = np.zeros((121, 121))
+    whole[:120, :120] = s
+    values, vectors = np.linalg.eigh(whole)
+    t = np.polynomial.chebyshev.Chebyshev([0] * 11 + [1])
+    scale = lambda value: (value + 0.05) / 0.45
+    want = vectors @ ((t(scale(values)) / t(scale(1.0)))[:, None] * (vectors.T @ x))
+    assert np.abs(got - want).max() < 1e-10
+
+
 def test_more_modes_than_nodes_and_nodes_without_edges(spark, tmp_path):
     edges = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 2.0), (2, 2, 0.5)], "src long, dst long, s double")
     modes = E.continued(edges, spark.range(4), 9, BlockStore(spark, str(tmp_path), {}), 3)
