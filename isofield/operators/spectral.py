@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isofield.operators import domains
 from isofield.sources.blocks import BlockStore
 from isofield.sources.shared import Tables
 
@@ -51,7 +52,8 @@ class Operator:
     """
 
     def __init__(self, edges: DataFrame, tables: Tables, part: int = PART):
-        n = edges.count()
+        said = edges.agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).first()
+        n, self.least = said["n"], said["least"]
         parts = self.parts = max(1, math.ceil(n / part))
         degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part // 10)
         spread = F.pmod(F.xxhash64("dst"), F.coalesce(F.ceil(F.col("n") / (part // 10)), F.lit(1)))
@@ -255,7 +257,9 @@ def continued(edges: DataFrame, nodes: DataFrame, total: int, store: BlockStore,
     product is freed of the locked modes and of the space in two passes and made orthonormal by a tree of QR factors, and
     Rayleigh-Ritz on the small projected operator gives values and residual norms at every step. A space of `depth`
     blocks starts anew from its best vectors. Where such a space could not come to hold every node, it stays short, and
-    its best vectors first pass a Chebyshev polynomial that damps values below theirs, several products in one job. The accepted block is audited with a product of its own, its signs are
+    its best vectors first pass a Chebyshev polynomial that damps values below theirs, several products in one job. The first
+    block of a large operator without negative entries starts from vectors of domains.start, which are found in few rounds; they
+    are held to the same tests as any others. The accepted block is audited with a product of its own, its signs are
     fixed (the largest component is positive, ties by the smaller id) and it is written with values and residuals in its
     manifest; a run that was killed goes on after its last block. Only matrices of the size of a block, or of the
     Krylov space, reach the driver.
@@ -303,6 +307,9 @@ def _block(operator: Operator, ids: DataFrame, locked: DataFrame | None, m: int,
     save = lambda df: tables.cut(df, files)
     random = F.array(*[(F.pmod(F.xxhash64(F.lit(SEED + number), F.lit(c), "id"), F.lit(1 << 40)).cast("double") / float(1 << 40) - 0.5) for c in range(width)])
     start = save(ids.select("id", random.alias("v")))
+    if short and locked is None and room >= domains.LEAST and operator.least is not None and operator.least >= 0:
+        near = domains.start(operator, ids, start, m, width, tolerance / 4, PART, tables)
+        start = start if near is None else near
     for restart in range(restarts + 1):
         if locked is not None:
             for _ in range(2):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isofield.operators import domains
 from isofield.operators import graph as G
 from isofield.operators import regression as L
 from isofield.operators import spectral as E
@@ -126,6 +127,73 @@ def test_a_filter_is_its_polynomial_and_keeps_nodes_without_edges(spark, spectru
     assert np.abs(got - want).max() < 1e-10
 
 
+@pytest.fixture(scope="module")
+def grid(spark):
+    """The symmetric walk on a grid of 40 by 30 nodes that also stay, weighted unevenly, with its dense matrix."""
+    rng = np.random.default_rng(5)
+    at = lambda x, y: 30 * x + y
+    a = np.diag(rng.uniform(0.5, 1, 1200))
+    for x in range(40):
+        for y in range(30):
+            for i, j in [(x + 1, y)] * (x < 39) + [(x, y + 1)] * (y < 29):
+                a[at(x, y), at(i, j)] = a[at(i, j), at(x, y)] = rng.uniform(0.3, 1)
+    total = a.sum(1)
+    s = a / np.sqrt(total[:, None] * total)
+    i, j = np.nonzero(s)
+    return cut(spark.createDataFrame(list(zip(i.tolist(), j.tolist(), s[i, j].tolist())), "src long, dst long, s double").repartition(3)), s
+
+
+def test_leading_modes_of_large_operators_start_from_parts_without_filters(spark, grid, tmp_path, monkeypatch):
+    edges, s = grid
+
+    def never(*_):
+        raise AssertionError("a filter was needed")
+
+    monkeypatch.setattr(E, "filtered", never)
+    monkeypatch.setattr(E, "PART", 1000)
+    modes = E.continued(edges, spark.range(1200), 3, BlockStore(spark, str(tmp_path), {}), 3, 9, tolerance=1e-7)
+    want = np.sort(np.linalg.eigvalsh(s))[::-1]
+    assert np.allclose(modes.values, want[:3], atol=1e-11) and modes.converged.all()
+    v = as_matrix(modes, 1200)
+    assert np.abs(v.T @ v - np.eye(3)).max() < 1e-10 and np.abs(s @ v - v * modes.values).max() < 1e-7
+    assert (v[np.abs(v).argmax(0), range(3)] > 0).all()
+
+
+def test_parts_multiply_and_correct_like_the_whole(spark, grid):
+    edges, s = grid
+    x = np.random.default_rng(2).normal(size=(1200, 2))
+    block = cut(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>"))
+    with Tables(spark) as tables:
+        for part, parts in ((1000, 6), (100_000, 1)):
+            d = domains.Domains.built(E.Operator(edges, tables), spark.range(1200), part, tables)
+            assert d.packed.count() == parts and d.bound >= np.linalg.eigvalsh(s)[-1]
+            sent = d.nodes.join(block, "id").select(F.explode("to").alias("part"), "id", "v")
+            rows = d.times(sent).collect()
+            assert sorted(r.id for r in rows) == list(range(1200))
+            assert all(np.allclose(r.w, s[r.id] @ x) and r.v == x[r.id].tolist() for r in rows)
+            back = d.corrected(sent, 1.05, np.zeros((len(d.values), 2))).select("id", "v").distinct().collect()
+            e = np.array([r.v for r in sorted(back)])
+            assert len(e) == 1200
+            off = np.linalg.norm(x - (1.05 * e - s @ e)) / np.linalg.norm(x)
+            assert off < (0.1 if parts == 1 else 0.8)
+
+
+def test_every_node_is_gathered_and_many_loose_ones_are_left_to_the_whole(spark, grid, monkeypatch):
+    edges, _ = grid
+    pairs = spark.createDataFrame([(2000 + 2 * k + a, 2000 + 2 * k + b, 0.5) for k in range(20) for a in (0, 1) for b in (0, 1)], "src long, dst long, s double")
+    ids = cut(spark.range(1200).union(spark.range(2000, 2050)))  # 20 pairs and 10 nodes without edges
+    with Tables(spark) as tables:
+        operator = E.Operator(edges.unionByName(pairs), tables)
+        named = domains.gathered(operator.edges, ids, 1250, 50, tables).collect()
+        seed = {r.id: r.seed for r in named}
+        assert len(named) == len(seed) == 1250 and all(seed[v] == v for v in seed.values())
+        assert all((seed[k] < 2000) == (k < 2000) for k in seed) and all(seed[k] // 2 == k // 2 for k in range(2000, 2040)) and all(seed[k] == k for k in range(2040, 2050))
+        d = domains.Domains.built(operator, ids, 1000, tables)
+        assert sorted(r.id for r in d.times(d.nodes.select(F.explode("to").alias("part"), "id", F.array("b").alias("v"))).collect()) == sorted(seed)
+        monkeypatch.setattr(domains, "COARSE", 20)
+        assert domains.start(operator, ids, ids.select("id", F.array(F.rand(1), F.rand(2)).alias("v")), 2, 2, 1e-6, 1000, tables) is None
+
+
 def test_more_modes_than_nodes_and_nodes_without_edges(spark, tmp_path):
     edges = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 2.0), (2, 2, 0.5)], "src long, dst long, s double")
     modes = E.continued(edges, spark.range(4), 9, BlockStore(spark, str(tmp_path), {}), 3)
