@@ -57,23 +57,28 @@ def even(edges: DataFrame, ids: DataFrame, tables: Tables) -> tuple[DataFrame, f
 
 def gathered(edges: DataFrame, ids: DataFrame, n: int, ratio: int, tables: Tables) -> DataFrame | None:
     """(id, seed): each node with the seed whose growth reached it first, along the stronger edge; None if that takes too long."""
-    h = lambda c: F.xxhash64(F.lit(SEED), c)
-    named = tables.cut(ids.where(F.pmod(h("id"), F.lit(ratio)) == 0).select("id", F.col("id").alias("seed")))
-    have = named.count()
-    for _ in range(GROWTH):
-        if have >= n:
-            return named
+    h, place = lambda c: F.xxhash64(F.lit(SEED), c), tables.place()
+    have = turn = 0
+
+    def grown(new: DataFrame) -> int:
+        """The rows of one more step, written beside the others."""
+        nonlocal have, turn
+        path, turn = f"{place}/step={turn}", turn + 1
+        new.write.parquet(path)
+        found = ids.sparkSession.read.schema("id long, seed long").parquet(path).count()
+        have += found
+        return found
+
+    grown(ids.where(F.pmod(h("id"), F.lit(ratio)) == 0).select("id", F.col("id").alias("seed")))
+    while have < n and turn <= GROWTH:
+        named = ids.sparkSession.read.schema("id long, seed long, step int").parquet(place).select("id", "seed")
         rest = ids.join(named, "id", "left_anti")
         open_ = edges.join(rest.withColumnRenamed("id", "src"), "src")
-        new = tables.cut(open_.join(named.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.max_by("seed", F.struct("s", "dst")).alias("seed")).withColumnRenamed("src", "id"))
-        found = new.count()
-        if not found:
+        if not grown(open_.join(named.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.max_by("seed", F.struct("s", "dst")).alias("seed")).withColumnRenamed("src", "id")):
             # What no seed can reach: nodes before all their neighbours are seeds.
             near = open_.where("src <> dst").groupBy("src").agg(F.min(h("dst")).alias("least")).withColumnRenamed("src", "id")
-            new = tables.cut(rest.join(near, "id", "left").where(F.col("least").isNull() | (h("id") <= F.col("least"))).select("id", F.col("id").alias("seed")))
-            found = new.count()
-        named, have = named.unionByName(new), have + found
-    return named if have >= n else None
+            grown(rest.join(near, "id", "left").where(F.col("least").isNull() | (h("id") <= F.col("least"))).select("id", F.col("id").alias("seed")))
+    return ids.sparkSession.read.schema("id long, seed long, step int").parquet(place).select("id", "seed") if have >= n else None
 
 
 def parted(coarse: np.ndarray, load: np.ndarray, parts: int) -> np.ndarray:
@@ -190,17 +195,16 @@ class Domains:
         coarse = (coarse + coarse.T) / 2
         of = parted(coarse, load + 1, max(1, min(len(seeds), round(np.ceil(load.sum() / part)))))
         parts = lambda agg, name: F.broadcast(spark.createDataFrame([(k, int(p)) for k, p in enumerate(of)], f"{agg} int, {name} int"))
-        home = nodes.join(parts("agg", "part"), "agg").select("part", "id", F.lit(0).alias("layer"))
+        home = nodes.join(parts("agg", "part"), "agg").select("part", "id")
         across = edges.join(parts("dst_agg", "dst_part"), "dst_agg")
-        members, last = [tables.cut(home)], home
-        for layer in range(1, LAYERS + 1):
-            out = last.join(across.withColumnRenamed("src", "id"), "id").where("dst_part <> part").select("part", F.col("dst").alias("id")).distinct()
-            for earlier in members[1:]:
-                out = out.join(earlier.select("part", "id"), ["part", "id"], "left_anti")
-            members.append(last := tables.cut(out.withColumn("layer", F.lit(layer))))
-        every = members[0]
-        for m in members[1:]:
-            every = every.unionByName(m)
+        place, every = tables.place(), None
+        for layer in range(LAYERS + 1):
+            out = home
+            if layer:
+                around = every.where(F.col("layer") == layer - 1).join(across.withColumnRenamed("src", "id"), "id").where("dst_part <> part").select("part", F.col("dst").alias("id")).distinct()
+                out = around.join(every, ["part", "id"], "left_anti")
+            out.write.parquet(f"{place}/layer={layer}")
+            every = spark.read.schema("part int, id long, layer int").parquet(place)
         all_edges = every.withColumnRenamed("id", "src").join(edges, "src")
         if all_edges.groupBy("part").count().agg(F.max("count")).first()[0] > WIDER * part:
             return None
@@ -284,7 +288,7 @@ def _sums(state: DataFrame, size: int, width: int, theta: np.ndarray | None) ->
 
 
 def start(operator, ids: DataFrame, random: DataFrame, wanted: int, width: int, tolerance: float, part: int, tables: Tables) -> DataFrame | None:
-    """(id, v): columns near the leading modes, the `wanted` largest to residual norms of about the tolerance, or None.
+    """(id, v): the `wanted` leading modes to residual norms of about the tolerance; after ROUNDS more columns near them; or None.
 
     random(id, v) has at least as many columns and gives each of them a part outside the gatherings.
     """
@@ -331,4 +335,5 @@ def start(operator, ids: DataFrame, random: DataFrame, wanted: int, width: int,
         found = domains.times(domains.corrected(sent(moved), tau, rough))
         state = tables.cut(moved.drop("v").join(found, "id").select("id", "agg", "b", "to", F.concat("x", "v").alias("x"), F.concat("y", "w").alias("y")))
         columns = 2 * width + last.shape[1]
+    small, theta = (small[:, :wanted], theta[:wanted]) if done else (small, theta)
     return tables.cut(_moved(state, small, small[:, :0], theta).select("id", F.col("x").alias("v")))
