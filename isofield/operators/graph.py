@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from isofield.operators.neighbours import AXES, knn  # noqa: F401
 from isofield.operators.relational import quantiles
+from isofield.sources.shared import cut
 
 
 def bandwidth(edges: DataFrame, rank: int, factor: float = 1.0) -> DataFrame:
@@ -47,12 +48,13 @@ def alpha_operator(weights: DataFrame, mass: DataFrame, alpha: float) -> tuple[D
 
     q = K w, K' = K / (q_i q_j)^alpha, d = K' w, pi proportional to w d, S = sqrt(w_i / d_i) K' sqrt(w_j / d_j).
     """
-    q = apply(weights, mass.withColumnRenamed("w", "v"), "w", "q").withColumnRenamed("src", "id")
+    # Each is read several times below; written once, none is worked out again in every place.
+    q = cut(apply(weights, mass.withColumnRenamed("w", "v"), "w", "q").withColumnRenamed("src", "id"))
     left = q.select(F.col("id").alias("src"), F.col("q").alias("qs"))
     right = q.select(F.col("id").alias("dst"), F.col("q").alias("qd"))
-    scaled = weights.join(left, "src").join(right, "dst").select("src", "dst", (F.col("w") * F.pow(F.col("qs") * F.col("qd"), F.lit(-alpha))).alias("w"))
+    scaled = cut(weights.join(left, "src").join(right, "dst").select("src", "dst", (F.col("w") * F.pow(F.col("qs") * F.col("qd"), F.lit(-alpha))).alias("w")))
     d = apply(scaled, mass.withColumnRenamed("w", "v"), "w", "d").withColumnRenamed("src", "id")
-    nodes = mass.join(q, "id").join(d, "id")
+    nodes = cut(mass.join(q, "id").join(d, "id"))
     total = nodes.agg(F.sum(F.col("w") * F.col("d")).alias("total"))
     nodes = nodes.crossJoin(F.broadcast(total)).withColumn("pi", F.col("w") * F.col("d") / F.col("total")).drop("total")
     root = nodes.select("id", F.sqrt(F.col("w") / F.col("d")).alias("r"))
